@@ -7,7 +7,9 @@ by hash), two documents with Jaccard >= t share one of the first
 n - ceil(t * n) + 1 n-grams of each.  Every list of an n-gram's documents names
 its least document as pivot, and a pivot's block gets the whole rows of all
 documents of its lists, so each pair that shares such an n-gram meets in a
-block.  There, a breadth-first search multiplies one row at a time by the rows
+block.  Parity bitmaps of the rows, a 32nd of their size, first give a lossless
+lower bound of each pair's own n-grams; only rows with a partner left send
+their n-grams.  In the block, a breadth-first search multiplies one row at a time by the rows
 not reached yet, accumulates overlap counts, and drops pairs below the bound
 i >= t / (1 + t) * (a + b).  Blocks over `block_rows` are cut into parts and
 every two parts of compatible sizes meet in a task of their own.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import M64, Words, grams, mix, saved, with_ids
+from .text import M64, Words, grams, mix, saved, small, with_ids
 
 CELL_BITS = 20
 PARTS = 16
@@ -55,23 +57,32 @@ def _print_of(s: np.ndarray) -> int:
     return (x - (1 << 64) if x >> 63 else x) or 1
 
 
-def _scan(k: int, sketch: bool = True):
-    """documents -> (doc_id, n, fp) rows, then the task's sketch of counts per cell."""
+def _bits(s: np.ndarray) -> bytes:
+    """Parities of the hashes that fall in each of about 2n bits.
+
+    Two such maps differ in at most as many bits as the sets have n-grams of
+    their own; one of twice the width folds by xor of its halves.
+    """
+    wide = 1 << max(6, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _scan(k: int):
+    """documents -> (doc_id, n, fp, bits) rows, then the task's sketch of counts per cell."""
+    names = ["doc_id", "n", "fp", "bits", "part", "cells"]
 
     def run(batches):
         cells = np.zeros(1 << CELL_BITS, np.int64)
-        for b in batches:
+        for b in small(batches):
             sets = _sets(b.column(1), k)
-            if sketch and sets:
+            if sets:
                 cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-            yield pa.record_batch(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print_of(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
-                names=["doc_id", "n", "fp", "part", "cells"],
-            )
-        if cells.any():
-            rows = [(i, zlib.compress(c.astype("<i8").tobytes(), 1)) for i, c in enumerate(np.split(cells, PARTS)) if c.any()]
-            n = len(rows)
-            yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n", "fp", "part", "cells"])
+            n = len(sets)
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print_of(s) for s in sets], pa.int64()), pa.array([_bits(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        rows = [(i, zlib.compress(c.astype("<i8").tobytes(), 1)) for i, c in enumerate(np.split(cells, PARTS)) if c.any()]
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.record_batch([none, none, none, pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
 
     return run
 
@@ -128,7 +139,7 @@ def _postings(k: int, pct: int, buckets: int, heavy):
             rows = [(b, g[s:e].tobytes(), d[s:e].tobytes()) for b, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if e > s]
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "grams", "docs"])
 
-        for b in batches:
+        for b in small(batches):
             for doc, s in zip(b.column(0).to_pylist(), _sets(b.column(1), k)):
                 if doc is None or not len(s) or seen.setdefault(_print_of(s), doc) != doc:
                     continue  # equal sets meet through their fingerprint
@@ -168,7 +179,7 @@ def _rows(k: int):
     """(doc_id, text, blocks) -> one row of the incidence matrix for each block."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             out: list[tuple] = []
             for s, blocks in zip(_sets(b.column(1), k), b.column(2).to_pylist()):
                 fp, data = _print_of(s), s.tobytes()
@@ -188,62 +199,106 @@ def _batch(out):
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["pivot", "i", "j", "fp", "grams"])
 
 
-def _search(pct: int):
-    """A block's rows -> links (a, b) between fingerprints that span its components."""
+def _blocks(table):
+    """The table's rows by block (pivot, i, j)."""
+    keys = np.stack([table.column(c).to_numpy() for c in ("pivot", "i", "j")])
+    order = np.lexsort(keys)
+    keys = keys[:, order]
+    cut = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)]) if len(order) else order
+    return np.split(order, cut[1:]) if len(order) else []
 
-    def run(_key, table):
-        fps, at = np.unique(table.column("fp").to_numpy(), return_index=True)
-        blobs = table.column("grams")
-        rows = [np.frombuffer(blobs[int(i)].as_py(), np.uint64) for i in at]
-        n = np.array([len(r) for r in rows], np.int64)
-        ids, where = np.unique(np.concatenate(rows), return_inverse=True)
-        cut = np.r_[0, np.cumsum(n)]
-        row_ids = [where[a:b] for a, b in zip(cut[:-1], cut[1:])]
-        links: list[tuple[int, int]] = []
-        todo = np.ones(len(rows), bool)
-        base = 0
-
-        def index():
-            """The rows not reached yet, by n-gram."""
-            left = np.flatnonzero(todo)
-            doc = np.repeat(left, n[left])
-            col = np.concatenate([row_ids[i] for i in left]) if len(left) else np.zeros(0, np.int64)
-            order = np.argsort(col, kind="stable")
-            return doc[order], np.searchsorted(col[order], np.arange(len(ids) + 1)), len(left)
-
-        docs, ptr, base = index()
-        left = base
-
-        def near(i: int) -> np.ndarray:
-            c = row_ids[i]
-            s, e = ptr[c], ptr[c + 1]
-            m = e - s
-            take = np.repeat(s - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
-            both = np.bincount(docs[take], minlength=len(rows))
-            ok = todo & ((100 + pct) * both >= pct * (n + n[i])) & (both > 0)
-            return np.flatnonzero(ok)
 
-        for first in range(len(rows)):
-            if not todo[first]:
+def _screen(pct: int):
+    """A bucket's blocks -> their rows that the parity bounds leave a partner."""
+
+    def run(_key, table):
+        ids, sizes, bits = table.column("doc_id").to_numpy(), table.column("n").to_numpy(), table.column("bits")
+        keep: list[int] = []
+        for block in _blocks(table):
+            if len(block) < 2:
                 continue
-            todo[first] = False
-            left -= 1
-            queue = [first]
-            while queue and left:
-                i = queue.pop()
-                if left * 2 < base:
-                    docs, ptr, base = index()
-                found = near(i)
-                if len(found):
-                    todo[found] = False
-                    left -= len(found)
-                    links += [(int(fps[first]), int(fps[j])) for j in found]
-                    queue += found.tolist()
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+            n = sizes[block].astype(np.int64)
+            maps = [np.frombuffer(bits[int(i)].as_py(), np.uint64) for i in block]
+            wide = np.array([len(m) for m in maps])
+            found = np.zeros(len(block), bool)
+            for w in np.unique(wide):
+                own, next_ = np.flatnonzero(wide == w), np.flatnonzero(wide == 2 * w)
+                here = np.r_[own, next_]
+                m = np.stack([maps[i] if len(maps[i]) == w else maps[i][:w] ^ maps[i][w:] for i in here])
+                for x, i in enumerate(here.tolist()):
+                    if found[i]:
+                        continue  # whoever needs this row as a partner looks for it
+                    others = here if x < len(own) else own
+                    most = (100 - pct) * (n[others] + n[i])
+                    ok = (100 + pct) * np.abs(n[others] - n[i]) <= most
+                    if x < len(others):
+                        ok[x] = False
+                    at = np.flatnonzero(ok)
+                    at = at[(100 + pct) * np.bitwise_count(m[at] ^ m[x]).sum(1, dtype=np.int64) <= most[at]]
+                    if len(at):
+                        found[i] = found[others[at]] = True
+            keep += block[found].tolist()
+        return table.take(pa.array(keep, pa.int64())).select(["doc_id", "pivot", "i", "j"])
 
     return run
 
 
+def _search(pct: int):
+    """A bucket's blocks -> links (a, b) between fingerprints that span their components."""
+
+    def run(_key, table):
+        links: set[tuple[int, int]] = set()
+        fp, blobs = table.column("fp").to_numpy(), table.column("grams")
+        for block in _blocks(table):
+            fps, at = np.unique(fp[block], return_index=True)
+            if len(fps) > 1:
+                links.update(_reach(fps, [np.frombuffer(blobs[int(i)].as_py(), np.uint64) for i in block[at]], pct))
+        cols = list(zip(*links)) or [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    return run
+
+
+def _reach(fps: np.ndarray, rows: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
+    """Breadth-first over the product of the rows with the rows not reached yet."""
+    n = np.array([len(r) for r in rows], np.int64)
+    ids, where = np.unique(np.concatenate(rows), return_inverse=True)
+    cut = np.r_[0, np.cumsum(n)]
+    row_ids = [where[a:b] for a, b in zip(cut[:-1], cut[1:])]
+    todo = np.ones(len(rows), bool)
+    links: list[tuple[int, int]] = []
+
+    def index():
+        left = np.flatnonzero(todo)
+        doc = np.repeat(left, n[left])
+        col = np.concatenate([row_ids[i] for i in left] or [np.zeros(0, np.int64)])
+        order = np.argsort(col, kind="stable")
+        return doc[order], np.searchsorted(col[order], np.arange(len(ids) + 1)), len(left)
+
+    docs, ptr, base = index()
+    left = base
+    for first in range(len(rows)):
+        if not todo[first]:
+            continue
+        todo[first] = False
+        left -= 1
+        queue = [first]
+        while queue and left:
+            i = queue.pop()
+            if left * 2 < base:
+                docs, ptr, base = index()
+            s = ptr[row_ids[i]]
+            m = ptr[row_ids[i] + 1] - s
+            take = np.repeat(s - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+            both = np.bincount(docs[take], minlength=len(rows))
+            found = np.flatnonzero(todo & (both > 0) & ((100 + pct) * both >= pct * (n + n[i])))
+            todo[found] = False
+            left -= len(found)
+            links += [(int(fps[first]), int(fps[j])) for j in found]
+            queue += found.tolist()
+    return links
+
+
 def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): near duplicates by 100 * i >= pct * u.
 
@@ -255,19 +310,23 @@ def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_rows: int = 200
     """
     spark = docs.sparkSession
     d = with_ids(docs, id_col, text_col)
-    scanned = saved(d.mapInArrow(_scan(k), "doc_id long, n long, fp long, part int, cells binary"), "scan")
+    scanned = saved(d.mapInArrow(_scan(k), "doc_id long, n long, fp long, bits binary, part int, cells binary"), "scan")
     heavy = spark.sparkContext.broadcast(_heavy(scanned))
-    sets = scanned.where("part is null").select("doc_id", "n", "fp")
+    sets = scanned.where("part is null").select("doc_id", "n", "fp", "bits")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = d.mapInArrow(_postings(k, pct, buckets, heavy), "bucket int, grams binary, docs binary")
     pairs = saved(packed.groupBy("bucket").applyInArrow(_pivots, "doc_id long, pivot long").distinct(), "pairs")
     parts = saved(pairs.groupBy("pivot").agg(F.count("*").alias("m")).select("pivot", F.ceil(F.col("m") / block_rows).cast("int").alias("g")), "parts")
     # A small block is (0, 0); in a large one, each row meets every part.
     own = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
-    other = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct("pivot", F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    blocks = pairs.join(parts, "pivot").withColumn("own", own).select("doc_id", F.explode(other).alias("block")).groupBy("doc_id").agg(F.collect_list("block").alias("blocks"))
-    members = d.join(blocks, "doc_id").mapInArrow(_rows(k), "pivot long, i int, j int, fp long, grams binary")
-    links = saved(members.groupBy("pivot", "i", "j").applyInArrow(_search(pct), "a long, b long").distinct(), "links")
+    other = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    met = pairs.join(parts, "pivot").withColumn("own", own).select("doc_id", "pivot", F.explode(other).alias("at")).select("doc_id", "pivot", "at.i", "at.j")
+    bucket = F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(buckets)).alias("bucket")
+    mapped = sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    met = met.join(mapped, "doc_id").select("*", bucket).groupBy("bucket").applyInArrow(_screen(pct), "doc_id long, pivot long, i int, j int")
+    blocks = met.groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("blocks"))
+    members = d.join(saved(blocks, "blocks"), "doc_id").mapInArrow(_rows(k), "pivot long, i int, j int, fp long, grams binary")
+    links = saved(members.select("*", bucket).groupBy("bucket").applyInArrow(_search(pct), "a long, b long").distinct(), "links")
     classes = saved(sets.where("fp <> 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     a, b = classes.toDF("a", "ra"), classes.toDF("b", "rb")
     edges = links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))

@@ -109,6 +109,17 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def small(batches, size: int = 1 << 21, col: int = 1):
+    """The same rows in slices of about `size` bytes of text; a longer row is alone."""
+    for b in batches:
+        _, offs = utf8(b.column(col))
+        a = 0
+        while a < len(b):
+            z = max(a + 1, int(np.searchsorted(offs, offs[a] + size, side="right")) - 1)
+            yield b.slice(a, z - a)
+            a = z
+
+
 def shared(spark, name: str) -> str:
     """A fresh path in the folder the cluster shares (spark.checkpoint.dir)."""
     import tempfile
