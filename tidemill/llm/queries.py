@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import ngram_join
+from .substring_dedup import substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without words of repeated 35-word windows."""
+    return substring_dedup(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components: five-word n-grams, Jaccard of 0.75 or more."""
     return ngram_join(_documents(spark, sf_dir))
@@ -18,7 +24,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """name -> function of (spark, sf_dir)."""
-    return {"op9_ngram_join": op9_ngram_join}
+    return {"op2_substring_dedup": op2_substring_dedup, "op9_ngram_join": op9_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
