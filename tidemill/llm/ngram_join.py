@@ -33,17 +33,30 @@ CELL_BITS = 20
 PARTS = 16
 
 
+def _ranked(g: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return (g >> np.uint64(6)) | ((63 - np.minimum(size, 63)).astype(np.uint64) << np.uint64(58))
+
+
+def _cell(g: np.ndarray) -> np.ndarray:
+    return ((g >> np.uint64(32)) & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+
+
 def _sets(col: pa.Array, k: int) -> list[np.ndarray]:
-    """Each row's sorted distinct n-gram hashes; shorter texts are one n-gram."""
+    """Each row's sorted distinct n-gram hashes; shorter texts are one n-gram.
+
+    The top six bits fall with the bytes in the n-gram's words, so that short,
+    common words, whose n-grams meet by chance, come last in the order.
+    """
     w = Words(col, lower=True)
     h = w.hashes()
-    g = grams(h, k)
+    size = np.r_[0, np.cumsum(w.ends - w.starts)]
+    g = _ranked(grams(h, k), size[k:] - size[:-k] if len(size) > k else size[:0])
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if b - a >= k:
             out.append(np.unique(g[a : b - k + 1]))
         elif b > a:
-            out.append(np.array([grams(h[a:b], b - a)[0] ^ np.uint64(b - a)], np.uint64))
+            out.append(_ranked(grams(h[a:b], b - a) ^ np.uint64(b - a), size[b : b + 1] - size[a]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -77,7 +90,7 @@ def _scan(k: int):
         for b in small(batches):
             sets = _sets(b.column(1), k)
             if sets:
-                cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+                cells += np.bincount(_cell(np.concatenate(sets)), minlength=1 << CELL_BITS)
             n = len(sets)
             yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print_of(s) for s in sets], pa.int64()), pa.array([_bits(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         rows = [(i, zlib.compress(c.astype("<i8").tobytes(), 1)) for i, c in enumerate(np.split(cells, PARTS)) if c.any()]
@@ -132,7 +145,7 @@ def _postings(k: int, pct: int, buckets: int, heavy):
             d = np.repeat(np.array([i for _, i in held], np.int64), [len(s) for s, _ in held])
             order = np.argsort(g)
             g, d = g[order], d[order]
-            to = (g >> np.uint64(32)) % np.uint64(buckets)
+            to = mix(g) % np.uint64(buckets)
             order = np.argsort(to, kind="stable")
             g, d, to = g[order], d[order], to[order]
             cut = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
@@ -143,7 +156,7 @@ def _postings(k: int, pct: int, buckets: int, heavy):
             for doc, s in zip(b.column(0).to_pylist(), _sets(b.column(1), k)):
                 if doc is None or not len(s) or seen.setdefault(_print_of(s), doc) != doc:
                     continue  # equal sets meet through their fingerprint
-                last = level[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                last = level[_cell(s)]
                 if last.any():
                     s = s[np.argsort(last, kind="stable")]
                 held.append((s[: _bound(len(s), pct)], doc))
@@ -238,7 +251,7 @@ def _screen(pct: int):
                     if len(at):
                         found[i] = found[others[at]] = True
             keep += block[found].tolist()
-        return table.take(pa.array(keep, pa.int64())).select(["doc_id", "pivot", "i", "j"])
+        return table.take(pa.array(keep, pa.int64())).select(["doc_id", "pivot"])
 
     return run
 
@@ -299,6 +312,14 @@ def _reach(fps: np.ndarray, rows: list[np.ndarray], pct: int) -> list[tuple[int,
     return links
 
 
+def _parts(pairs: DataFrame, block_rows: int) -> DataFrame:
+    """(doc_id, pivot) -> (doc_id, pivot, i, j): a small block is (0, 0), in a large one each row meets every part."""
+    parts = saved(pairs.groupBy("pivot").agg(F.count("*").alias("m")).select("pivot", F.ceil(F.col("m") / block_rows).cast("int").alias("g")), "parts")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
+    other = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    return pairs.join(parts, "pivot").withColumn("own", own).select("doc_id", "pivot", F.explode(other).alias("at")).select("doc_id", "pivot", "at.i", "at.j")
+
+
 def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): near duplicates by 100 * i >= pct * u.
 
@@ -316,16 +337,15 @@ def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_rows: int = 200
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = d.mapInArrow(_postings(k, pct, buckets, heavy), "bucket int, grams binary, docs binary")
     pairs = saved(packed.groupBy("bucket").applyInArrow(_pivots, "doc_id long, pivot long").distinct(), "pairs")
-    parts = saved(pairs.groupBy("pivot").agg(F.count("*").alias("m")).select("pivot", F.ceil(F.col("m") / block_rows).cast("int").alias("g")), "parts")
-    # A small block is (0, 0); in a large one, each row meets every part.
-    own = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
-    other = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    met = pairs.join(parts, "pivot").withColumn("own", own).select("doc_id", "pivot", F.explode(other).alias("at")).select("doc_id", "pivot", "at.i", "at.j")
+    met = _parts(pairs, block_rows)
     bucket = F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(buckets)).alias("bucket")
     mapped = sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
-    met = met.join(mapped, "doc_id").select("*", bucket).groupBy("bucket").applyInArrow(_screen(pct), "doc_id long, pivot long, i int, j int")
-    blocks = met.groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("blocks"))
-    members = d.join(saved(blocks, "blocks"), "doc_id").mapInArrow(_rows(k), "pivot long, i int, j int, fp long, grams binary")
+    met = met.join(mapped, "doc_id").select("*", bucket).groupBy("bucket").applyInArrow(_screen(pct), "doc_id long, pivot long")
+    met = saved(met.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "met")
+    # Blocks that share a document are one from here, so each document is sent once.
+    group = saved(components(met).toDF("doc_id", "pivot"), "groups")
+    blocks = _parts(group, block_rows).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("blocks"))
+    members = d.join(blocks, "doc_id").mapInArrow(_rows(k), "pivot long, i int, j int, fp long, grams binary")
     links = saved(members.select("*", bucket).groupBy("bucket").applyInArrow(_search(pct), "a long, b long").distinct(), "links")
     classes = saved(sets.where("fp <> 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     a, b = classes.toDF("a", "ra"), classes.toDF("b", "rb")
