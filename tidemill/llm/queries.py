@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import find_leaks
 from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
 
@@ -17,6 +18,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, within a fifth of its words of edits."""
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components: five-word n-grams, Jaccard of 0.75 or more."""
     return ngram_join(_documents(spark, sf_dir))
@@ -24,7 +30,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """name -> function of (spark, sf_dir)."""
-    return {"op2_substring_dedup": op2_substring_dedup, "op9_ngram_join": op9_ngram_join}
+    return {"op2_substring_dedup": op2_substring_dedup, "op7_decontaminate": op7_decontaminate, "op9_ngram_join": op9_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
