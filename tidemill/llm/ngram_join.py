@@ -353,3 +353,16 @@ def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_rows: int = 200
     comp = components(edges)
     final = saved(classes.join(comp, classes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("root")), "final")
     return sets.join(final, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
+    """The rows whose doc_id leads its component; of repeated rows, one.
+
+    Rows without n-grams or without a doc_id all stay.  Columns stay as they are.
+    """
+    comp = saved(ngram_join(docs, k, pct), "components")
+    lead = comp.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
+    kept = docs.join(lead.toDF("lead"), docs["doc_id"].cast("long").eqNullSafe(F.col("lead")), "left_semi")
+    if comp.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import find_leaks
+from .language_id import language_id
 from .ngram_join import ngram_join
+from .packing import best_fit_packing
 from .substring_dedup import substring_dedup
 
 
@@ -18,11 +20,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading language of each document's mixture, learned from four folds of five."""
+    return language_id(_documents(spark, sf_dir))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document, within a fifth of its words of edits."""
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in bins of 2048 words, one of a source and of a duplicate cluster in each."""
+    return best_fit_packing(_documents(spark, sf_dir))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components: five-word n-grams, Jaccard of 0.75 or more."""
     return ngram_join(_documents(spark, sf_dir))
@@ -30,7 +42,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """name -> function of (spark, sf_dir)."""
-    return {"op2_substring_dedup": op2_substring_dedup, "op7_decontaminate": op7_decontaminate, "op9_ngram_join": op9_ngram_join}
+    return {name: f for name, f in globals().items() if name[:2] == "op" and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:

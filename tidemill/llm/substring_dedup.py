@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import STEP, Words, grams, mix, powers, saved, small, with_ids
 
@@ -297,9 +298,50 @@ def substring_dedup(docs: DataFrame, window: int = 35, shard_segments: int = 256
     lose them.  doc_id may be null.  row is a hash of id and text.  Other
     columns are ignored; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
     d = with_ids(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = _spans(d, window, shard_segments)
+    return d.join(own, "row", "left").select("doc_id", "text", "spans", "row").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, row long")
+
+
+def without_repeats(docs: DataFrame, window: int = 35, shard_segments: int = 256) -> DataFrame:
+    """The documents with what is left of their texts, n_chars set anew where there is one.
+
+    Rows that lose all their words go; null and blank texts stay as they are.
+    """
+    d = with_ids(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    own = _spans(d, window, shard_segments)
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wide = wide.withColumn("row", F.xxhash64("doc_id", "text")).join(own, "row", "left")
+    changed = wide.select("doc", "text", "spans").mapInArrow(_replace(window), T.StructType([T.StructField("doc", wide.schema["doc"].dataType), T.StructField("left", T.StringType())]))
+    out = []
+    for c in docs.columns:
+        if c == "text":
+            out.append(F.col("left").alias(c))
+        elif c == "n_chars":
+            out.append(F.length("left").cast(docs.schema[c].dataType).alias(c))
+        else:
+            out.append(F.col(f"doc.`{c}`").alias(c))
+    return changed.select(out)
+
+
+def _replace(window: int):
+    """(doc, text, spans) -> (doc, what is left), without rows that lose all their words."""
+    remove = _remove(window)
+
+    def run(batches):
+        for b in small(batches):
+            some = pa.nulls(len(b), pa.int64())
+            for left in remove([pa.record_batch([some, b.column(1), b.column(2), some], names=["doc_id", "text", "spans", "row"])]):
+                words, removed = left.column(1).to_numpy(), left.column(2).to_numpy()
+                keep = pa.array((removed == 0) | (removed < words))
+                yield pa.record_batch([b.column(0), left.column(4)], names=["doc", "left"]).filter(keep)
+
+    return run
+
+
+def _spans(d: DataFrame, window: int, shard_segments: int) -> DataFrame:
+    """(row, text) -> the repeated windows of each row, as (first word, windows)."""
+    buckets = max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packed = d.select("row", "text").mapInArrow(_anchors(window, buckets), "bucket int, anchor binary, seg binary, row binary, place binary, n binary")
     met = saved(packed.groupBy("bucket").applyInArrow(_meet(shard_segments), FOUND), "met")
     wanted = met.where("weight > 0").groupBy("row").agg(F.collect_list(F.struct("key", "place", "n", "weight", "hot")).alias("wanted"))
@@ -310,5 +352,4 @@ def substring_dedup(docs: DataFrame, window: int = 35, shard_segments: int = 256
     matched = shards.groupBy("bucket").applyInArrow(_match(window), "row long, place int, n int")
     parts = ["row", "place", "n"]
     spans = saved(met.where("weight = 0").select(parts).union(cut.where("key is null").select(parts)).union(matched), "spans")
-    own = spans.groupBy("row").agg(F.collect_set(F.struct("place", "n")).alias("spans"))
-    return d.join(own, "row", "left").select("doc_id", "text", "spans", "row").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, row long")
+    return spans.groupBy("row").agg(F.collect_set(F.struct("place", "n")).alias("spans"))
