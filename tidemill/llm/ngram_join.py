@@ -8,10 +8,10 @@ n - ceil(t * n) + 1 n-grams of each.  Every list of an n-gram's documents names
 its least document as pivot, and a pivot's block gets the whole rows of all
 documents of its lists, so each pair that shares such an n-gram meets in a
 block.  Parity bitmaps of the rows, a 32nd of their size, first give a lossless
-lower bound of each pair's own n-grams; only rows with a partner left send
-their n-grams.  In the block, a breadth-first search multiplies one row at a time by the rows
+lower bound of each pair's own n-grams; documents joined by pairs it allows form
+the blocks that get whole rows, once each.  There, a breadth-first search multiplies one row at a time by the rows
 not reached yet, accumulates overlap counts, and drops pairs below the bound
-i >= t / (1 + t) * (a + b).  Blocks over `block_rows` are cut into parts and
+i >= t / (1 + t) * (a + b).  Blocks over `block_grams` are cut into parts and
 every two parts of compatible sizes meet in a task of their own.
 
 Results hold up to collisions of 64-bit n-gram hashes.
@@ -222,40 +222,58 @@ def _blocks(table):
 
 
 def _screen(pct: int):
-    """A bucket's blocks -> their rows that the parity bounds leave a partner."""
+    """A bucket's blocks -> star edges (a, b) that span the pairs the parity bounds allow."""
 
     def run(_key, table):
         ids, sizes, bits = table.column("doc_id").to_numpy(), table.column("n").to_numpy(), table.column("bits")
-        keep: list[int] = []
+        edges: set[tuple[int, int]] = set()
         for block in _blocks(table):
-            if len(block) < 2:
-                continue
-            n = sizes[block].astype(np.int64)
-            maps = [np.frombuffer(bits[int(i)].as_py(), np.uint64) for i in block]
-            wide = np.array([len(m) for m in maps])
-            found = np.zeros(len(block), bool)
-            for w in np.unique(wide):
-                own, next_ = np.flatnonzero(wide == w), np.flatnonzero(wide == 2 * w)
-                here = np.r_[own, next_]
-                m = np.stack([maps[i] if len(maps[i]) == w else maps[i][:w] ^ maps[i][w:] for i in here])
-                for x, i in enumerate(here.tolist()):
-                    if found[i]:
-                        continue  # whoever needs this row as a partner looks for it
-                    others = here if x < len(own) else own
-                    most = (100 - pct) * (n[others] + n[i])
-                    ok = (100 + pct) * np.abs(n[others] - n[i]) <= most
-                    if x < len(others):
-                        ok[x] = False
-                    at = np.flatnonzero(ok)
-                    at = at[(100 + pct) * np.bitwise_count(m[at] ^ m[x]).sum(1, dtype=np.int64) <= most[at]]
-                    if len(at):
-                        found[i] = found[others[at]] = True
-            keep += block[found].tolist()
-        return table.take(pa.array(keep, pa.int64())).select(["doc_id", "pivot"])
+            if len(block) > 1:
+                block = block[np.argsort(ids[block], kind="stable")]
+                for i, j in _allowed(sizes[block].astype(np.int64), [np.frombuffer(bits[int(i)].as_py(), np.uint64) for i in block], pct):
+                    edges.add((int(ids[block[j]]), int(ids[block[i]])))
+        cols = list(zip(*edges)) or [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
     return run
 
 
+def _allowed(n: np.ndarray, maps: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
+    """Breadth-first over pairs whose sizes and bitmaps allow them; (first of its group, row)."""
+    wide = np.array([len(m) for m in maps])
+    levels = {}
+    for w in np.unique(wide).tolist():
+        for at in (w, w // 2):
+            own = [i for i in range(len(maps)) if wide[i] in (at, 2 * at)]
+            if at and at not in levels and own:
+                levels[at] = (np.array(own), np.stack([maps[i] if wide[i] == at else maps[i][:at] ^ maps[i][at:] for i in own]))
+    place = {w: {int(i): x for x, i in enumerate(own)} for w, (own, _) in levels.items()}
+    todo = np.ones(len(maps), bool)
+    out: list[tuple[int, int]] = []
+    for first in range(len(maps)):
+        if not todo[first]:
+            continue
+        todo[first] = False
+        queue = [first]
+        while queue:
+            i = queue.pop()
+            for w in (int(wide[i]), int(wide[i]) // 2):  # its own width and wider rows, then narrower rows
+                if w not in levels:
+                    continue
+                own, m = levels[w]
+                at = np.flatnonzero(todo[own] & ((wide[own] == w) | (w == wide[i])))
+                most = (100 - pct) * (n[own[at]] + n[i])
+                ok = (100 + pct) * np.abs(n[own[at]] - n[i]) <= most
+                at, most = at[ok], most[ok]
+                if len(at):
+                    apart = np.bitwise_count(m[at] ^ m[place[w][i]]).sum(1, dtype=np.int64)
+                    found = own[at[(100 + pct) * apart <= most]]
+                    todo[found] = False
+                    out += [(first, int(j)) for j in found]
+                    queue += found.tolist()
+    return out
+
+
 def _search(pct: int):
     """A bucket's blocks -> links (a, b) between fingerprints that span their components."""
 
@@ -312,15 +330,15 @@ def _reach(fps: np.ndarray, rows: list[np.ndarray], pct: int) -> list[tuple[int,
     return links
 
 
-def _parts(pairs: DataFrame, block_rows: int) -> DataFrame:
-    """(doc_id, pivot) -> (doc_id, pivot, i, j): a small block is (0, 0), in a large one each row meets every part."""
-    parts = saved(pairs.groupBy("pivot").agg(F.count("*").alias("m")).select("pivot", F.ceil(F.col("m") / block_rows).cast("int").alias("g")), "parts")
+def _parts(pairs: DataFrame, most: int) -> DataFrame:
+    """(doc_id, pivot, n) -> (doc_id, pivot, i, j): a block of n-grams up to `most` is (0, 0); in a larger one each row meets every part."""
+    parts = saved(pairs.groupBy("pivot").agg(F.sum("n").alias("m")).select("pivot", F.ceil(F.col("m") / most).cast("int").alias("g")), "parts")
     own = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
     other = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    return pairs.join(parts, "pivot").withColumn("own", own).select("doc_id", "pivot", F.explode(other).alias("at")).select("doc_id", "pivot", "at.i", "at.j")
+    return pairs.join(parts, "pivot").withColumn("own", own).withColumn("at", F.explode(other)).select("doc_id", "pivot", "at.i", "at.j", *[c for c in pairs.columns if c not in ("doc_id", "pivot")])
 
 
-def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_grams: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): near duplicates by 100 * i >= pct * u.
 
     Words are lower-cased (A-Z); a document with fewer than k words has its
@@ -337,14 +355,13 @@ def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_rows: int = 200
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = d.mapInArrow(_postings(k, pct, buckets, heavy), "bucket int, grams binary, docs binary")
     pairs = saved(packed.groupBy("bucket").applyInArrow(_pivots, "doc_id long, pivot long").distinct(), "pairs")
-    met = _parts(pairs, block_rows)
     bucket = F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(buckets)).alias("bucket")
-    mapped = sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
-    met = met.join(mapped, "doc_id").select("*", bucket).groupBy("bucket").applyInArrow(_screen(pct), "doc_id long, pivot long")
-    met = saved(met.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "met")
-    # Blocks that share a document are one from here, so each document is sent once.
-    group = saved(components(met).toDF("doc_id", "pivot"), "groups")
-    blocks = _parts(group, block_rows).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("blocks"))
+    mapped = saved(sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("bits").alias("bits")), "mapped")
+    sized = saved(pairs.join(mapped, "doc_id"), "sized")
+    allowed = _parts(sized, block_grams).select("*", bucket).groupBy("bucket").applyInArrow(_screen(pct), "a long, b long")
+    # Documents joined by such pairs are one block from here, so each is sent once.
+    group = saved(components(allowed).toDF("doc_id", "pivot").join(mapped.select("doc_id", "n"), "doc_id"), "groups")
+    blocks = _parts(group, block_grams).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("blocks"))
     members = d.join(blocks, "doc_id").mapInArrow(_rows(k), "pivot long, i int, j int, fp long, grams binary")
     links = saved(members.select("*", bucket).groupBy("bucket").applyInArrow(_search(pct), "a long, b long").distinct(), "links")
     classes = saved(sets.where("fp <> 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
