@@ -8,6 +8,7 @@ from .decontaminate import find_leaks
 from .language_id import language_id
 from .ngram_join import ngram_join
 from .packing import best_fit_packing
+from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 
 
@@ -40,6 +41,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_documents(spark, sf_dir))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of nearly equal bytes, equal texts together."""
+    return shard_documents(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     """name -> function of (spark, sf_dir)."""
     return {name: f for name, f in globals().items() if name[:2] == "op" and callable(f)}
