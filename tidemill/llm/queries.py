@@ -10,6 +10,16 @@ from .ngram_join import ngram_join
 from .packing import best_fit_packing
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
+from .token_files import read_tokens, write_tokens
+from .toxicity import toxicity
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def _tokenizer(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +36,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each text, by two dictionaries trained on four folds of five."""
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, as read back from the files they were written to."""
+    return read_tokens(write_tokens(_documents(spark, sf_dir), _tokenizer()))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document, within a fifth of its words of edits."""
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
