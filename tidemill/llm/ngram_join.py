@@ -7,7 +7,7 @@ by hash), two documents with Jaccard >= t share one of the first
 n - ceil(t * n) + 1 n-grams of each.  Every list of an n-gram's documents names
 its least document as pivot, and a pivot's block gets the whole rows of all
 documents of its lists, so each pair that shares such an n-gram meets in a
-block.  Parity bitmaps of the rows, a 32nd of their size, first give a lossless
+block.  Parity bitmaps of the rows, a 40th of their size, first give a lossless
 lower bound of each pair's own n-grams; documents joined by pairs it allows form
 the blocks that get whole rows, once each.  There, a breadth-first search multiplies one row at a time by the rows
 not reached yet, accumulates overlap counts, and drops pairs below the bound
@@ -71,12 +71,12 @@ def _print_of(s: np.ndarray) -> int:
 
 
 def _bits(s: np.ndarray) -> bytes:
-    """Parities of the hashes that fall in each of about 2n bits.
+    """Parities of the hashes that fall in each of n to 2n bits.
 
     Two such maps differ in at most as many bits as the sets have n-grams of
     their own; one of twice the width folds by xor of its halves.
     """
-    wide = 1 << max(6, (2 * len(s) - 1).bit_length())
+    wide = 1 << max(6, (len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -175,17 +175,30 @@ def _unpack(blobs, kind) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind) if blobs else np.zeros(0, kind)
 
 
-def _pivots(_key, table):
-    """A bucket's lists -> distinct (doc_id, pivot) of all lists with two documents."""
-    g, d = _unpack(table.column("grams").to_pylist(), np.uint64), _unpack(table.column("docs").to_pylist(), np.int64)
-    order = np.lexsort((d, g))
-    g, d = g[order], d[order]
-    start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[start, len(g)])
-    pivot = np.repeat(d[start], n)
-    many = np.repeat(d[start] != d[np.r_[start[1:], len(d)] - 1], n) if len(g) else np.zeros(0, bool)
-    pairs = np.unique(np.stack([d[many], pivot[many]], 1), axis=0) if len(g) else np.zeros((0, 2), np.int64)
-    return pa.table({"doc_id": pa.array(pairs[:, 0], pa.int64()), "pivot": pa.array(pairs[:, 1], pa.int64())})
+def _pivots(buckets: int):
+    """A bucket's lists -> packed distinct (doc_id, pivot) of all lists with two documents, by bucket of doc_id."""
+
+    def run(_key, table):
+        g, d = _unpack(table.column("grams").to_pylist(), np.uint64), _unpack(table.column("docs").to_pylist(), np.int64)
+        order = np.lexsort((d, g))
+        g, d = g[order], d[order]
+        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        n = np.diff(np.r_[start, len(g)])
+        many = np.repeat(d[start] != d[np.r_[start[1:], len(d)] - 1], n)
+        pairs = np.unique(np.stack([d[many], np.repeat(d[start], n)[many]], 1), axis=0)
+        to = mix(pairs[:, 0].astype(np.uint64)) % np.uint64(buckets)
+        order = np.argsort(to, kind="stable")
+        pairs, cut = pairs[order], np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
+        full = np.flatnonzero(np.diff(cut))
+        return pa.table({"bucket": pa.array(full, pa.int32()), "pairs": pa.array([pairs[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())})
+
+    return run
+
+
+def _distinct(_key, table):
+    """Packed pairs of a bucket -> distinct rows (doc_id, pivot)."""
+    pairs = np.unique(_unpack(table.column("pairs").to_pylist(), np.int64).reshape(-1, 2), axis=0)
+    return pa.table({"doc_id": pa.array(pairs[:, 0]), "pivot": pa.array(pairs[:, 1])})
 
 
 def _rows(k: int):
@@ -354,7 +367,7 @@ def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_grams: int = 3_
     sets = scanned.where("part is null").select("doc_id", "n", "fp", "bits")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = d.mapInArrow(_postings(k, pct, buckets, heavy), "bucket int, grams binary, docs binary")
-    pairs = saved(packed.groupBy("bucket").applyInArrow(_pivots, "doc_id long, pivot long").distinct(), "pairs")
+    pairs = saved(packed.groupBy("bucket").applyInArrow(_pivots(buckets), "bucket int, pairs binary").groupBy("bucket").applyInArrow(_distinct, "doc_id long, pivot long"), "pairs")
     bucket = F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(buckets)).alias("bucket")
     mapped = saved(sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("bits").alias("bits")), "mapped")
     sized = saved(pairs.join(mapped, "doc_id"), "sized")
