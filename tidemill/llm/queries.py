@@ -8,6 +8,7 @@ from .decontaminate import find_leaks
 from .language_id import language_id
 from .ngram_join import ngram_join
 from .packing import best_fit_packing
+from .quality import quality_rules
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .token_files import read_tokens, write_tokens
@@ -26,6 +27,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each text, the base rules, and the verdict of the trees."""
+    return quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without words of repeated 35-word windows."""
     return substring_dedup(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
