@@ -148,6 +148,8 @@ def _hits(w: Words, items: Items, draws: np.ndarray) -> list[tuple]:
     if not found:
         return []
     row, item, start = (np.concatenate(c) for c in zip(*found))
+    if not len(row):
+        return []
     edits = np.array(items.edits)
     size = np.array([len(x) for x in items.words])
     lo_w, hi_w = w.first[row], w.first[row + 1]
