@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import find_leaks
+from .kneser_ney import kneser_ney
 from .language_id import language_id
 from .ngram_join import ngram_join
 from .packing import best_fit_packing
@@ -42,6 +43,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_documents(spark, sf_dir))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of each text under add-one words and Kneser-Ney bigrams."""
+    return kneser_ney(_documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each text, by two dictionaries trained on four folds of five."""
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
