@@ -391,8 +391,8 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     Rows without n-grams or without a doc_id all stay.  Columns stay as they are.
     """
     comp = saved(ngram_join(docs, k, pct), "components")
-    lead = comp.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.join(lead.toDF("lead"), docs["doc_id"].cast("long").eqNullSafe(F.col("lead")), "left_semi")
+    lead = comp.where("doc_id = component_id or doc_id is null").select("doc_id").distinct().toDF("lead")
+    kept = docs.join(lead, docs["doc_id"].cast("long").eqNullSafe(lead["lead"]), "left_semi")
     if comp.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null"))
