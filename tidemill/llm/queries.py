@@ -83,6 +83,25 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:2] == "op" and callable(f)}
 
 
+_WORDS = r"""w as (select doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') w from documents)"""
+
+ORACLES = {
+    "op2_substring_dedup": f"""with {_WORDS.format(text="coalesce(text, '')")},
+        win as (select doc_id, s, array_to_string(w[s:s + 34], ' ') k from (select doc_id, w, unnest(range(1, len(w) - 33)) s from w where len(w) >= 35)),
+        hit as (select distinct doc_id, s + o p from win, range(35) t(o) where k in (select k from win group by k having count(*) > 1)),
+        kept as (select doc_id, string_agg(x, ' ' order by p) t from (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from w) anti join hit using (doc_id, p) group by doc_id),
+        n as (select doc_id, count(*) n from hit group by doc_id)
+        select doc_id, len(w) n_words, coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from w left join kept using (doc_id) left join n using (doc_id)""",
+    "op9_ngram_join": f"""with recursive {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+        g as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[s:s + 4], ' ') end g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) s from w where len(w) > 0)),
+        n as (select doc_id, count(*) n from g group by doc_id),
+        i as (select a.doc_id a, b.doc_id b, count(*) i from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+        e as (select a, b from i join n x on a = x.doc_id join n y on b = y.doc_id where 175 * i >= 75 * (x.n + y.n)),
+        r as (select doc_id d, doc_id c from documents union select e.b, r.c from r join e on e.a = r.d)
+        select doc_id, coalesce(n, 0) n_shingles, c component_id from documents left join n using (doc_id) join (select d, min(c) c from r group by d) on d = doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return dict(ORACLES)
