@@ -57,3 +57,18 @@ def write_mart(rows: DataFrame, path: str, month: Column, sort: list[str]) -> No
 def compacted(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Rows with equal keys summed up."""
     return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows, written to the folder the cluster shares and read again: their lineage ends here."""
+    import tempfile
+    import uuid
+
+    spark = rows.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="tidemill-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
