@@ -34,7 +34,7 @@ from .text import BYTE_CODE, Words, mix, powers, saved, shared, small, with_ids
 SKIPPABLE, SEEK_TABLE, SEEKABLE, CHECKED = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: White space that a text may hold beyond the bytes which end words.
 OTHER_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-MOST_KEPT = 400_000
+MOST_KEPT = 1_000_000
 
 
 class Encoder:
@@ -70,8 +70,9 @@ class Encoder:
             part = joined[a : a + 4096]
             ids = np.array(self.plain([b"".join(chunks[i] for i in part).decode()])[0], self.kind)
             cut = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(chunks[i]) for i in part])) + 1
+            data, cut = ids.tobytes(), cut * ids.itemsize
             for i, s, e in zip(part, np.r_[0, cut[:-1]].tolist(), cut.tolist()):
-                self.known[keys[i]] = ids[s:e].tobytes()
+                self.known[keys[i]] = data[s:e]
 
     def encode(self, col: pa.Array) -> list[bytes]:
         """Ids of each text, packed; a null text is empty."""
@@ -100,11 +101,13 @@ class Encoder:
         s, e = starts[at].tolist(), ends[at].tolist()
         self._learn([keys[i] for i in new], [data[s[i] : e[i]] for i in new])
         ids = [self.known[k] for k in keys]
-        out, c = [], 0
-        inverse = inverse.tolist()
-        for n in per_row.tolist():
-            out.append(b"".join([ids[i] for i in inverse[c : c + n]]))
-            c += n
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.kind).itemsize
+        n = size[inverse]
+        stop = np.cumsum(n)
+        place = np.arange(stop[-1] if len(stop) else 0) + np.repeat((np.cumsum(size) - size)[inverse] - (stop - n), n)
+        flat = np.frombuffer(b"".join(ids), self.kind)[place].tobytes()
+        cut = np.r_[0, stop][np.r_[0, np.cumsum(per_row)]] * np.dtype(self.kind).itemsize
+        out = [flat[s:e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist())]
         for i, x in zip(odd, self.plain([texts[i] for i in odd])):
             out[i] = np.array(x, self.kind).tobytes()
         return out
