@@ -14,7 +14,7 @@ from tidemill.llm.text import saved
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a leading language, go."""
+    """Documents without letters, or whose letters no mixture of the languages explains better than chance, go."""
     return keep_known_languages(docs)
 
 

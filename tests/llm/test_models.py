@@ -73,6 +73,21 @@ def test_language_shares():
     assert not s[3:].any()
 
 
+def test_balanced_mixtures_of_many_languages(spark):
+    rng = np.random.default_rng(2)
+    alphabets = ("abcde", "fghij", "klmno", "pqrst", "uvwxy")
+    words = [["".join(rng.choice(list(s), 6)) for _ in range(100)] for s in alphabets]
+    text = lambda n, *of: " ".join(rng.permutation(np.concatenate([rng.choice(words[i], n) for i in of])))
+    rows = [(j * 5 + i, text(40, i), f"l{i}") for j in range(40) for i in range(5)]
+    odd = {1001: text(40, 0, 1, 2), 1002: text(40, 0, 1, 2, 3), 1003: text(40, 0, 1, 2, 3, 4), 1004: "中文文本 没有学过", 1005: "12 34"}
+    docs = spark.createDataFrame(rows + [(i, t, None) for i, t in odd.items()], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in li.language_id(docs).where("doc_id > 1000").collect()}
+    for i, m in ((1001, 3), (1002, 4), (1003, 5)):
+        assert sorted(got[i].languages) == [f"l{j}" for j in range(m)] and abs(got[i].score - 1 / m) < 0.02
+    assert {r.doc_id for r in li.keep_known_languages(docs).where("doc_id > 1000").collect()} == {1001, 1002, 1003}
+    assert li.keep_known_languages(docs).count() == len(rows) + 3
+
+
 def test_language_on_tables(spark, corpus, nothing):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     r = li.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")

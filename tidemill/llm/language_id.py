@@ -7,7 +7,8 @@ likelihood in a language is the product of its trigrams'.  For each document,
 expectation-maximisation over its words estimates the languages' shares with
 one, two, ... languages allowed, the likeliest by the full mixture first, and
 the set of the best penalised likelihood is kept: each language beyond the
-first costs `penalty` times half the logarithm of the words (BIC).
+first costs `penalty` times half the logarithm of the words (BIC).  Sizes end
+where even the likeliest mixture of all could not pay for one language more.
 """
 
 from __future__ import annotations
@@ -105,32 +106,51 @@ def _mixtures(ll: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: in
     return share, np.add.reduceat(np.log(whole), first)
 
 
-def infer(col: pa.Array, table: np.ndarray, rounds: int = 6, penalty: float = 4.0):
-    """Of each text: shares by language (all 0: no letter), as chosen by penalised likelihood."""
+def fit(col: pa.Array, table: np.ndarray, rounds: int = 6, penalty: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: shares by language (all 0: no letter), as chosen by penalised likelihood, and how far a letter is likelier than by chance, in logarithms."""
     cells, starts, first = _trigrams(col)
     rows, langs = len(first) - 1, len(table)
-    share = np.zeros((rows, langs))
+    share, gain = np.zeros((rows, langs)), np.zeros(rows)
     words = np.diff(first)
     has = np.flatnonzero(words)
     if not len(has) or not langs:
-        return share
+        return share, gain
     ll = np.add.reduceat(table[:, cells], starts, axis=1).T
-    ll -= ll.max(1, keepdims=True)
+    peak = ll.max(1)
+    ll -= peak[:, None]
     # one strange word, or markup inside one, is not a language
     np.maximum(ll, -12, out=ll)
     at, n = first[:-1][has], words[has]
-    full, _ = _mixtures(ll, at, np.ones((len(has), langs)), rounds)
+    full, like = _mixtures(ll, at, np.ones((len(has), langs)), rounds)
     order = np.argsort(-full, axis=1, kind="stable")
-    best = np.full(len(has), -np.inf)
-    for m in range(1, min(langs, 3) + 1):
-        allowed = np.zeros((len(has), langs))
-        np.put_along_axis(allowed, order[:, :m], 1, axis=1)
-        own, like = _mixtures(ll, at, allowed, rounds if m > 1 else 1)
-        like = like - penalty * (m - 1) * 0.5 * np.log(n + 1)
-        better = like > best
-        best[better] = like[better]
-        share[has[better]] = own[better]
-    return share
+    # the likelihood is concave in the shares: no mixture is likelier than this one by more than its steepest slope less n
+    likes = np.exp(ll)
+    slope = np.add.reduceat(likes / ((likes * np.repeat(full, n, axis=0)).sum(1, keepdims=True) + 1e-30), at, axis=0).max(1)
+    bound = np.minimum(like + np.maximum(slope - n, 0), 0)
+    each = penalty * 0.5 * np.log(n + 1)
+    best, chosen = np.full(len(has), -np.inf), np.zeros(len(has))
+    for m in range(1, langs + 1):
+        open_ = np.flatnonzero(bound - (m - 1) * each > best)
+        if not len(open_):
+            break
+        k = n[open_]
+        begin = np.r_[0, np.cumsum(k)[:-1]]
+        part = ll if len(open_) == len(has) else ll[np.arange(k.sum()) + np.repeat(at[open_] - begin, k)]
+        allowed = np.zeros((len(open_), langs))
+        np.put_along_axis(allowed, order[open_, :m], 1, axis=1)
+        own, like = _mixtures(part, begin, allowed, rounds if m > 1 else 1)
+        paid = like - (m - 1) * each[open_]
+        better = paid > best[open_]
+        best[open_[better]], chosen[open_[better]] = paid[better], like[better]
+        share[has[open_[better]]] = own[better]
+    letters = np.add.reduceat(np.diff(np.r_[starts, len(cells)]), at)
+    gain[has] = (np.add.reduceat(peak, at) + chosen) / letters + np.log(CELLS)
+    return share, gain
+
+
+def infer(col: pa.Array, table: np.ndarray, rounds: int = 6, penalty: float = 4.0):
+    """Of each text: shares by language (all 0: no letter), as chosen by penalised likelihood."""
+    return fit(col, table, rounds, penalty)[0]
 
 
 def _has_letter(texts: list, share: np.ndarray) -> np.ndarray:
@@ -138,16 +158,16 @@ def _has_letter(texts: list, share: np.ndarray) -> np.ndarray:
     return np.array([s and any(c.isalpha() for c in t) for s, t in zip(share.any(1).tolist(), texts)], bool)
 
 
-def _predict(langs, model, text_at: int, keep_at: list[int], only_kept: bool, least: float):
+def _predict(langs, model, text_at: int, keep_at: list[int], only_kept: bool):
     def run(batches):
         table = model.value
         for b in small(batches, col=text_at):
-            share = infer(b.column(text_at), table)
+            share, gain = fit(b.column(text_at), table)
             known = _has_letter(b.column(text_at).to_pylist(), share)
             top = share.argmax(1) if len(langs) else np.zeros(len(b), np.int64)
             score = np.where(known, share[np.arange(len(b)), top] if len(langs) else 0.0, 0.0)
             if only_kept:
-                yield b.filter(pa.array(known & (score >= least)))
+                yield b.filter(pa.array(known & (gain >= 0)))
                 continue
             pred = [langs[i] if k else UNKNOWN for i, k in zip(top.tolist(), known.tolist())]
             sets = [[langs[j] for j in np.argsort(-s, kind="stable") if s[j] > 0] if k else [] for s, k in zip(share, known.tolist())]
@@ -173,11 +193,11 @@ def language_id(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     langs, table = learn(rows.where("not held_out and lang is not null"))
     model = docs.sparkSession.sparkContext.broadcast(table)
-    return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(langs, model, 1, [0, 2], False, 0.0), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>")
+    return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(langs, model, 1, [0, 2], False), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>")
 
 
-def keep_known_languages(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows, as they are, whose leading language has a share of `least` or more; `und` goes."""
+def keep_known_languages(docs: DataFrame) -> DataFrame:
+    """The rows, as they are, whose letters are likelier under their mixture than by chance, however many languages it holds; `und` goes."""
     langs, table = learn(_rows(docs).where("not held_out and lang is not null"))
     model = docs.sparkSession.sparkContext.broadcast(table)
-    return docs.mapInArrow(_predict(langs, model, docs.columns.index("text"), [], True, least), T.StructType(docs.schema.fields))
+    return docs.mapInArrow(_predict(langs, model, docs.columns.index("text"), [], True), T.StructType(docs.schema.fields))
