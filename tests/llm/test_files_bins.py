@@ -131,6 +131,18 @@ def test_packing(corpus, pairs, nothing):
     assert packing.best_fit_packing(nothing).count() == 0
 
 
+def test_near_copies_lie_in_different_bins(spark):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2)]
+    near = [" ".join([*w[:30], f"other{i}", *w[31:]]) for w in base for i in range(4)]
+    rows = [(i, None if i % 2 else f"s{i}", t) for i, t in enumerate(near)] + [(7, None, near[7]), (7, None, near[0]), (None, None, near[3])]
+    kind = "doc_id long, source string, text string"
+    for n, bins in ((8, 4), (11, 6)):
+        got = packing.best_fit_packing(spark.createDataFrame(rows[:n], kind), capacity=1000).collect()
+        assert len(got) == n and len({r.bin for r in got}) == bins
+        assert max(Counter(r.bin for r in got).values()) == 2
+
+
 def test_pack_takes_the_tightest_bin():
     rows = [(1, "a", 69, 1), (2, "b", 59, 2), (3, "a", 28, 3), (4, "c", 28, 4)]
     got = {x[0]: x[5] for x in packing.pack(rows, 100)}

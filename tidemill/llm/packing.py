@@ -1,7 +1,7 @@
 """Best-fit packing: documents into bins of equal capacity, without conflicts.
 
 A bin holds no two documents of one source and none of one duplicate cluster
-(texts alike in lower-cased words).  Documents are dealt into shards of about
+(a component of near copies, from ngram_join).  Documents are dealt into shards of about
 `shard_docs` by a hash of their id, so a hot source or cluster is spread over
 all shards; a shard's rows are ids and sizes, never texts.  In a shard, pieces go
 longest first.  Open bins are kept ordered by residual; the search starts at
@@ -15,33 +15,21 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import M64, Words, small
+from .ngram_join import ngram_join
+from .text import Words, saved, small
 
 PLACED = "doc_id long, piece int, first_word long, n_words long, size long, bin long, bin_offset long"
 
 
 def _sizes(batches):
-    """(doc_id, source, text) -> words and a hash of their lower-cased sequence."""
-    for b in small(batches, col=2):
-        w = Words(b.column(2), lower=True)
-        h = w.hashes()
-        n = w.counts()
-        key = np.zeros(len(n), np.int64)
-        for i, (s, e) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
-            x = hash_run(h[s:e])
-            key[i] = x - (1 << 64) if x >> 63 else x
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key)], names=["doc_id", "source", "n", "cluster"])
-
-
-def hash_run(h: np.ndarray) -> int:
-    """64 bits of a sequence of word hashes."""
-    odd = 2 * np.arange(len(h), dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    return (int((h * odd).sum(dtype=np.uint64)) * 3 + len(h)) & M64
+    """(row, doc_id, source, text) -> the row's words."""
+    for b in small(batches, col=3):
+        n = Words(b.column(3)).counts()
+        yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], names=["row_id", "doc_id", "source", "n"])
 
 
 def pack(rows: list[tuple], capacity: int) -> list[tuple]:
@@ -103,14 +91,21 @@ def _pack(capacity: int):
 def best_fit_packing(docs: DataFrame, capacity: int = 2048, shard_docs: int = 8192) -> DataFrame:
     """(doc_id, piece, first_word, n_words, size, bin, bin_offset): where each piece lies.
 
-    Sizes count words and an end mark for each document.  Null, empty and blank
-    texts take their end mark only and are in no cluster.  Repeated rows are
-    placed each, in different bins (they are one cluster).  A null doc_id is
-    placed too.  Ties go by doc_id.  Other columns are ignored; an empty table
-    gives an empty table.
+    Sizes count words and an end mark for each document.  Clusters are the
+    components of ngram_join (five-word n-grams, Jaccard of 0.75 or more), found
+    on the texts given.  Null, empty and blank texts take their end mark only
+    and are in no cluster.  Repeated rows are placed each, in different bins
+    (they are one cluster).  A null doc_id is placed too.  Ties go by doc_id.
+    Other columns are ignored; an empty table gives an empty table.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    shards = max(1, -(-docs.count() // shard_docs))
-    sized = rows.mapInArrow(_sizes, "doc_id long, source string, n long, cluster long")
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    total, known = rows.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    shards = max(1, -(-total // shard_docs))
+    if known == total:
+        rows = rows.select(F.col("doc_id").alias("row_id"), "doc_id", "source", "text")
+    else:  # rows of one doc_id may have other texts, so each needs an id that stays
+        rows = saved(rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", "text"), "rows")
+    clusters = ngram_join(rows, id_col="row_id").select(F.col("doc_id").alias("row_id"), F.col("component_id").alias("cluster"))
+    sized = rows.mapInArrow(_sizes, "row_id long, doc_id long, source string, n long").join(clusters, "row_id")
+    sized = sized.select("doc_id", "source", "n", "cluster", F.pmod(F.xxhash64("row_id", "cluster"), F.lit(shards)).alias("shard"))
     return sized.groupBy("shard").applyInArrow(_pack(capacity), PLACED)
