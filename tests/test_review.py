@@ -76,3 +76,24 @@ def test_overlaps_and_alignment(spark):
     n = spark.createDataFrame([(1, "毛衣", 0), (2, "羊毛衫", 1), (3, "羊毛", 2)], "product_id long, name string, pos int")
     g = spark.createDataFrame([(1, "这件羊毛衫"), (2, "那件"), (3, "羊毛")], "segment_id long, t string")
     assert {r.segment_id: r.product_id for r in review.align(g, n, "t").collect()} == {1: 2, 2: None, 3: 3}
+
+
+def test_whole_texts_count(spark):
+    from tidemill.operators import evaluation
+
+    item = " ".join(f"word{i}" for i in range(20))
+    docs = [(1, "before it " + item.replace(" ", "\n") + " after"), (2, item[:70] + " but then another end"), (3, item), (4, None), (5, "x" + item), (6, "short one")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = lambda items: sorted(r.doc_id for r in evaluation.isolated(docs, spark.createDataFrame(items, "text string")).collect())
+    assert kept([(item,), (None,), (" ",)]) == [2, 4, 5, 6] and kept([("short one",)]) == [1, 2, 3, 4, 5] and kept([(None,)]) == [1, 2, 3, 4, 5, 6]
+
+
+def test_equal_terms_join_as_one(spark):
+    from tidemill.operators import greedy
+
+    texts = ["a b c d", "d c b a", "a b c e", "x y", "", "a b c d"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    terms = F.filter(F.split("t", " "), lambda x: x != "")
+    got = {(r.a, r.b): round(r.score, 6) for r in greedy.similar_pairs(rows, "id", terms, 0.5).collect()}
+    assert got == {(0, 1): 1, (0, 5): 1, (1, 5): 1, (0, 2): 0.6, (1, 2): 0.6, (2, 5): 0.6}
+    assert sorted(r.id for r in greedy.without_similar(rows, "id", terms, 0.5).collect()) == [0, 3, 4]

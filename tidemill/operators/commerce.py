@@ -26,10 +26,13 @@ def price_from(skus: DataFrame) -> DataFrame:
     return skus.groupBy("product_id").agg(F.min("price").alias("price_from"), F.count("*").alias("skus")).orderBy("price_from", "product_id")
 
 
-def relaxed(rows: DataFrame, needs: DataFrame, levels: list[Column]) -> DataFrame:
-    """For each need, the rows of the first level that finds any; levels go from strict to loose."""
+def relaxed(rows: DataFrame, needs: DataFrame, levels: list[Column], on: Column | None = None) -> DataFrame:
+    """For each need, the rows of the first level that finds any; levels go from strict to loose.
+
+    on: what all levels ask for, by which rows and needs are joined; without it every row meets every need.
+    """
     level = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(levels)])
-    found = rows.join(F.broadcast(needs)).withColumn("level", level).where("level is not null")
+    found = (rows.join(F.broadcast(needs)) if on is None else rows.join(needs, on)).withColumn("level", level).where("level is not null")
     return found.withColumn("_best", F.min("level").over(W.partitionBy("need_id"))).where("level = _best").drop("_best")
 
 

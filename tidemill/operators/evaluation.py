@@ -56,3 +56,22 @@ def regressions(now: DataFrame, baseline: DataFrame, tolerance: float = 0.03) ->
     b = baseline.select("suite", "metric", F.col("value").alias("base"))
     delta = F.round(F.col("value") - F.col("base"), 6)
     return now.join(b, ["suite", "metric"]).select("suite", "metric", delta.alias("delta"), (delta >= -tolerance).alias("ok"))
+
+
+def isolated(docs: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
+    """(doc_id, text) without those that hold an item's text word for word, anywhere; items are a stated set.
+
+    Documents meet the items whose first n words (or all, of fewer) they hold.
+    """
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"[ \t\n\x0b\f\r]+"), lambda x: x != "")
+    line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    i = items.select(words(F.col("text")).alias("w")).where("size(w) > 0").withColumn("n", F.least(F.size("w"), F.lit(n)))
+    i = i.select("n", line(F.col("w")).alias("item"), F.xxhash64(F.array_join(F.slice("w", 1, F.col("n")), " ")).alias("h"))
+    sizes = [r["n"] for r in i.select("n").distinct().collect()]  # n at most
+    if not sizes:
+        return docs
+    d = docs.select("doc_id", words(F.col("text")).alias("w"))
+    run = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda s: F.struct(F.lit(k).alias("n"), F.xxhash64(F.array_join(F.slice("w", s, k), " ")).alias("h")))).otherwise(F.array().cast("array<struct<n int, h bigint>>"))
+    runs = d.select("doc_id", line(F.col("w")).alias("line"), F.explode(F.array_distinct(F.concat(*[run(k) for k in sizes]))).alias("r"))
+    held = runs.select("doc_id", "line", "r.*").join(F.broadcast(i), ["n", "h"]).where("contains(line, item)").select("doc_id").distinct()
+    return docs.join(held, "doc_id", "left_anti")

@@ -36,15 +36,24 @@ def catalog_nested(spark, d):
     return _t(spark, d, "part").join(top, "p_partkey", "left").select("p_partkey", "p_brand", F.coalesce("suppliers", F.lit("")).alias("suppliers"))
 
 
-def relaxation_ladder(spark, d):
-    """For each need, products of the first level that finds any: brand, size and price; brand and size; size."""
-    n = _t(spark, d, "supplier").where("s_suppkey % 9 = 1").select(F.col("s_suppkey").alias("need_id"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 60).alias("brand_wanted"), (F.col("s_suppkey") % 50).alias("size_wanted"))
+def _ladder(spark, d, suppliers):
+    n = suppliers.select(F.col("s_suppkey").alias("need_id"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 60).alias("brand_wanted"), (F.col("s_suppkey") % 50).alias("size_wanted"))
     p = _t(spark, d, "part")
     brand, size, price = F.col("p_brand") == F.col("brand_wanted"), F.col("p_size") == F.col("size_wanted"), F.col("p_retailprice") < 1200
-    f = ops.relaxed(p, n, [brand & size & price, brand & size, size])
+    f = ops.relaxed(p, n, [brand & size & price, brand & size, size], size)
     return f.groupBy("need_id", "level").agg(F.count("*").alias("products"), F.min("p_partkey").alias("first_product"))
 
 
+def relaxation_ladder(spark, d):
+    """relaxation_ladder_all of every ninth need."""
+    return _ladder(spark, d, _t(spark, d, "supplier").where("s_suppkey % 9 = 1"))
+
+
+def relaxation_ladder_all(spark, d):
+    """For each need, products of the first level that finds any: brand, size and price; brand and size; size."""
+    return _ladder(spark, d, _t(spark, d, "supplier"))
+
+
 def recommend_same_brand(spark, d):
     """The three cheapest other products of the brand, for every hundredth product."""
     p = _t(spark, d, "part")
@@ -60,13 +69,22 @@ def category_paths(spark, d):
     return s.rollup("r_name", "n_name").agg(F.count("*").alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
 
 
-def order_security(spark, d):
-    """Orders a customer may see when asking for the neighbour's: none; and their own."""
-    o, c = _t(spark, d, "orders"), _t(spark, d, "customer").where("c_custkey % 10 = 1").select("c_custkey")
+def _security(spark, d, customers):
+    o, c = _t(spark, d, "orders"), customers.select("c_custkey")
     asked = o.withColumn("asks", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1))
     return asked.join(c, F.col("asks") == F.col("c_custkey")).groupBy("asks").agg(F.count("*").alias("asked"), F.count_if(F.col("asks") == F.col("o_custkey")).alias("seen"))
 
 
+def order_security(spark, d):
+    """order_security_all of every tenth customer."""
+    return _security(spark, d, _t(spark, d, "customer").where("c_custkey % 10 = 1"))
+
+
+def order_security_all(spark, d):
+    """Orders a customer may see when asking for the neighbour's: none; and their own."""
+    return _security(spark, d, _t(spark, d, "customer"))
+
+
 def order_expiry(spark, d):
     """The two hundred oldest open orders past their time to pay."""
     o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("paid").alias("status"), F.col("o_orderdate").alias("placed_at"))
@@ -126,7 +144,7 @@ def top_customers(spark, d):
     return c.withColumn("rank", F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.desc("spent"), "c_custkey")).cast("long")).where("rank <= 3")
 
 
-QUERIES = {f.__name__: f for f in (product_search, catalog_prices, catalog_nested, relaxation_ladder, recommend_same_brand, category_paths, order_security, order_expiry, order_states, stock_fold, idempotent_orders, monthly_mart, shelf_blockers, interval_overlaps, top_customers)}
+QUERIES = {f.__name__: f for f in (product_search, catalog_prices, catalog_nested, relaxation_ladder, relaxation_ladder_all, recommend_same_brand, category_paths, order_security, order_security_all, order_expiry, order_states, stock_fold, idempotent_orders, monthly_mart, shelf_blockers, interval_overlaps, top_customers)}
 
 ORACLES = {
     "product_search": "select p_partkey product_id, p_brand brand, p_retailprice price from part where p_size % 5 > 0 and p_retailprice between 950 and 1400 and contains(p_type, 'E')",
@@ -155,3 +173,6 @@ ORACLES = {
     "interval_overlaps": """with s as (select user_id, event_type k, floor(epoch(ts))::bigint b, floor(epoch(ts))::bigint + 36000 e from events) select a.user_id, count(*) pairs, sum(least(a.e, b.e) - greatest(a.b, b.b))::bigint as seconds from s a join s b on a.user_id = b.user_id and a.k = 'click' and b.k = 'view' and a.e > b.b and a.b < b.e group by 1""",
     "top_customers": "with a as (select c_nationkey, c_custkey, round(sum(o_totalprice), 2) spent from customer join orders on c_custkey = o_custkey group by all), b as (select *, row_number() over (partition by c_nationkey order by spent desc, c_custkey) as rank from a) select * from b where rank <= 3",
 }
+# The whole tables, by the SQL of the subsets.
+ORACLES["relaxation_ladder_all"] = ORACLES["relaxation_ladder"].replace(" where s_suppkey % 9 = 1", "")
+ORACLES["order_security_all"] = ORACLES["order_security"].replace(" where c_custkey % 10 = 1", "")

@@ -136,13 +136,19 @@ def eval_isolation(spark, d):
     return _docs(spark, d).select("doc_id", F.substring("text", 1, 60).alias("start")).join(b, "start", "left_anti").groupBy().agg(F.count("*").alias("kept"), F.sum("doc_id").alias("ids"))
 
 
+def eval_isolation_whole(spark, d):
+    """Documents that no benchmark text stands in word for word, wherever it begins."""
+    kept = evaluation.isolated(_docs(spark, d).select("doc_id", "text"), spark.read.parquet(f"{d}/benchmark.parquet"))
+    return kept.groupBy().agg(F.count("*").alias("kept"), F.sum("doc_id").alias("ids"))
+
+
 def word_chunks(spark, d):
     """Chunks of 120 words with an overlap of 20, counted by document."""
     c = ops.chunk_words(_docs(spark, d), "doc_id", F.col("text"))
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (corpus_terms, bm25_topk, dense_topk, hybrid_rrf, lexical_coverage, route_gate, retrieval_metrics, retrieval_by_label, confusion_matrix, class_metrics, classification_summary, stratified_split, round_robin_sample, baseline_regressions, eval_isolation, word_chunks)}
+QUERIES = {f.__name__: f for f in (corpus_terms, bm25_topk, dense_topk, hybrid_rrf, lexical_coverage, route_gate, retrieval_metrics, retrieval_by_label, confusion_matrix, class_metrics, classification_summary, stratified_split, round_robin_sample, baseline_regressions, eval_isolation, eval_isolation_whole, word_chunks)}
 
 _B = """qt as (select item_id query, term, count(*) qtf from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term from benchmark) group by all),
     tk as (select doc_id doc, regexp_extract_all(lower(text), '[a-z0-9]+') terms from documents),
@@ -176,6 +182,8 @@ ORACLES = {
     "round_robin_sample": "select doc_id, lang, row_number() over (partition by lang order by md5(doc_id::varchar)) turn_no from documents order by turn_no, lang limit 50",
     "baseline_regressions": """with o as (select o_orderstatus s, month(o_orderdate) >= 7 late, avg(o_totalprice) / 100000 v from orders group by all) select 'orders' suite, a.s metric, round(a.v - b.v, 6) delta, round(a.v - b.v, 6) >= -0.03 ok from o a join o b on a.s = b.s and a.late and not b.late""",
     "eval_isolation": "select count(*) kept, sum(doc_id)::bigint ids from documents where substr(text, 1, 60) not in (select substr(text, 1, 60) from benchmark where length(text) >= 60)",
+    "eval_isolation_whole": r"""with d as (select doc_id, ' ' || trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', ' ', 'g')) || ' ' t from documents), b as (select ' ' || trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) || ' ' i from benchmark where regexp_matches(text, '[^ \t\n\x0b\f\r]'))
+        select count(*) kept, sum(doc_id)::bigint ids from d where not exists (select 1 from b where contains(t, i))""",
     "word_chunks": r"""with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') w from documents),
         c as (select doc_id, w, unnest(range(0, greatest(ceil((len(w) - 20) / 100)::int, 1))) seq from w where len(w) > 0)
         select doc_id, count(*) chunks, sum(length(array_to_string(w[seq * 100 + 1:seq * 100 + 120], ' ')))::bigint chars from c group by doc_id""",

@@ -23,13 +23,22 @@ def task_keys(spark, d):
     return c.groupBy(rag_text.task_key(F.lit("ask"), F.lit(None).cast("long"), F.col("text")).alias("key")).agg(F.count("*").alias("n"), F.min("conv_id").alias("first"))
 
 
-def attribute_conflicts(spark, d):
-    """Documents that hold a nation's region's second word but not its first one."""
+def _conflicts(spark, d, text):
     n = _t(spark, d, "nation").select((F.col("n_nationkey") % 5).cast("long").alias("product_id"), F.col("n_nationkey").alias("pos"), F.substring(F.lower("n_name"), 1, 2).alias("key"), F.substring(F.lower("n_name"), 1, 3).alias("value"))
-    i = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("content"), F.array(F.col("doc_id") % 5, (F.col("doc_id") + 1) % 5).alias("product_ids"))
+    i = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("content"), F.array(F.col("doc_id") % 5, (F.col("doc_id") + 1) % 5).alias("product_ids"))
     return ops.attribute_conflicts(i, n)
 
 
+def attribute_conflicts(spark, d):
+    """text_conflicts of the texts' first 300 characters."""
+    return _conflicts(spark, d, F.substring("text", 1, 300))
+
+
+def text_conflicts(spark, d):
+    """Documents that hold a nation's region's second word but not its first one."""
+    return _conflicts(spark, d, F.col("text"))
+
+
 def annotations(spark, d):
     """Items by status once every third was approved, every fifth rejected, every seventh changed."""
     i = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("pending").alias("review_status"), F.lit(0.5).alias("confidence"))
@@ -81,12 +90,22 @@ def similar_openings(spark, d):
 
 
 def greedy_openings(spark, d):
-    """Documents left when, in order, each goes that is like one kept before it."""
+    """Documents left when, in order, each goes whose opening is like one kept before it."""
     o = _t(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
-    return greedy.keep_first(o.select(F.col("doc_id").alias("id")), greedy.similar_pairs(o, "doc_id", tokenize(F.col("t")), 0.5))
+    return greedy.without_similar(o, "doc_id", tokenize(F.col("t")), 0.5)
+
+
+def similar_texts(spark, d):
+    """Pairs of documents with a Jaccard of 0.5 or more over words."""
+    return greedy.similar_pairs(_t(spark, d, "documents"), "doc_id", tokenize(F.col("text")), 0.5).select("a", "b", F.round("score", 6).alias("score"))
+
+
+def greedy_texts(spark, d):
+    """Documents left when, in order, each goes that is like one kept before it."""
+    return greedy.without_similar(_t(spark, d, "documents"), "doc_id", tokenize(F.col("text")), 0.5)
 
 
-QUERIES = {f.__name__: f for f in (order_numbers, task_keys, attribute_conflicts, annotations, transcript_windows, segment_alignment, rating_agreement, message_style, brand_options, retention, similar_openings, greedy_openings)}
+QUERIES = {f.__name__: f for f in (order_numbers, task_keys, attribute_conflicts, text_conflicts, annotations, transcript_windows, segment_alignment, rating_agreement, message_style, brand_options, retention, similar_openings, greedy_openings, similar_texts, greedy_texts)}
 
 _S = """t as (select doc_id id, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+')) t from documents), x as (select id, len(t) n, unnest(t) w from t),
     p as (select a.id a, b.id b, count(*) i, any_value(a.n) na, any_value(b.n) nb from x a join x b on a.w = b.w and a.id < b.id group by a.id, b.id), q as (select a, b, i / (na + nb - i) score from p where i / (na + nb - i) >= 0.5)"""
@@ -111,3 +130,7 @@ ORACLES = {
         k as (select 0::bigint i, []::bigint[] kept union all select k.i + 1, case when list_has_any(kept, coalesce(s, [])) then kept else list_append(kept, o.id) end from k join o on o.i = k.i + 1 left join nb on nb.b = o.id)
         select unnest(kept) id from (select kept from k order by i desc limit 1)""",
 }
+# The whole texts, by the SQL of the prefixes.
+ORACLES["text_conflicts"] = ORACLES["attribute_conflicts"].replace("substr(text, 1, 300)", "text")
+ORACLES["similar_texts"] = ORACLES["similar_openings"].replace("substr(text, 1, 200)", "text")
+ORACLES["greedy_texts"] = ORACLES["greedy_openings"].replace("substr(text, 1, 200)", "text")
