@@ -37,6 +37,20 @@ def test_every_session_has_one_outcome(spark):
     assert item.title == "什么面料" and item.merged == 2 and item.content == "纯棉面料" and item.review_status in ("approved", "pending")
 
 
+def test_near_sessions_conflicts_and_demand(spark):
+    q, a = "这件衣服是什么面料做的呢", "这是纯棉面料的，请放心购买吧，洗了以后不会缩水也不会掉色，可以机洗"
+    rows = [(i, t, r, x) for i, end in ((1, ""), (2, ""), (3, "哦")) for t, r, x in ((0, "user", q), (1, "assistant", a + end))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    products = spark.createDataFrame([(1, [7])], "conv_id long, product_ids array<long>")
+    attrs = spark.createDataFrame([(7, 0, "面料", "羊毛")], "product_id long, pos long, key string, value string")
+    demand = spark.createDataFrame([("什么面料", 30), ("什么面料 ", 30)], "title string, asked long")
+    for extra, want in (({"products": products, "attrs": attrs, "demand": demand}, ("P1", "conflict")), ({"demand": demand}, ("P1", "hot"))):
+        items, outcomes = funnel.run(turns, client(), **extra)
+        assert {r.conv_id: (r.gate, r.reason) for r in outcomes.collect()} == {1: ("gate3", "extracted"), 2: ("gate1", "near_duplicate"), 3: ("gate1", "near_duplicate")}
+        (item,) = items.collect()
+        assert (item.priority, item.reason, item.review_status) == (*want, "pending")
+
+
 def test_a_failing_model_stops_the_run(spark):
     def down(_):
         raise ConnectionError

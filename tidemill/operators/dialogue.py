@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import rules
-from ..functions.textops import content_hash
+from ..functions.textops import content_hash, shingles
+from ..sources.tables import cut
+from . import greedy
 
 
 @dataclass
@@ -22,6 +24,7 @@ class Gate1:
     letters: str = r"[一-鿿]"
     min_letter_ratio: float = 0.5
     contact: str = rules.CONTACT
+    near: float = 0.85
     flagged: list[str] = field(default_factory=lambda: list(rules.FLAGGED_WORDS))
 
 
@@ -42,8 +45,18 @@ def content(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.coalesce(t["content"], F.lit(""))), "\n")
 
 
+def gate1_whole(rows: DataFrame, limits: Gate1 | None = None) -> DataFrame:
+    """gate1 and its last rule: in conv_id order, a session goes whose whole text is like one's that passed before it (Jaccard of four-character shingles, exact)."""
+    g = limits or Gate1()
+    found = cut(gate1(rows, g))
+    passed = found.where("drop_reason is null").select("conv_id", content(F.col("turns")).alias("_text"))
+    near = passed.join(greedy.without_similar(passed, "conv_id", shingles(F.col("_text")), g.near).withColumnRenamed("id", "conv_id"), "conv_id", "left_anti")
+    near = cut(near.select("conv_id", F.lit("near_duplicate").alias("_near")))
+    return found.join(near, "conv_id", "left").withColumn("drop_reason", F.coalesce("drop_reason", "_near")).drop("_near")
+
+
 def gate1(rows: DataFrame, limits: Gate1 | None = None) -> DataFrame:
-    """Adds drop_reason: the first rule that fails, or null for sessions that pass."""
+    """Adds drop_reason: the first rule of a session by itself that fails, or null for sessions that pass."""
     g = limits or Gate1()
     text = F.col("_text")
     bare = F.regexp_replace(text, r"(?U)\s", "")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import UNCERTAIN_WORDS, has_any, masked
 from ..functions.textops import dedup_key
 from ..sources.tables import cut
-from . import dialogue, knowledge
+from . import dialogue, knowledge, review
 from .rag_text import ask_model, lenient_json
 
 ANSWER = "has_knowledge boolean, generalizable double, outdated boolean, quality double, confidence double, items array<struct<question string, answer string, confidence double>>"
@@ -25,15 +25,19 @@ def _verdict(a) -> F.Column:
     )
 
 
-def run(turns: DataFrame, client, limits: dialogue.Gate1 | None = None, least_confidence: float = 0.3, most_failures: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def run(turns: DataFrame, client, limits: dialogue.Gate1 | None = None, least_confidence: float = 0.3, most_failures: float = 0.5, products: DataFrame | None = None, attrs: DataFrame | None = None, demand: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(conv_id, turn, role, text) and a model client -> (items, outcomes).
 
     outcomes has one row for every session but those the model could not be
     asked about, which stay unprocessed; if these are more than `most_failures`
     of all asked, the run stops.  Gate outputs are written once and read by the
-    next gate and the outcomes alike.
+    next gate and the outcomes alike.  products (conv_id, product_ids) are what
+    sessions are about, once each; attrs (product_id, pos, key, value) are the
+    products' attributes, which an item's text may contradict; demand (title,
+    asked) is how often a question was asked.  Without products and attrs no
+    item is in conflict, without demand none is hot.
     """
-    found = cut(dialogue.gate1(dialogue.sessions(turns), limits))
+    found = cut(dialogue.gate1_whole(dialogue.sessions(turns), limits))
     passed = found.where("drop_reason is null")
     clean = passed.withColumn("turns", F.transform("turns", lambda t: t.withField("content", masked(t["content"])["text"])))
     kept = cut(dialogue.gate2(clean))
@@ -47,14 +51,22 @@ def run(turns: DataFrame, client, limits: dialogue.Gate1 | None = None, least_co
     x = judged.where("reason is null").select("conv_id", F.col("a.quality").alias("quality_score"), F.col("a.confidence").alias("conf"), F.posexplode("a.items").alias("pos", "x"))
     conf = F.coalesce("x.confidence", "conf", F.lit(0.0))
     x = x.where((F.coalesce(F.trim("x.question"), F.lit("")) != "") & (F.coalesce(F.trim("x.answer"), F.lit("")) != "") & (conf >= least_confidence))
+    x = x.withColumn("product_ids", F.array().cast("array<bigint>")) if products is None else x.join(products.select("conv_id", F.col("product_ids").cast("array<bigint>").alias("product_ids")), "conv_id", "left").withColumn("product_ids", F.coalesce("product_ids", F.array().cast("array<bigint>")))
     hedged = has_any(F.col("x.answer"), UNCERTAIN_WORDS)
     items = x.select(
         (F.col("conv_id") * 1000 + F.col("pos")).alias("id"), F.concat(F.lit("session:"), F.col("conv_id")).alias("source_ref"), F.lit("qa").alias("biz_type"), F.col("x.question").alias("title"), F.col("x.answer").alias("content"),
-        F.array().cast("array<string>").alias("tags"), F.lit(None).cast("long").alias("category_id"), F.array().cast("array<bigint>").alias("product_ids"), F.when(hedged, F.least(conf, F.lit(0.59))).otherwise(conf).alias("confidence"), "quality_score",
+        F.array().cast("array<string>").alias("tags"), F.lit(None).cast("long").alias("category_id"), "product_ids", F.when(hedged, F.least(conf, F.lit(0.59))).otherwise(conf).alias("confidence"), "quality_score",
     )
     merged = knowledge.merge_duplicates(items, dedup_key(F.col("biz_type"), F.col("title"), F.col("product_ids")))
     sampled = F.pmod(F.xxhash64("title", F.lit(20260401)), F.lit(10000)) < 500
-    out = knowledge.triage(merged, has_any(F.col("content"), UNCERTAIN_WORDS), F.lit(False), F.lit(0), sampled)
+    conflict, asked = F.lit(False), F.lit(0)
+    if attrs is not None:
+        bad = review.attribute_conflicts(merged.select("id", "content", "product_ids"), attrs).select("id", F.lit(True).alias("_conflict"))
+        merged, conflict = merged.join(bad, "id", "left"), F.coalesce("_conflict", F.lit(False))
+    if demand is not None:
+        times = demand.groupBy(F.trim("title").alias("_title")).agg(F.sum("asked").alias("_asked"))
+        merged, asked = merged.join(times, F.trim("title") == F.col("_title"), "left"), F.coalesce("_asked", F.lit(0))
+    out = knowledge.triage(merged, has_any(F.col("content"), UNCERTAIN_WORDS), conflict, asked, sampled).drop("_conflict", "_title", "_asked")
     out = out.withColumn("review_status", F.when(F.col("priority") == "auto", "approved").otherwise("pending"))
     gate1 = found.where("drop_reason is not null").select("conv_id", F.lit("gate1").alias("gate"), F.col("drop_reason").alias("reason"))
     gate2 = passed.join(kept, "conv_id", "left_anti").select("conv_id", F.lit("gate2").alias("gate"), F.lit("no_pair").alias("reason"))

@@ -17,10 +17,18 @@ def _turns(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet")
 
 
+def _limits():
+    return ops.latin_profile(min_turns=3, min_chars=120, max_chars=2000, min_letter_ratio=0.93, contact=r"(https?://|www\.)")
+
+
 def gate1_funnel(spark, d):
-    """How many sessions each rule of gate 1 stops."""
-    limits = ops.latin_profile(min_turns=3, min_chars=120, max_chars=2000, min_letter_ratio=0.93, contact=r"(https?://|www\.)")
-    return ops.funnel(ops.gate1(ops.sessions(_turns(spark, d)), limits))
+    """How many sessions each rule of gate 1 but the near-duplicate rule stops."""
+    return ops.funnel(ops.gate1(ops.sessions(_turns(spark, d)), _limits()))
+
+
+def gate1_whole_funnel(spark, d):
+    """How many sessions each rule of gate 1 stops, near duplicates of whole sessions last."""
+    return ops.funnel(ops.gate1_whole(ops.sessions(_turns(spark, d)), _limits()))
 
 
 def pii_hits(spark, d):
@@ -101,7 +109,7 @@ def sft_samples(spark, d):
     return t.withColumn("rank", rank).where("rank <= 2").select("conv_id", "turn", F.col("rank").cast("long").alias("rank"), F.length("before").cast("long").alias("question_chars"), F.length("text").cast("long").alias("answer_chars"))
 
 
-QUERIES = {f.__name__: f for f in (gate1_funnel, pii_hits, gate2_turns, gate2_sessions, ods_append, unprocessed_sessions, near_session_pairs, reply_runs, last_history, sft_samples)}
+QUERIES = {f.__name__: f for f in (gate1_funnel, gate1_whole_funnel, pii_hits, gate2_turns, gate2_sessions, ods_append, unprocessed_sessions, near_session_pairs, reply_runs, last_history, sft_samples)}
 
 _SESSIONS = """s as (select conv_id, count(*) n, string_agg(coalesce(text, ''), chr(10) order by turn) t, list({'role': case when role = 'assistant' then 'agent' else role end, 'text': text} order by turn) turns from conversations group by conv_id)"""
 ORACLES = {
@@ -134,3 +142,12 @@ ORACLES = {
         b as (select *, row_number() over (partition by conv_id order by length(text) desc, turn) as rank from a where role = 'assistant' and before_role = 'user')
         select conv_id, turn, rank, length(before) question_chars, length(text) answer_chars from b where rank <= 2""",
 }
+# The rules of gate1_funnel, then the near-duplicate rule over those that pass.
+ORACLES["gate1_whole_funnel"] = ORACLES["gate1_funnel"].replace("with s as", "with recursive s as", 1).replace("from s)\n        select case when n < 3", "from s),\n        f as (select conv_id id, t, case when n < 3", 1).replace("end reason, count(*) sessions from b group by 1", "end reason from b)") + r""",
+    c as (select id, regexp_replace(t, '\s+', '', 'g') t from f where reason = 'passed'),
+    g as (select id, case when length(t) < 4 then [t] else list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) end s from c where length(t) > 0),
+    x as (select id, len(s) n, unnest(s) w from g), p as (select a.id a, b.id b, count(*) i, any_value(a.n) na, any_value(b.n) nb from x a join x b on a.w = b.w and a.id < b.id group by a.id, b.id),
+    nb as materialized (select b, list(a) s from p where i / (na + nb - i) >= 0.85 group by b), o as materialized (select id, row_number() over (order by id) i from c),
+    k as (select 0::bigint i, []::bigint[] kept union all select k.i + 1, case when list_has_any(kept, coalesce(s, [])) then kept else list_append(kept, o.id) end from k join o on o.i = k.i + 1 left join nb on nb.b = o.id),
+    l as (select unnest(kept) id from (select kept from k order by i desc limit 1))
+    select case when reason = 'passed' and id not in (select id from l) then 'near_duplicate' else reason end reason, count(*) sessions from f group by 1"""
