@@ -37,6 +37,16 @@ def test_odd_white_space_encodes_alike():
     assert [np.frombuffer(b, e.kind).tolist() for b in e.encode(pa.array(odd))] == e.plain(odd)
 
 
+def test_special_tokens_are_one_id(spark):
+    t = tokenizers.Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>  b\n", "x  <|endoftext|><|endoftext|> y z", "plain text", " <|endoftext|>\n\n", "<|endoftext |>"]
+    got = token_files.read_tokens(token_files.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH)).orderBy("doc_id").collect()
+    want = [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    special = t.token_to_id("<|endoftext|>")
+    assert special is not None and sum(special in w for w in want) == 5
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
+
+
 def test_reader_takes_only_its_frame(tmp_path):
     with pafs.LocalFileSystem().open_output_stream(str(tmp_path / "x")) as out:
         w = token_files.Writer(out, 2, frame_bytes=16)
