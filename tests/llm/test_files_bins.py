@@ -17,7 +17,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_tokens_round_trip(corpus, pairs, nothing):
     t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     got = token_files.read_tokens(token_files.write_tokens(corpus, PATH)).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted((i for i, _ in pairs), key=lambda i: -1 if i is None else i)
     starts, want = 0, Counter()
@@ -37,6 +36,26 @@ def test_odd_white_space_encodes_alike():
     assert [np.frombuffer(b, e.kind).tolist() for b in e.encode(pa.array(odd))] == e.plain(odd)
 
 
+def test_chunks_of_one_hash_are_told_apart(monkeypatch):
+    e = token_files.Encoder(PATH)
+    real = token_files.span_hashes
+    texts = [["the cat sat on a mat"], ["the dog sat on the log", "a frog"], ["the cat sat", None, "dog log"]]
+    want = [[np.array(x, e.kind).tobytes() for x in e.plain([t or "" for t in part])] for part in texts]
+    monkeypatch.setattr(token_files, "span_hashes", lambda *a: real(*a) % np.uint64(3))
+    assert [e.encode(pa.array(part)) for part in texts] == want
+    one = token_files.Encoder(PATH)
+    monkeypatch.setattr(token_files, "span_hashes", lambda *a: np.full(len(a[1]), 5, np.uint64))
+    assert [one.encode(pa.array(["cat"])), one.encode(pa.array(["dog"]))] == [[np.array(x, e.kind).tobytes()] for x in e.plain(["cat", "dog"])]
+
+
+def test_kept_chunks_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_KEPT", 2000)
+    e = token_files.Encoder(PATH)
+    texts = [" ".join(f"w{i * j % 97}x the of" for j in range(40)) for i in range(60)]
+    assert [np.frombuffer(x, e.kind).tolist() for t in texts for x in e.encode(pa.array([t]))] == e.plain(texts)
+    assert e.known.size() < 20000
+
+
 def test_special_tokens_are_one_id(spark):
     t = tokenizers.Tokenizer.from_file(PATH)
     texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>  b\n", "x  <|endoftext|><|endoftext|> y z", "plain text", " <|endoftext|>\n\n", "<|endoftext |>"]

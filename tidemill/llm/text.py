@@ -32,18 +32,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * STEP)
+#: Bytes hashed at a time, and powers kept by a process.
+PIECE = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i for i < n, kept by the process."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("up", BASE), ("down", INV)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _powers[name] = np.multiply.accumulate(a)
-    return _powers["up"], _powers["down"]
+    """BASE^i and BASE^-i for i < n; up to 2 * PIECE of them are kept by the process."""
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"], _powers["down"]
+    made = {}
+    for name, base in (("up", BASE), ("down", INV)):
+        a = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
+        a[0] = 1
+        made[name] = np.multiply.accumulate(a, out=a)
+    if n <= 2 * PIECE:
+        _powers.update(made)
+    return made["up"], made["down"]
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +66,25 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each buf[start:end], in ascending order and apart; a long buffer is hashed piece by piece."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, lo + PIECE)))
+        part = BYTE_CODE[buf[lo : ends[j - 1]]]
+        up, down = powers(len(part) + 1)
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = 0
+        part *= up[: len(part)]
+        np.cumsum(part, out=total[1:])
+        s = starts[i:j] - lo
+        out[i:j] = mix((total[ends[i:j] - lo] - total[s]) * down[s])
+        i = j
+    return out
+
+
 class Words:
     """Words of a batch: byte starts and ends, and first[i]:first[i + 1] for row i."""
 
@@ -88,13 +112,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64 bits for each word."""
-        up, down = powers(len(self.buf) + 1)
-        total = np.empty(len(self.buf) + 1, np.uint64)
-        total[0] = 0
-        part = BYTE_CODE[self.buf]
-        part *= up[: len(self.buf)]
-        np.cumsum(part, out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        return span_hashes(self.buf, self.starts, self.ends)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -121,17 +139,36 @@ def small(batches, size: int = 1 << 21, col: int = 1):
 
 
 def shared(spark, name: str) -> str:
-    """A fresh path in the folder the cluster shares (spark.checkpoint.dir)."""
+    """A fresh path in the folder the cluster shares (spark.checkpoint.dir).
+
+    Without that setting, a folder of this machine serves where all of Spark
+    runs on it (local mode, as in tests); on a cluster it is an error.
+    """
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def buckets(df, size: int = 1 << 26, most: int = 1 << 16) -> int:
+    """How many parts to deal the rows of df into: one for each `size` bytes that df reads.
+
+    At least the session's shuffle partitions.  Inputs whose size Spark does
+    not know (rows from the driver) count nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    read = sum(x for x in sizes if x < 1 << 60)
+    return min(most, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-read // size)))
+
+
 def saved(df, name: str):
     """Writes df to the shared folder and reads it back: lineage ends here."""
     spark = df.sparkSession

@@ -28,13 +28,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BYTE_CODE, Words, mix, powers, saved, shared, small, with_ids
+from .text import SPACE, Words, buckets, saved, shared, small, span_hashes, with_ids
 
 #: Fixed values of the public seekable format.
 SKIPPABLE, SEEK_TABLE, SEEKABLE, CHECKED = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-#: White space that a text may hold beyond the bytes which end words.
-OTHER_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-MOST_KEPT = 1_000_000
+#: UTF-8 of the white space that a text may hold beyond the bytes which end words.
+OTHER_SPACE = [c.encode() for c in "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+ODD = {n: np.array([int.from_bytes(c, "big") for c in OTHER_SPACE if len(c) == n]) for n in (1, 2, 3)}
+#: Bytes of chunks and their ids that a process keeps.
+MOST_KEPT = 40 << 20
+SLICE = 1 << 20
+
+
+def _odd_rows(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The rows with white space beyond the bytes which end words."""
+    found = [np.flatnonzero((buf >= 0x1C) & (buf <= 0x1F))]
+    for n, leads in ((2, (0xC2,)), (3, (0xE1, 0xE2, 0xE3))):
+        at = np.flatnonzero(np.isin(buf[: len(buf) - n + 1], leads))
+        code = np.zeros(len(at), np.int64)
+        for j in range(n):
+            code = code << 8 | buf[at + j]
+        found.append(at[np.isin(code, ODD[n])])
+    return np.unique(np.searchsorted(offs, np.concatenate(found), side="right") - 1)
+
+
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from start to start + n of all rows, one after the other."""
+    stop = np.cumsum(n)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - n), n)
+
+
+class Known:
+    """Chunks seen before and their ids: sorted hashes, each with the number of its row in flat buffers."""
+
+    def __init__(self, kind):
+        self.key, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.raw, self.ids = np.zeros(0, np.uint8), np.zeros(0, kind)
+        self.cut = np.zeros((0, 4), np.int32)  # start and length in raw, start and length in ids
+        self.used = np.zeros(0, bool)
+
+    def size(self) -> int:
+        return self.key.nbytes + self.row.nbytes + self.raw.nbytes + self.ids.nbytes + self.cut.nbytes
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of keys; -1: not known."""
+        if not len(self.key):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where(self.key[at] == keys, self.row[at], -1)
+
+    def add(self, keys: np.ndarray, raw: np.ndarray, raw_n: np.ndarray, ids: np.ndarray, ids_n: np.ndarray) -> None:
+        cut = np.stack([len(self.raw) + np.cumsum(raw_n) - raw_n, raw_n, len(self.ids) + np.cumsum(ids_n) - ids_n, ids_n], 1).astype(np.int32)
+        at = np.searchsorted(self.key, keys)
+        row = np.arange(len(self.cut), len(self.cut) + len(keys), dtype=np.int32)
+        self.key, self.row = np.insert(self.key, at, keys), np.insert(self.row, at, row)
+        self.cut, self.used = np.concatenate([self.cut, cut]), np.r_[self.used, np.zeros(len(keys), bool)]
+        self.raw, self.ids = np.concatenate([self.raw, raw]), np.concatenate([self.ids, ids])
+
+    def shrink(self) -> None:
+        """Keeps what was met again, or nothing if that is most of it."""
+        k = np.flatnonzero(self.used[self.row])
+        if 2 * len(k) > len(self.key):
+            k = k[:0]
+        c = self.cut[self.row[k]].T.astype(np.int64)
+        key, raw, ids = self.key[k], self.raw[_runs(c[0], c[1])], self.ids[_runs(c[2], c[3])]
+        self.__init__(self.ids.dtype)
+        self.add(key, raw, c[1], ids, c[3])
 
 
 class Encoder:
@@ -42,7 +101,8 @@ class Encoder:
 
     A pre-token never runs from a word into white space, so a text cut before
     each run of white space has the same ids.  Texts with other white space than
-    the words' are encoded whole.
+    the words' are encoded whole.  Chunks meet by hash and are compared byte by
+    byte: where two of one hash differ, the texts of the slice are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -55,60 +115,73 @@ class Encoder:
         for token, i in vocab.items():
             self.bytes_of[i] = len(token)
         self.kind = np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32
-        self.known: dict[int, bytes] = {}
+        self.known = Known(self.kind)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[int], chunks: list[bytes]) -> None:
-        joined = [i for i, c in enumerate(chunks) if c[0] in b" \t\n\v\f\r" and c[-1] not in b" \t\n\v\f\r"]
-        alone = sorted(set(range(len(chunks))) - set(joined))
-        for i, ids in zip(alone, self.plain([chunks[i].decode() for i in alone])):
-            self.known[keys[i]] = np.array(ids, self.kind).tobytes()
-        for a in range(0, len(joined), 4096):
-            part = joined[a : a + 4096]
-            ids = np.array(self.plain([b"".join(chunks[i] for i in part).decode()])[0], self.kind)
-            cut = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(chunks[i]) for i in part])) + 1
-            data, cut = ids.tobytes(), cut * ids.itemsize
-            for i, s, e in zip(part, np.r_[0, cut[:-1]].tolist(), cut.tolist()):
-                self.known[keys[i]] = data[s:e]
+    def _learn(self, keys: np.ndarray, raw: np.ndarray, size: np.ndarray) -> None:
+        """Encodes chunks given one after the other in raw; those of white space and a word go joined."""
+        end = np.cumsum(size)
+        joined = SPACE[raw[end - size]] & ~SPACE[raw[end - 1]]
+        ids: list[np.ndarray] = []
+        count = np.zeros(len(size), np.int64)
+        order = np.r_[np.flatnonzero(~joined), np.flatnonzero(joined)]
+        alone = int((~joined).sum())
+        data = raw.tobytes()
+        texts = [data[end[i] - size[i] : end[i]].decode() for i in order[:alone]]
+        for a in range(0, alone, 4096):
+            for i, x in zip(order[a : a + 4096], self.plain(texts[a : a + 4096])):
+                ids.append(np.array(x, self.kind))
+                count[i] = len(x)
+        for a in range(alone, len(order), 4096):
+            part = order[a : a + 4096]
+            got = np.array(self.plain([raw[_runs(end[part] - size[part], size[part])].tobytes().decode()])[0], self.kind)
+            ids.append(got)
+            count[part] = np.diff(np.searchsorted(np.cumsum(self.bytes_of[got]), np.cumsum(size[part])) + 1, prepend=0)
+        flat = np.concatenate(ids) if ids else np.zeros(0, self.kind)
+        start = np.empty(len(size), np.int64)
+        start[order] = np.cumsum(count[order]) - count[order]
+        self.known.add(keys, raw, size, flat[_runs(start, count)], count)
 
     def encode(self, col: pa.Array) -> list[bytes]:
         """Ids of each text, packed; a null text is empty."""
         w = Words(col)
-        texts = col.to_pylist()
-        odd = [i for i, t in enumerate(texts) if t and not t.isascii() and any(c in t for c in OTHER_SPACE)] + [i for i, t in enumerate(texts) if t and t.isascii() and any(c in t for c in "\x1c\x1d\x1e\x1f")]
+        odd = _odd_rows(w.buf, w.offs)
         # chunk: from the last word's end to this word's; what is left after a text's last word is a chunk too
         first, last = w.first[:-1], w.first[1:]
-        tail = np.where(last > first, w.ends[np.maximum(last, 1) - 1] if len(w.ends) else 0, w.offs[:-1])
+        some = last > first
+        tail = np.where(some, w.ends[np.maximum(last, 1) - 1] if len(w.ends) else 0, w.offs[:-1])
         has_tail = tail < w.offs[1:]
-        begin = np.r_[0, w.ends[:-1]] if len(w.ends) else w.ends
-        begin[first[last > first]] = w.offs[:-1][last > first]
-        starts = np.insert(begin, last[has_tail], tail[has_tail])
-        ends = np.insert(w.ends, last[has_tail], w.offs[1:][has_tail])
-        per_row = last - first + has_tail
-        up, down = powers(len(w.buf) + 1)
-        total = np.r_[np.zeros(1, np.uint64), np.cumsum(BYTE_CODE[w.buf] * up[: len(w.buf)])]
-        h = mix((total[ends] - total[starts]) * down[starts])
-        keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        data = w.buf.tobytes()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if len(self.known) + len(new) > MOST_KEPT:
-            self.known = {}
-            new = list(range(len(keys)))
-        s, e = starts[at].tolist(), ends[at].tolist()
-        self._learn([keys[i] for i in new], [data[s[i] : e[i]] for i in new])
-        ids = [self.known[k] for k in keys]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.kind).itemsize
-        n = size[inverse]
-        stop = np.cumsum(n)
-        place = np.arange(stop[-1] if len(stop) else 0) + np.repeat((np.cumsum(size) - size)[inverse] - (stop - n), n)
-        flat = np.frombuffer(b"".join(ids), self.kind)[place].tobytes()
-        cut = np.r_[0, stop][np.r_[0, np.cumsum(per_row)]] * np.dtype(self.kind).itemsize
+        cuts = [w.ends, w.offs[1:][has_tail]]
+        ends = np.sort(np.concatenate(cuts)) if has_tail.any() else w.ends
+        starts = np.r_[0, ends[:-1]].astype(np.int64)[: len(ends)]
+        size = ends - starts
+        keys, at, inverse = np.unique(span_hashes(w.buf, starts, ends), return_index=True, return_inverse=True)
+        canon, canon_n = starts[at], size[at]
+        same = np.array_equal(canon_n[inverse], size) and np.array_equal(w.buf[_runs(canon[inverse], size)], w.buf)
+        place = self.known.find(keys)
+        old = np.flatnonzero(place >= 0)
+        self.known.used[place[old]] = True
+        c = self.known.cut[place[old]].T.astype(np.int64)
+        same = same and np.array_equal(c[1], canon_n[old]) and np.array_equal(self.known.raw[_runs(c[0], c[1])], w.buf[_runs(canon[old], canon_n[old])])
+        if not same:  # two chunks of one hash
+            return [np.array(x, self.kind).tobytes() for x in self.plain([t or "" for t in col.to_pylist()])]
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if self.known.size() > MOST_KEPT:
+                self.known.shrink()
+                new = np.flatnonzero(self.known.find(keys) < 0)
+            self._learn(keys[new], w.buf[_runs(canon[new], canon_n[new])], canon_n[new])
+            place = self.known.find(keys)
+        c = self.known.cut[place, 2:].astype(np.int64)[inverse]
+        n = c[:, 1]
+        flat = self.known.ids[_runs(c[:, 0], n)].tobytes()
+        cut = np.r_[0, np.cumsum(n)][np.searchsorted(ends, w.offs, side="right")] * np.dtype(self.kind).itemsize
         out = [flat[s:e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        for i, x in zip(odd, self.plain([texts[i] for i in odd])):
-            out[i] = np.array(x, self.kind).tobytes()
+        if len(odd):
+            for i, x in zip(odd.tolist(), self.plain(col.take(pa.array(odd)).to_pylist())):
+                out[i] = np.array(x, self.kind).tobytes()
         return out
 
 
@@ -204,7 +277,7 @@ def _write(folder: str, path: str, end_id: int):
         with fs.open_output_stream(f"{root}/{name}") as out:
             writer = Writer(out, enc.kind().itemsize)
             end = np.array([end_id], enc.kind).tobytes()
-            for b in small(batches):
+            for b in small(batches, SLICE):
                 for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
                     writer.add(doc, ids + end)
             total = writer.close()
@@ -218,13 +291,13 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, folder: str | None
 
     Only files named in this table count: a task that is run again writes
     another file.  A null or empty text has its end id only; a null doc_id comes
-    first; of rows alike in doc_id the lesser text comes first.
+    first; rows alike in doc_id come in the order of a hash of their texts.
     """
     spark = docs.sparkSession
     folder = folder or shared(spark, "tokens")
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = buckets(docs)
     d = with_ids(docs).repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     files = saved(d.mapInArrow(_write(folder, path, end_id), "part int, file string, docs long, tokens long"), "token-files")
     rows, start = [], 0
@@ -248,4 +321,4 @@ def _read(batches):
 def read_tokens(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
     files = files.where("docs > 0").select("file", "start")
-    return files.repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(buckets(files), "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
