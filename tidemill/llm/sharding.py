@@ -24,6 +24,11 @@ from .text import saved
 BUCKETS = 4096
 
 
+def _values(spark, rows: list[tuple], names: str) -> DataFrame:
+    """A bounded list of whole numbers as a table."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(f'{int(v)}L' for v in r) + ')' for r in rows)} AS t({names})")
+
+
 def _sums(groups: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
     """Buckets that hold groups, in order, and the bytes before each and after the last."""
     rows = sorted((r["bucket"], r["s"]) for r in groups.groupBy("bucket").agg(F.sum("size").alias("s")).collect())
@@ -39,7 +44,7 @@ def _cuts(ends: DataFrame, names: list[int], before: list[int], wanted: list[int
     inside = {x: names[i] for x, i in at.items() if i < len(names) and x > before[i]}
     found = {}
     if inside:
-        cases = ends.sparkSession.createDataFrame(sorted((b, x) for x, b in inside.items()), "bucket int, x long")
+        cases = _values(ends.sparkSession, sorted((b, x) for x, b in inside.items()), "bucket, x")
         near = ends.where(F.col("bucket").isin(sorted(set(inside.values())))).join(F.broadcast(cases), "bucket")
         near = near.where("end <= x").groupBy("x").agg(F.max("end").alias("end"))
         found = {r["x"]: r["end"] for r in near.collect()}
@@ -96,7 +101,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, buckets: int = BUCKETS, i
     names, before = _sums(groups, buckets)
     cut_keys: list[str] = []
     if names:
-        start = saved(docs.sparkSession.createDataFrame([(n, b) for n, b in zip(names, before)], "bucket int, before long"), "before")
+        start = saved(_values(docs.sparkSession, list(zip(names, before)), "bucket, before"), "before")
         ends = saved(groups.join(F.broadcast(start), "bucket").select("bucket", "key", (F.col("inner") + F.col("before")).alias("end")).sortWithinPartitions("bucket"), "ends")
         largest = groups.agg(F.max("size")).first()[0]
         _, cuts = smallest_capacity(ends, names, before, largest, shards)
