@@ -2,9 +2,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from math import log10
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,35 +104,58 @@ def test_language_on_tables(spark, corpus, nothing):
     assert {r.lang_pred for r in li.language_id(corpus.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_kneser_ney_against_dictionaries(corpus, pairs, nothing):
+@pytest.mark.parametrize("order", [3, 2])
+def test_kneser_ney_against_dictionaries(corpus, pairs, nothing, order):
     rows = [(i, (t or "").encode().translate(LOW).split() + [None]) for i, t in pairs]
     train = [w for i, w in rows if fold(i, 7) != 2]
     c = Counter(x for w in train for x in w)
     n, v = sum(c.values()), len(c)
-    pairs2 = Counter(p for w in train for p in zip([0, *w[:-1]], w))
-    total, kinds, k = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (h, w), x in pairs2.items():
-        total[h] += x
-        kinds[h][min(x, 3) - 1] += 1
-        k[w] += 1
-    d2, d1 = (kn.discounts([sum(x == i for x in t.values()) for i in range(1, 5)]) for t in (pairs2, k))
-    rest = sum(d1[min(x, 3)] for x in k.values()) / sum(k.values())
-
-    def p1(w):
-        return (max(k[w] - d1[min(k[w], 3)], 0) if w in k else 0) / sum(k.values()) + rest / (v + 1)
-
-    def p(h, w):
-        if h not in total:
-            return p1(w)
-        x = pairs2.get((h, w), 0)
-        return max(x - d2[min(x, 3)], 0) / total[h] + sum(d2[i + 1] * kinds[h][i] for i in range(3)) / total[h] * p1(w)
-
-    assert abs(sum(p("the".encode(), w) for w in c) + rest / (v + 1) * sum(d2[i + 1] * kinds[b"the"][i] for i in range(3)) / total[b"the"] - 1) < 1e-9
-    want = Counter((i, len(w), sum(t in c for t in w), n, round(sum(log10((c[t] + 1) / (n + v + 1)) for t in w), 6), round(sum(log10(p(h, t)) for h, t in zip([0, *w[:-1]], w)), 6)) for i, w in rows)
-    got = kn.kneser_ney(corpus).collect()
+    threes = Counter(g for w in train for g in zip([0, 0, *w[:-2]] if len(w) > 1 else [0], [0, *w[:-1]], w))
+    twos = Counter(g[1:] for g in threes) if order == 3 else Counter(g[1:] for g, x in threes.items() for _ in range(x))
+    ones = Counter(g[1] for g in twos)
+    d3, d2, d1 = (kn.discounts([sum(x == i for x in t.values()) for i in range(1, 5)]) for t in (threes, twos, ones))
+
+    def sums(grams):
+        out = defaultdict(lambda: [0, 0, 0, 0])
+        for g, x in grams.items():
+            out[g[:-1]][0] += x
+            out[g[:-1]][min(x, 3)] += 1
+        return out
+
+    s3, s2 = sums(threes), sums(twos)
+    rest = sum(d1[min(x, 3)] for x in ones.values()) / sum(ones.values())
+
+    def mixed(x, stats, d, lower):
+        return max(x - d[min(x, 3)], 0) / stats[0] + sum(d[i] * stats[i] for i in (1, 2, 3)) / stats[0] * lower if stats else lower
+
+    def p(u, h, w):
+        x = (max(ones[w] - d1[min(ones[w], 3)], 0) if w in ones else 0) / sum(ones.values()) + rest / (v + 1)
+        x = mixed(twos.get((h, w), 0), s2.get((h,)), d2, x)
+        return mixed(threes.get((u, h, w), 0), s3.get((u, h)), d3, x) if order == 3 else x
+
+    context = next(g[:2] for g, x in threes.most_common() if g[1] == b"the")
+    assert abs(sum(p(*context, w) for w in c) + p(*context, b"never seen") - 1) < 1e-9
+    grams = lambda w: zip([0, 0, *w[:-2]] if len(w) > 1 else [0], [0, *w[:-1]], w)
+    want = Counter((i, len(w), sum(t in c for t in w), n, round(sum(log10((c[t] + 1) / (n + v + 1)) for t in w), 6), round(sum(log10(p(*g)) for g in grams(w)), 6)) for i, w in rows)
+    got = kn.kneser_ney(corpus, order).collect()
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
     assert all(r.held_out == (fold(r.doc_id, 7) == 2) for r in got)
-    assert kn.kneser_ney(nothing).count() == 0
+    assert kn.kneser_ney(nothing, order).count() == 0
+
+
+def test_kneser_ney_counts_are_wide(tmp_path, monkeypatch):
+    keys, counts, last = np.arange(5, dtype=np.uint64) * np.uint64(1 << 60), np.array([1, 1 << 33, 2**40 + 7, 3, 1]), np.arange(5, dtype=np.uint32)
+    assert [x.tolist() for x in kn._unpack(kn._pack(keys, counts, last))] == [keys.tolist(), counts.tolist(), last.tolist()]
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 1 << 40, 3000, dtype=np.uint64) & ~np.uint64(0x3FF) | np.uint64(3))
+    h = np.sort(np.r_[h, h + np.uint64(1)])  # every upper part stands twice
+    values = np.c_[np.arange(len(h)) % 300, (np.arange(len(h)) << 20)]
+    arrays, sizes = kn._table(h, values)
+    name = kn._store(f"file://{tmp_path}", "t", 0, arrays)
+    for fs in (pafs.LocalFileSystem(), pafs.SubTreeFileSystem("/", pafs.LocalFileSystem())):  # mounted, and not
+        monkeypatch.setattr(kn, "pafs", SimpleNamespace(LocalFileSystem=pafs.LocalFileSystem, FileSystem=SimpleNamespace(from_uri=lambda uri, fs=fs: (fs, uri.removeprefix("file://")))))
+        table = kn.Table(kn._load(name, kn._kinds(sizes)), sizes)
+        assert (table.find(h) == values).all() and not table.find(h + np.uint64(2)).any()
 
 
 def test_toxicity(spark, corpus, nothing):
