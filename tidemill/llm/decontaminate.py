@@ -129,62 +129,79 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, i
     return best
 
 
-def _hits(w: Words, items: Items, draws: np.ndarray) -> list[tuple]:
-    """(row, item, first word, words, edits) of every item found in a row, best place only."""
-    h = w.hashes()
-    found = []
+def _places(w: Words, h: np.ndarray, items: Items, most: int):
+    """Where runs of items stand, as (row, item, start of the item's window), about `most` places at a time."""
+    held, size = [], 0
     for q, (keys, of, off) in items.pieces.items():
         g = grams(h, q)
         at = np.flatnonzero(items.maps[q][(g >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
-        if not len(at):
-            continue
         lo, hi = np.searchsorted(keys, g[at]), np.searchsorted(keys, g[at], side="right")
-        m = hi - lo
-        k = np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        place = np.repeat(at, m)
-        row = np.searchsorted(w.first, place, side="right") - 1
-        inside = place + q <= w.first[row + 1]
-        found.append((row[inside], of[k][inside], (place - off[k])[inside]))
-    if not found:
-        return []
-    row, item, start = (np.concatenate(c) for c in zip(*found))
-    if not len(row):
-        return []
+        at, lo, m = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        total = np.cumsum(m)
+        a = 0
+        while a < len(at):
+            z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most)))
+            k = np.repeat(lo[a:z], m[a:z]) + np.arange(m[a:z].sum()) - np.repeat(np.cumsum(m[a:z]) - m[a:z], m[a:z])
+            place = np.repeat(at[a:z], m[a:z])
+            row = np.searchsorted(w.first, place, side="right") - 1
+            inside = place + q <= w.first[row + 1]
+            held.append((row[inside], of[k][inside], (place - off[k])[inside]))
+            size += int(inside.sum())
+            if size > most:
+                yield np.unique(np.stack([np.concatenate(c) for c in zip(*held)]), axis=1)
+                held, size = [], 0
+            a = z
+    if size:
+        yield np.unique(np.stack([np.concatenate(c) for c in zip(*held)]), axis=1)
+
+
+def _windows(w: Words, places: np.ndarray, edits: np.ndarray, most: int):
+    """All windows whose start an edit before the run can move, and those at the document's edges, in order."""
+    row, item, start = places
+    reach = edits[item]
+    total = np.cumsum(2 * reach + 1)
+    a = 0
+    while a < len(row):
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most)))
+        n = 2 * reach[a:z] + 1
+        rep = np.repeat(np.arange(a, z), n)
+        shift = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n) - reach[rep]
+        yield np.unique(np.stack([row[rep], item[rep], np.clip(start[rep] + shift, w.first[row[rep]], w.first[row[rep] + 1] - 1)]), axis=1)
+        a = z
+
+
+def _hits(w: Words, items: Items, draws: np.ndarray, most: int = 1 << 20) -> list[tuple]:
+    """(row, item, first word, words, edits) of every item found in a row, best place only; about `most` windows at a time."""
+    h = w.hashes()
+    out: dict[tuple, tuple] = {}
+    last: dict[tuple, tuple] = {}
     edits = np.array(items.edits)
     size = np.array([len(x) for x in items.words])
-    lo_w, hi_w = w.first[row], w.first[row + 1]
-    # all windows whose start an edit before the run can move, and those at the document's edges
-    reach = edits[item]
-    shift = np.concatenate([np.arange(-r, r + 1) for r in reach])
-    rep = np.repeat(np.arange(len(row)), 2 * reach + 1)
-    cand = np.stack([row[rep], item[rep], np.clip(start[rep] + shift, lo_w[rep], hi_w[rep] - 1)])
-    cand = np.unique(cand, axis=1)
-    row, item, start = cand
-    n = np.minimum(size[item], w.first[row + 1] - start)
-    passed = np.zeros(len(row), bool)
     flat = np.concatenate(items.words)
     base = np.r_[0, np.cumsum(size)[:-1]]
-    used = np.unique(item)
-    for t, draw in enumerate(draws):
-        todo = np.flatnonzero(~passed)
-        if not len(todo):
-            break
-        own = np.zeros(len(size), np.uint64)
-        own[used] = _walk(flat, base[used], size[used], size[used], t + 1, draw)
-        mine = _walk(h, start[todo], n[todo], size[item[todo]], t + 1, draw)
-        passed[todo] = mine == own[item[todo]]
-    out: dict[tuple, tuple] = {}
-    row, item, start = row[passed], item[passed], start[passed]
-    last: dict[tuple, int] = {}
-    for r, i, s in zip(row.tolist(), item.tolist(), start.tolist()):
-        if last.get((r, i), -1) >= s:
-            continue  # this start was inside a run that was verified
-        d, n_i = items.edits[i], len(items.words[i])
-        a, b = max(int(w.first[r]), s - 2 * d), min(int(w.first[r + 1]), s + 2 * d + n_i + d)
-        last[(r, i)] = s + d
-        dist, x, y = edit_distance(items.words[i], h[a:b], d)
-        if dist <= d and ((r, i) not in out or dist < out[(r, i)][4]):
-            out[(r, i)] = (r, items.ids[i], a + x - int(w.first[r]), y - x, dist)
+    for places in _places(w, h, items, most):
+        for row, item, start in _windows(w, places, edits, most):
+            n = np.minimum(size[item], w.first[row + 1] - start)
+            passed = np.zeros(len(row), bool)
+            used = np.unique(item)
+            for t, draw in enumerate(draws):
+                todo = np.flatnonzero(~passed)
+                if not len(todo):
+                    break
+                own = np.zeros(len(size), np.uint64)
+                own[used] = _walk(flat, base[used], size[used], size[used], t + 1, draw)
+                mine = _walk(h, start[todo], n[todo], size[item[todo]], t + 1, draw)
+                passed[todo] = mine == own[item[todo]]
+            for r, i, s in zip(row[passed].tolist(), item[passed].tolist(), start[passed].tolist()):
+                low, high = last.get((r, i), (0, -1))
+                if low <= s <= high:
+                    continue  # this start was inside a run that was verified
+                d, n_i = items.edits[i], len(items.words[i])
+                a, b = max(int(w.first[r]), s - 2 * d), min(int(w.first[r + 1]), s + 2 * d + n_i + d)
+                last[(r, i)] = (s - d, s + d)
+                dist, x, y = edit_distance(items.words[i], h[a:b], d)
+                if dist <= d and ((r, i) not in out or dist < out[(r, i)][4]):
+                    out[(r, i)] = (r, items.ids[i], a + x - int(w.first[r]), y - x, dist)
     return list(out.values())
 
 
