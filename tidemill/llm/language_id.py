@@ -1,8 +1,9 @@
 """Language ID: each document's mixture of languages by expectation-maximisation.
 
 Byte trigrams of letters, hashed to 2^16 cells, are counted for every learned
-language over all training rows: per task first, then by language, so what
-reaches the driver is one table of fixed size for each language.  A word's
+language over all training rows: per task first, then by language and part of
+the tasks, then by language, so what reaches the driver is one table of fixed
+size for each language.  A word's
 likelihood in a language is the product of its trigrams'.  For each document,
 expectation-maximisation over its words estimates the languages' shares with
 one, two, ... languages allowed, the likeliest by the full mixture first, and
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import LOWER, small, utf8
+from .text import LOWER, saved, small, utf8
 
 CELLS = 1 << 16
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 UNKNOWN = "und"
+TREE = 64
+#: What is broadcast has 256 KB for each language.
+MOST_LANGUAGES = 1000
 
 
 def _trigrams(col: pa.Array):
@@ -82,7 +86,14 @@ def _add(batches):
 def learn(rows: DataFrame, smooth: float = 0.05) -> tuple[list[str], np.ndarray]:
     """(text, lang) rows -> languages in order, and log-probabilities by language and cell."""
     kind = "lang string, counts binary"
-    counts = rows.select("lang", "text").mapInArrow(_count, kind).repartition("lang").mapInArrow(_add, kind).collect()
+    counts = rows.select("lang", "text").mapInArrow(_count, kind)
+    counts = counts.repartition("lang", F.pmod(F.spark_partition_id(), F.lit(TREE))).mapInArrow(_add, kind)
+    counts = counts.repartition("lang").mapInArrow(_add, kind)
+    counts = saved(counts, "languages")
+    langs = counts.where("lang is not null").count()
+    if langs > MOST_LANGUAGES:
+        raise ValueError(f"{langs} languages: a table of 256 KB for each is broadcast, {MOST_LANGUAGES} at most")
+    counts = counts.collect()
     counts = sorted((r["lang"], np.frombuffer(zlib.decompress(r["counts"]), "<i8")) for r in counts if r["lang"])
     if not counts:
         return [], np.zeros((0, CELLS), np.float32)
@@ -197,7 +208,12 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
-    """The rows, as they are, whose letters are likelier under their mixture than by chance, however many languages it holds; `und` goes."""
+    """The rows, as they are, whose letters are likelier under their mixture than by chance, however many languages it holds; `und` goes.
+
+    Null, empty and letterless texts go, and all rows if no lang is known.
+    Rows alike are judged alike; a null doc_id does not matter; all columns,
+    whatever their names, stay.  An empty table gives an empty table.
+    """
     langs, table = learn(_rows(docs).where("not held_out and lang is not null"))
     model = docs.sparkSession.sparkContext.broadcast(table)
     return docs.mapInArrow(_predict(langs, model, docs.columns.index("text"), [], True), T.StructType(docs.schema.fields))
