@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import STEP, Words, grams, mix, powers, saved, small, with_ids
+from .text import STEP, Words, buckets, grams, mix, powers, saved, small, with_ids
 
 ANCHOR = 8
 
@@ -307,6 +307,8 @@ def without_repeats(docs: DataFrame, window: int = 35, shard_segments: int = 256
     """The documents with what is left of their texts, n_chars set anew where there is one.
 
     Rows that lose all their words go; null and blank texts stay as they are.
+    Repeated rows go alike; a null doc_id does not matter; other columns stay,
+    whatever their names.  An empty table gives an empty table.
     """
     d = with_ids(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     own = _spans(d, window, shard_segments)
@@ -341,15 +343,15 @@ def _replace(window: int):
 
 def _spans(d: DataFrame, window: int, shard_segments: int) -> DataFrame:
     """(row, text) -> the repeated windows of each row, as (first word, windows)."""
-    buckets = max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    packed = d.select("row", "text").mapInArrow(_anchors(window, buckets), "bucket int, anchor binary, seg binary, row binary, place binary, n binary")
+    parts = buckets(d)
+    packed = d.select("row", "text").mapInArrow(_anchors(window, parts), "bucket int, anchor binary, seg binary, row binary, place binary, n binary")
     met = saved(packed.groupBy("bucket").applyInArrow(_meet(shard_segments), FOUND), "met")
     wanted = met.where("weight > 0").groupBy("row").agg(F.collect_list(F.struct("key", "place", "n", "weight", "hot")).alias("wanted"))
     # Rows alike in id and text share their segments: one of them is enough.
     cut = d.select("row", "text").join(wanted, "row").select("row", "text", "wanted").mapInArrow(_cut(window), "key long, row long, place int, n int, weight int, words binary")
     cut = saved(cut, "cut")
-    shards = cut.where("key is not null").withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    shards = cut.where("key is not null").withColumn("bucket", F.pmod("key", F.lit(parts)))
     matched = shards.groupBy("bucket").applyInArrow(_match(window), "row long, place int, n int")
-    parts = ["row", "place", "n"]
-    spans = saved(met.where("weight = 0").select(parts).union(cut.where("key is null").select(parts)).union(matched), "spans")
+    kept = ["row", "place", "n"]
+    spans = saved(met.where("weight = 0").select(kept).union(cut.where("key is null").select(kept)).union(matched), "spans")
     return spans.groupBy("row").agg(F.collect_set(F.struct("place", "n")).alias("spans"))
