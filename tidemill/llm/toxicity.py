@@ -1,8 +1,9 @@
 """Toxicity by compression distance: two zstandard dictionaries, compared window by window.
 
-The toxic dictionary is trained on toxic text: word beginnings and words whose
+The toxic dictionary's content is chosen from toxic text: word beginnings and words whose
 share of toxic documents is well above that of ordinary ones, the most frequent
-last; the ordinary dictionary holds the frequent words of ordinary text, and
+last (a learned word list, which dictionaries trained on whole text did not
+match, see the README); the ordinary dictionary holds the frequent words of ordinary text, and
 both are of one length and end in the same lead-in.  A window is a word between
 lead-ins (the codec starts no match in a block's last bytes), so that its two
 compressed lengths differ by what the toxic dictionary saves on it.  A document's
@@ -11,11 +12,13 @@ one; a logistic calibration on other labelled rows than the dictionaries' turns
 them into a score.
 
 Labels are read from a sample of at most `sample_toxic` and `sample_ordinary`
-training rows, by hash of doc_id; all texts are scored whole.
+training rows, by hash of doc_id, one text for each doc_id and at most
+`sample_words` distinct words of it, by hash; all texts are scored whole.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,7 +32,8 @@ from .text import Words, small
 LEAD = b" the of and to in is that it for as with his "
 STEPS = (0.25, 0.4, 0.5)
 LONGEST = 12
-MOST_KEPT = 400_000
+MOST_KEPT = 200_000
+LONGEST_KEPT = 64
 
 
 def beginnings(docs: list[set[bytes]], least: int) -> dict[bytes, int]:
@@ -89,7 +93,9 @@ class Savings:
             for a in range(256, len(word), 256):
                 window = LEAD + word[a : a + 256] + LEAD
                 d = max(d, len(self.codecs[1].compress(window)) - len(self.codecs[0].compress(window)))
-            d = self.known[word] = d / min(len(word), 256)
+            d /= min(len(word), 256)
+            if len(word) <= LONGEST_KEPT:
+                self.known[word] = d
         return d
 
 
@@ -132,12 +138,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return b
 
 
-def _vocabulary(batches):
-    """(doc_id, text, toxic, half) -> the texts' distinct words."""
-    for b in small(batches):
-        rows = [sorted(set(t.split())) for t in (x.encode().lower() for x in b.column(1).fill_null("").to_pylist())]
+def _vocabulary(most: int):
+    """(doc_id, text, toxic, half) -> the texts' distinct words, at most `most` of each, cut to 256 bytes."""
+
+    def run(batches):
+        for b in small(batches):
+            rows = [sorted(sorted({w[:256] for w in t.split()}, key=lambda w: (zlib.crc32(w), w))[:most]) for t in (x.encode().lower() for x in b.column(1).fill_null("").to_pylist())]
+            yield from one(b, rows)
+
+    def one(b, rows):
         yield pa.record_batch([b.column(2), pa.array([b" ".join(r) for r in rows], pa.binary())], names=["toxic", "words"])
 
+    return run
+
 
 def _features(dictionaries):
     def run(batches):
@@ -158,11 +171,12 @@ def _score(dictionaries, weights):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_ordinary: int = 5000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_ordinary: int = 5000, sample_words: int = 4000) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each input row.
 
     Learns from labelled rows that aren't held out; a doc_id labelled twice is
-    toxic if any of its labels is.  Null labels and doc_ids teach nothing.  Null,
+    toxic if any of its labels is.  Of a doc_id's texts one is learned from.  Null labels and
+    doc_ids teach nothing.  Null,
     empty and blank texts are scored as texts without words.  Without a toxic
     or an ordinary row to learn from, every score is the share of toxic rows.
     Other columns are ignored.
@@ -176,8 +190,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sampl
     sample = known.where("toxic = 1").orderBy(order).limit(sample_toxic).unionAll(known.where("toxic = 0").orderBy(order).limit(sample_ordinary))
     sample = spark.createDataFrame(sample.collect(), known.schema)  # at most sample_toxic + sample_ordinary rows
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0
-    rows = d.where("doc_id is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic", half.alias("half"))
-    words = rows.where("half").mapInArrow(_vocabulary, "toxic int, words binary").collect()
+    # one text for each doc_id, so that a doc_id's repeats do not pass the bound
+    rows = d.where("doc_id is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic", half.alias("half"))
+    words = rows.where("half").mapInArrow(_vocabulary(sample_words), "toxic int, words binary").collect()
     sets = {t: [{b" " + w + b" " for w in r["words"].split()} for r in words if r["toxic"] == t] for t in (0, 1)}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     weights = np.r_[np.zeros(len(STEPS) + 2), np.log(max(share, 1e-6) / max(1 - share, 1e-6))]
