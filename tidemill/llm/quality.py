@@ -203,8 +203,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, leas
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score).
 
     A null, empty or blank text has counts of 0 and fails the base rules.  A
-    doc_id labelled twice is bad if any of its labels is; null labels and
-    doc_ids teach nothing.  With one class or no labels, the score is the share
+    doc_id labelled twice is bad if any of its labels is, and of its texts one
+    is learned from; null labels and doc_ids teach nothing.  With one class or no labels, the score is the share
     of good rows, 0.5 if there is none.  Repeated rows each give a row; other
     columns are ignored; an empty table gives an empty table.
     """
@@ -213,7 +213,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, leas
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(1))).limit(sample)
     known = spark.createDataFrame(known.collect(), known.schema)  # at most `sample` rows
-    rows = d.where("doc_id is not null").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").mapInArrow(_features, "quality int, f array<double>").collect()
+    # one text for each doc_id, so that a doc_id's repeats do not pass the bound
+    rows = d.where("doc_id is not null").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality").mapInArrow(_features, "quality int, f array<double>").collect()
     x = np.array([r["f"] for r in rows]).reshape(len(rows), len(FEATURES))
     model = spark.sparkContext.broadcast(grow(x, np.array([r["quality"] for r in rows], float)))
     kinds = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double"
