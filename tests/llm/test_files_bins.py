@@ -132,6 +132,60 @@ def test_leaks_recall_and_precision(spark, corpus, nothing):
     assert dc.drop_leaks(corpus, bench.limit(0)).count() == corpus.count()
 
 
+def test_leaks_in_parts_are_the_same():
+    """Texts and items of repeated words are worked through a few windows at a time."""
+    from tidemill.llm.text import Words
+
+    rng = random.Random(2)
+    items = dc._prepare([(i, " ".join(rng.choice("abc") for _ in range(n))) for i, n in enumerate((8, 12, 20, 20))] + [(9, "la " * 15)], 80)
+    w = Words(pa.array(["la " * 60, " ".join(rng.choice("abcd") for _ in range(200)), None, "", "b " + "la " * 14 + "c"]), lower=True)
+    draws = dc._draws(12, 3)
+    whole = {x[:2]: x[4] for x in dc._hits(w, items, draws)}
+    assert {(0, 9), (4, 9)} <= set(whole)
+    for most in (1, 40, 1000):
+        assert {x[:2]: x[4] for x in dc._hits(w, items, draws, most)} == whole
+
+
+def brute_pack(rows, capacity):
+    """Best fit by looking at every bin, longest piece first."""
+    copies = Counter(c for _, _, n, c in rows if n)
+    bins, todo, full = [], [], Counter()
+    for doc, source, n, cluster in rows:
+        piece, left = 0, n + 1
+        while left > capacity:
+            full[doc, piece] += 1
+            piece, left = piece + 1, left - capacity
+        todo.append((left, doc, piece, source, cluster if n and copies[cluster] > 1 else None))
+    placed = {}
+    for size, doc, piece, source, cluster in sorted(todo, key=lambda x: (-x[0], x[1], x[2])):
+        fits = [b for b in bins if b["left"] >= size and (source is None or source not in b["sources"]) and (cluster is None or cluster not in b["clusters"])]
+        if fits:
+            b = min(fits, key=lambda b: (b["left"], b["no"]))
+        else:
+            b = {"left": capacity, "no": len(bins), "sources": set(), "clusters": set(), "docs": []}
+            bins.append(b)
+        b["left"] -= size
+        b["docs"].append((doc, piece))
+        b["sources"].add(source)
+        b["clusters"].add(cluster)
+        placed[doc, piece] = b["no"]
+    return sorted(sorted(b["docs"]) for b in bins), full
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pack_against_brute_force(seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([0, 3, rng.randrange(60), rng.randrange(60), 250]), rng.randrange(40)) for i in range(150)]
+    got, full = defaultdict(list), Counter()
+    for doc, piece, _, words, size, b, _ in packing.pack(rows, 100):
+        if size == 100 and words == 100:
+            full[doc, piece] += 1
+        else:
+            got[b].append((doc, piece))
+    want, whole = brute_pack(rows, 100)
+    assert sorted(map(sorted, got.values())) == want and full == whole
+
+
 def test_packing(corpus, pairs, nothing):
     got = packing.best_fit_packing(corpus, capacity=100, shard_docs=40).collect()
     sources = defaultdict(set)

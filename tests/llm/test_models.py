@@ -75,6 +75,65 @@ def test_language_shares():
     assert not s[3:].any()
 
 
+def plain_mixture(text, table, rounds=6, penalty=4.0):
+    """Shares of languages of one text in plain Python, or None without letters."""
+    from math import exp, log
+
+    data = [x if 97 <= x <= 122 or x >= 128 else x + 32 if 65 <= x <= 90 else 32 for x in text.encode()]
+    words = []
+    for i, b in enumerate(data):
+        if b == 32:
+            continue
+        left, right = data[i - 1] if i else 32, data[i + 1] if i + 1 < len(data) else 32
+        if left == 32:
+            words.append([])
+        words[-1].append(((left << 16 | b << 8 | right) * 2654435761 % 2**32) >> 16)
+    if not words:
+        return None
+    langs = len(table)
+    ll = [[sum(float(table[j][c]) for c in w) for j in range(langs)] for w in words]
+    ll = [[max(x - max(row), -12) for x in row] for row in ll]
+
+    def mixture(allowed, rounds):
+        share = [1 / len(allowed) if j in allowed else 0 for j in range(langs)]
+        for _ in range(rounds):
+            new = [0.0] * langs
+            for row in ll:
+                part = [exp(x) * s for x, s in zip(row, share)]
+                for j in range(langs):
+                    new[j] += part[j] / sum(part) / len(ll)
+            share = new
+        return share, sum(log(sum(exp(x) * s for x, s in zip(row, share))) for row in ll)
+
+    full, _ = mixture(set(range(langs)), rounds)
+    order = sorted(range(langs), key=lambda j: -full[j])
+    best = None
+    for m in range(1, langs + 1):
+        share, like = mixture(set(order[:m]), rounds if m > 1 else 1)
+        paid = like - (m - 1) * penalty * 0.5 * log(len(words) + 1)
+        if best is None or paid > best[0]:
+            best = (paid, share)
+    return best[1]
+
+
+def test_mixtures_against_plain_python():
+    rng = np.random.default_rng(9)
+    table = np.log(rng.dirichlet(np.full(li.CELLS, 0.3), 5) + 1e-7).astype(np.float32)
+    alphabets = ("abcde", "cdefgh", "ijkl", "éèab", "xyz")
+    texts = [" ".join("".join(rng.choice(list(s), rng.integers(1, 8))) for _ in range(rng.integers(1, 40)) for s in rng.choice(alphabets, rng.integers(1, 5))) for _ in range(25)] + ["a", "12 3", "", "A b\tC!d"]
+    got = li.infer(pa.array(texts), table)
+    for text, share in zip(texts, got):
+        want = plain_mixture(text, table)
+        assert np.allclose(share, 0 if want is None else want, atol=1e-4) and (want is None or (share > 0).tolist() == [x > 0 for x in want])
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(li, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "abc def", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        li.language_id(docs)
+
+
 def test_balanced_mixtures_of_many_languages(spark):
     rng = np.random.default_rng(2)
     alphabets = ("abcde", "fghij", "klmno", "pqrst", "uvwxy")
