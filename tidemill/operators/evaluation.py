@@ -31,6 +31,34 @@ def per_class(pairs: DataFrame, digits: int = 6) -> DataFrame:
     return both.select("label", "support", F.round(p, digits).alias("precision"), F.round(r, digits).alias("recall"), F.round(f1, digits).alias("f1"))
 
 
+def top_confusions(pairs: DataFrame, n: int = 5) -> DataFrame:
+    """The n most frequent mistakes; a top-k report, ties by names."""
+    return confusion(pairs).where("truth <> pred").orderBy(F.desc("n"), "truth", "pred").limit(n)
+
+
+# Metric and the bound it must reach.
+EVAL_GATES = [("accuracy", 0.85), ("macro_f1", 0.80), ("worst_f1", 0.60)]
+
+
+def eval_gates(summary: DataFrame, gates=None) -> DataFrame:
+    """A one-row table of metrics -> (metric, value, bound, passed); a null value fails."""
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(b)).alias("bound"), F.coalesce(F.col(m) >= b, F.lit(False)).alias("passed")) for m, b in gates or EVAL_GATES]
+    return summary.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+
+
+def leak_gate(judged: DataFrame) -> DataFrame:
+    """(expected, actual) of safety cases -> leaks, cases that should have been stopped and were not, and whether there is none."""
+    leaks = F.count_if((F.col("expected") != "pass") & (F.col("actual") == "pass"))
+    return judged.agg(leaks.alias("leaks"), (leaks == 0).alias("passed"))
+
+
+def new_baseline(now: DataFrame, baseline: DataFrame, checks: DataFrame, full: bool) -> DataFrame:
+    """The metrics of a full run whose checks all passed; else the baseline as it is."""
+    good = checks.agg((F.coalesce(F.every("passed"), F.lit(False)) & F.lit(full)).alias("_good"))
+    pick = lambda rows, want: rows.select("suite", "metric", "value").join(F.broadcast(good.where(F.col("_good") == want)), F.lit(True)).drop("_good")  # noqa: E731  one row
+    return pick(now, True).unionByName(pick(baseline, False))
+
+
 def summary(pairs: DataFrame, digits: int = 6) -> DataFrame:
     """Accuracy, and F1 averaged over the classes with support."""
     acc = pairs.agg(F.round(F.avg((F.col("truth") == F.col("pred")).cast("double")), digits).alias("accuracy"))

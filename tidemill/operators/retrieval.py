@@ -33,14 +33,29 @@ def corpus_stats(docs: DataFrame, text: Column, mode: str = "word") -> DataFrame
     return docs.agg(F.count("*").alias("n_docs"), F.avg(n).alias("avg_len"))
 
 
+def stats_of(posts: DataFrame, docs: DataFrame) -> DataFrame:
+    """corpus_stats from written postings: no text is read again."""
+    return docs.agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_sum")))).select("n_docs", F.try_divide("_sum", "n_docs").alias("avg_len"))  # one row by one row
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     """ln(1 + (N - df + 0.5) / (df + 0.5))."""
     return F.log1p((n_docs - df + 0.5) / (df + 0.5))
 
 
+def small_enough(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """The rows, marked for broadcast if there are `most` at most; else joins shuffle by key."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def bm25(query_terms: DataFrame, posts: DataFrame, df: DataFrame, corpus: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, term, qtf) against postings -> (query, doc, score), scores above 0 only."""
+    """(query, term, qtf) against postings -> (query, doc, score), scores above 0 only.
+
+    A stated query set of up to 200,000 terms is broadcast, so that postings of
+    frequent terms stay where they are; a larger one meets them by term.
+    """
     asked = query_terms.join(df, "term").crossJoin(F.broadcast(corpus))  # one row
+    asked = small_enough(asked) if query_terms.limit(200_001).count() <= 200_000 else asked
     part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) * F.col("qtf")
     return asked.join(posts, "term").groupBy("query", "doc").agg(F.sum(part).alias("score")).where("score > 0")
 
