@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -46,6 +47,24 @@ def test_join_in_many_parts(corpus, pairs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_join_of_ids_with_two_texts(spark):
+    """Each text of an id has links of its own."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([25, 40, 90, 300]))]
+        near = [*w[:7], "other", *w[8:]]
+        apart = [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([20, 400]))]
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(near)), (1000 + i, " ".join(apart))]
+    found = brute_join([(x, t) for x, (_, t) in enumerate(rows)])
+    least = {}
+    for x, (_, c) in found.items():
+        least[c] = min(rows[x][0], least.get(c, 10**9))
+    want = Counter((rows[x][0], n, least[c]) for x, (n, c) in found.items())
+    assert sum(i != c for i, _, c in want) > 30
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 def test_keep_one_of_each(corpus, pairs):
     want = {i for i, (_, c) in brute_join([p for p in pairs if p[0] is not None]).items() if i == c}
     kept = keep_one_of_each(corpus)

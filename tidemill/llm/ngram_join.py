@@ -4,17 +4,18 @@ A blocked sparse matrix product of the document by n-gram incidence.  The rows
 that can meet are found by a lossless size-derived bound: with the n-grams of
 every document in one common order (those of frequent sketch cells last, then
 by hash), two documents with Jaccard >= t share one of the first
-n - ceil(t * n) + 1 n-grams of each.  Every list of an n-gram's documents names
-its least document as pivot, and a pivot's block gets the whole rows of all
-documents of its lists, so each pair that shares such an n-gram meets in a
-block.  Parity bitmaps of the rows, a 40th of their size, first give a lossless
-lower bound of each pair's own n-grams; documents joined by pairs it allows form
+n - ceil(t * n) + 1 n-grams of each.  Documents with equal sets are one class, named
+by the set's fingerprint; from the first shuffle on, a class is one row.  Every
+list of an n-gram's classes names its least one as pivot, and a pivot's block
+gets the whole rows of all classes of its lists, so each pair that shares such
+an n-gram meets in a block.  Parity bitmaps of the rows, a 40th of their size, first give a lossless
+lower bound of each pair's own n-grams; classes joined by pairs it allows form
 the blocks that get whole rows, once each.  There, a breadth-first search multiplies one row at a time by the rows
 not reached yet, accumulates overlap counts, and drops pairs below the bound
 i >= t / (1 + t) * (a + b).  Blocks over `block_grams` are cut into parts and
 every two parts of compatible sizes meet in a task of their own.
 
-Results hold up to collisions of 64-bit n-gram hashes.
+Results hold up to collisions of 64-bit hashes of n-grams and sets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import M64, Words, grams, mix, saved, small, with_ids
+from .text import M64, Words, buckets, grams, mix, saved, small, with_ids
 
 CELL_BITS = 20
 PARTS = 16
@@ -132,12 +133,12 @@ def _bound(n: int, pct: int) -> int:
 
 
 def _postings(k: int, pct: int, buckets: int, heavy):
-    """documents -> packed (n-gram, doc_id) lists, one row for each bucket and flush."""
+    """documents -> packed (n-gram, class) lists, one row for each bucket and flush."""
 
     def run(batches):
         level = heavy.value
         held: list[tuple[np.ndarray, int]] = []
-        seen: dict[int, int] = {}
+        seen: set[int] = set()
         size = 0
 
         def flush():
@@ -150,20 +151,22 @@ def _postings(k: int, pct: int, buckets: int, heavy):
             g, d, to = g[order], d[order], to[order]
             cut = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
             rows = [(b, g[s:e].tobytes(), d[s:e].tobytes()) for b, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if e > s]
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "grams", "docs"])
+            return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "grams", "classes"])
 
         for b in small(batches):
             for doc, s in zip(b.column(0).to_pylist(), _sets(b.column(1), k)):
-                if doc is None or not len(s) or seen.setdefault(_print_of(s), doc) != doc:
-                    continue  # equal sets meet through their fingerprint
+                fp = _print_of(s)
+                if doc is None or not len(s) or fp in seen:
+                    continue
+                seen.add(fp)
                 last = level[_cell(s)]
                 if last.any():
                     s = s[np.argsort(last, kind="stable")]
-                held.append((s[: _bound(len(s), pct)], doc))
+                held.append((s[: _bound(len(s), pct)], fp))
                 size += len(held[-1][0])
             if size > 4_000_000:
                 yield flush()
-                held, seen, size = [], {}, 0
+                held, seen, size = [], set(), 0
         if held:
             yield flush()
 
@@ -176,10 +179,10 @@ def _unpack(blobs, kind) -> np.ndarray:
 
 
 def _pivots(buckets: int):
-    """A bucket's lists -> packed distinct (doc_id, pivot) of all lists with two documents, by bucket of doc_id."""
+    """A bucket's lists -> packed distinct (class, pivot) of all lists with two classes, by bucket of class."""
 
     def run(_key, table):
-        g, d = _unpack(table.column("grams").to_pylist(), np.uint64), _unpack(table.column("docs").to_pylist(), np.int64)
+        g, d = _unpack(table.column("grams").to_pylist(), np.uint64), _unpack(table.column("classes").to_pylist(), np.int64)
         order = np.lexsort((d, g))
         g, d = g[order], d[order]
         start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
@@ -196,19 +199,23 @@ def _pivots(buckets: int):
 
 
 def _distinct(_key, table):
-    """Packed pairs of a bucket -> distinct rows (doc_id, pivot)."""
+    """Packed pairs of a bucket -> distinct rows (fp, pivot)."""
     pairs = np.unique(_unpack(table.column("pairs").to_pylist(), np.int64).reshape(-1, 2), axis=0)
-    return pa.table({"doc_id": pa.array(pairs[:, 0]), "pivot": pa.array(pairs[:, 1])})
+    return pa.table({"fp": pa.array(pairs[:, 0]), "pivot": pa.array(pairs[:, 1])})
 
 
 def _rows(k: int):
-    """(doc_id, text, blocks) -> one row of the incidence matrix for each block."""
+    """(doc_id, text, fp, blocks) -> one row of the incidence matrix for each block; rows whose text has another fp go."""
 
     def run(batches):
+        done: set[int] = set()
         for b in small(batches):
             out: list[tuple] = []
-            for s, blocks in zip(_sets(b.column(1), k), b.column(2).to_pylist()):
-                fp, data = _print_of(s), s.tobytes()
+            for s, fp, blocks in zip(_sets(b.column(1), k), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if fp in done or _print_of(s) != fp:
+                    continue
+                done.add(fp)
+                data = s.tobytes()
                 out += [(x["pivot"], x["i"], x["j"], fp, data) for x in blocks]
                 if len(out) > 2000:
                     yield _batch(out)
@@ -238,7 +245,7 @@ def _screen(pct: int):
     """A bucket's blocks -> star edges (a, b) that span the pairs the parity bounds allow."""
 
     def run(_key, table):
-        ids, sizes, bits = table.column("doc_id").to_numpy(), table.column("n").to_numpy(), table.column("bits")
+        ids, sizes, bits = table.column("fp").to_numpy(), table.column("n").to_numpy(), table.column("bits")
         edges: set[tuple[int, int]] = set()
         for block in _blocks(table):
             if len(block) > 1:
@@ -344,11 +351,11 @@ def _reach(fps: np.ndarray, rows: list[np.ndarray], pct: int) -> list[tuple[int,
 
 
 def _parts(pairs: DataFrame, most: int) -> DataFrame:
-    """(doc_id, pivot, n) -> (doc_id, pivot, i, j): a block of n-grams up to `most` is (0, 0); in a larger one each row meets every part."""
+    """(fp, pivot, n) -> (fp, pivot, i, j): a block of n-grams up to `most` is (0, 0); in a larger one each row meets every part."""
     parts = saved(pairs.groupBy("pivot").agg(F.sum("n").alias("m")).select("pivot", F.ceil(F.col("m") / most).cast("int").alias("g")), "parts")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     other = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    return pairs.join(parts, "pivot").withColumn("own", own).withColumn("at", F.explode(other)).select("doc_id", "pivot", "at.i", "at.j", *[c for c in pairs.columns if c not in ("doc_id", "pivot")])
+    return pairs.join(parts, "pivot").withColumn("own", own).withColumn("at", F.explode(other)).select("fp", "pivot", "at.i", "at.j", *[c for c in pairs.columns if c not in ("fp", "pivot")])
 
 
 def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_grams: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,30 +372,31 @@ def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_grams: int = 3_
     scanned = saved(d.mapInArrow(_scan(k), "doc_id long, n long, fp long, bits binary, part int, cells binary"), "scan")
     heavy = spark.sparkContext.broadcast(_heavy(scanned))
     sets = scanned.where("part is null").select("doc_id", "n", "fp", "bits")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = d.mapInArrow(_postings(k, pct, buckets, heavy), "bucket int, grams binary, docs binary")
-    pairs = saved(packed.groupBy("bucket").applyInArrow(_pivots(buckets), "bucket int, pairs binary").groupBy("bucket").applyInArrow(_distinct, "doc_id long, pivot long"), "pairs")
-    bucket = F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(buckets)).alias("bucket")
-    mapped = saved(sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("bits").alias("bits")), "mapped")
-    sized = saved(pairs.join(mapped, "doc_id"), "sized")
+    parts = buckets(docs)
+    classes = saved(sets.where("fp <> 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
+    packed = d.mapInArrow(_postings(k, pct, parts, heavy), "bucket int, grams binary, classes binary")
+    pairs = saved(packed.groupBy("bucket").applyInArrow(_pivots(parts), "bucket int, pairs binary").groupBy("bucket").applyInArrow(_distinct, "fp long, pivot long"), "pairs")
+    bucket = F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(parts)).alias("bucket")
+    sized = saved(pairs.join(classes.drop("rep"), "fp"), "sized")
     allowed = _parts(sized, block_grams).select("*", bucket).groupBy("bucket").applyInArrow(_screen(pct), "a long, b long")
-    # Documents joined by such pairs are one block from here, so each is sent once.
-    group = saved(components(allowed).toDF("doc_id", "pivot").join(mapped.select("doc_id", "n"), "doc_id"), "groups")
-    blocks = _parts(group, block_grams).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("blocks"))
-    members = d.join(blocks, "doc_id").mapInArrow(_rows(k), "pivot long, i int, j int, fp long, grams binary")
-    links = saved(members.select("*", bucket).groupBy("bucket").applyInArrow(_search(pct), "a long, b long").distinct(), "links")
-    classes = saved(sets.where("fp <> 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    a, b = classes.toDF("a", "ra"), classes.toDF("b", "rb")
-    edges = links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    comp = components(edges)
-    final = saved(classes.join(comp, classes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("root")), "final")
+    # Classes joined by such pairs are one block from here, so each is sent once.
+    group = saved(components(allowed).toDF("fp", "pivot").join(classes.drop("bits"), "fp"), "groups")
+    blocks = _parts(group, block_grams).groupBy("fp", "rep").agg(F.collect_list(F.struct("pivot", "i", "j")).alias("blocks"))
+    members = d.join(blocks, d.doc_id == blocks.rep).select("doc_id", "text", "fp", "blocks").mapInArrow(_rows(k), "pivot long, i int, j int, fp long, grams binary")
+    links = members.select("*", bucket).groupBy("bucket").applyInArrow(_search(pct), "a long, b long")
+    comp = components(links).toDF("fp", "component")
+    rooted = classes.join(comp, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = rooted.groupBy("component").agg(F.min("rep").alias("root"))
+    final = saved(rooted.join(least, "component").select("fp", "root"), "final")
     return sets.join(final, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     """The rows whose doc_id leads its component; of repeated rows, one.
 
-    Rows without n-grams or without a doc_id all stay.  Columns stay as they are.
+    Rows without n-grams or without a doc_id all stay (of repeated rows of an id
+    without n-grams, one).  Columns stay as they are, whatever their names.  An
+    empty table gives an empty table.
     """
     comp = saved(ngram_join(docs, k, pct), "components")
     lead = comp.where("doc_id = component_id or doc_id is null").select("doc_id").distinct().toDF("lead")
