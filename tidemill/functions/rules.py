@@ -58,13 +58,25 @@ PROMISE_REWRITES = [("保证", "通常"), ("一定能", "一般能"), ("肯定
 UNCERTAIN_WORDS = ["可能", "大概", "应该是", "估计", "不太清楚", "我确认一下"]
 
 
+def _step(name: str, pattern: str, placeholder: str):
+    def step(s):
+        n = F.regexp_count(s["text"], F.lit(pattern)).cast("long")
+        return F.struct(F.regexp_replace(s["text"], pattern, placeholder).alias("text"), F.concat(s["hits"], F.array(F.struct(F.lit(name).alias("rule"), n.alias("n")))).alias("hits"))
+
+    return step
+
+
 def masked(text: Column, rules=None) -> Column:
-    """struct(text, hits): the text with every rule applied in turn, and hits by rule above 0."""
-    hits = []
-    for name, pattern, placeholder in rules or PII_RULES:
-        hits.append(F.struct(F.lit(name).alias("rule"), F.regexp_count(text, F.lit(pattern)).cast("long").alias("n")))
-        text = F.regexp_replace(text, pattern, placeholder)
-    return F.struct(text.alias("text"), F.filter(F.array(*hits), lambda x: x["n"] > 0).alias("hits"))
+    """struct(text, hits): the text with every rule applied in turn, and hits by rule above 0; a null text stays null.
+
+    Each rule is a step over an array of one, so that no rule's text is computed
+    anew for the rules after it.
+    """
+    state = F.array(F.struct(text.alias("text"), F.array().cast("array<struct<rule string, n bigint>>").alias("hits")))
+    for rule in rules or PII_RULES:
+        state = F.transform(state, _step(*rule))
+    done = F.transform(state, lambda s: F.struct(s["text"].alias("text"), F.filter(s["hits"], lambda x: x["n"] > 0).alias("hits")))
+    return done[0]
 
 
 def contains_pii(text: Column, rules=None) -> Column:

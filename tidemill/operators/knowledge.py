@@ -6,25 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .retrieval import small_enough
+
 
 def merge_duplicates(items: DataFrame, key: Column, bonus: float = 0.03, most_bonus: float = 0.10, most: float = 0.98) -> DataFrame:
     """One item for each key: the best by confidence, quality, content length, then least id.
 
-    Tags are united in the order of the ranks; a missing category comes from the
-    best sibling that has one; each sibling adds `bonus` to the confidence.
-    Only the small columns of the siblings are gathered.
+    Tags and products are united in the order of the ranks; a missing category
+    comes from the best sibling that has one; each sibling adds `bonus` to the
+    confidence.  Only the small columns of the siblings are gathered.  Items
+    with a null key are merged with nothing; an empty table gives an empty one.
     """
-    ranked = items.withColumn("_key", key)
+    none = items.withColumn("_key", key).where("_key is null").drop("_key").withColumn("merged", F.lit(1).cast("long"))
+    ranked = items.withColumn("_key", key).where("_key is not null")
     order = W.partitionBy("_key").orderBy(F.desc("confidence"), F.desc("quality_score"), F.desc(F.length("content")), "id")
     ranked = ranked.withColumn("_rank", F.row_number().over(order))
     side = ranked.groupBy("_key").agg(
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "tags"))), lambda x: x["tags"]))).alias("tags"),
+        *[F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.coalesce(c, F.array().cast(items.schema[c].dataType)).alias("v")))), lambda x: x["v"]))).alias(c) for c in ("tags", "product_ids") if c in items.columns],
         F.min_by("category_id", F.when(F.col("category_id").isNotNull(), F.col("_rank"))).alias("category_id"),
         F.count("*").alias("merged"),
     )
-    best = ranked.where("_rank = 1").drop("_rank", "tags", "category_id")
+    best = ranked.where("_rank = 1").drop("_rank", "tags", "product_ids", "category_id")
     raised = F.greatest(F.col("confidence"), F.least(F.lit(most), F.col("confidence") + F.least(F.lit(most_bonus), F.lit(bonus) * (F.col("merged") - 1))))
-    return best.join(side, "_key").withColumn("confidence", raised).drop("_key")
+    return best.join(side, "_key").withColumn("confidence", raised).drop("_key").unionByName(none)
 
 
 def duplicate_ratio(items: DataFrame, key: Column) -> DataFrame:
@@ -77,7 +81,7 @@ def decide(checks: DataFrame, force: bool = False) -> DataFrame:
 def coverage(items: DataFrame, categories: DataFrame, types: DataFrame, sparse: int = 3, hot: int = 30) -> DataFrame:
     """Every category by type with its items and level; the sides are dimension tables."""
     counts = items.groupBy("category_id", "knowledge_type").agg(F.count("*").alias("items"))
-    cells = categories.select("category_id").crossJoin(F.broadcast(types.select("knowledge_type")))
+    cells = categories.select("category_id").crossJoin(small_enough(types.select("knowledge_type")))
     n = F.coalesce("items", F.lit(0))
     level = F.when(n == 0, "empty").when(n < sparse, "sparse").when(n > hot, "hot").otherwise("ok")
     return cells.join(counts, ["category_id", "knowledge_type"], "left").select("category_id", "knowledge_type", n.alias("items"), level.alias("level"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .retrieval import small_enough
+
 
 def attribute_conflicts(items: DataFrame, attrs: DataFrame) -> DataFrame:
     """(id, content, product_ids), (product_id, pos, key, value) -> the first attribute an item names but gives another value."""
@@ -52,10 +54,21 @@ def drop_overlaps(segments: DataFrame, group: str) -> DataFrame:
 
 
 def align(segments: DataFrame, names: DataFrame, text: str) -> DataFrame:
-    """Segments with the product whose longest name they hold; names are a dimension table (product_id, name, pos)."""
-    j = segments.join(F.broadcast(names), F.contains(F.col(text), F.col("name")), "left")
-    r = F.row_number().over(W.partitionBy("segment_id").orderBy(F.desc(F.length("name")), "pos"))
-    return j.withColumn("_r", r).where("_r = 1").select("segment_id", "product_id", F.col("name").alias("matched"))
+    """Segments with the product whose longest name they hold; names (product_id, name, pos).
+
+    A name meets the texts that hold its first characters, by an equi-join.
+    Null and blank names are never held; ties go by pos.  A segment without a
+    name, or with a null text, has a null product.
+    """
+    from ..functions.textops import char_grams
+
+    names = names.where("length(name) > 0")
+    g = names.agg(F.least(F.min(F.length("name")), F.lit(8))).first()[0] or 1
+    keyed = names.withColumn("_g", F.substring("name", 1, g))
+    grams = segments.select("segment_id", text, F.explode(F.array_distinct(char_grams(F.col(text), g))).alias("_g"))
+    held = grams.join(keyed, "_g").where(F.contains(F.col(text), F.col("name")))
+    best = held.groupBy("segment_id").agg(F.min_by(F.struct("product_id", "name"), F.struct(-F.length("name"), "pos")).alias("_n"))
+    return segments.select("segment_id").join(best, "segment_id", "left").select("segment_id", "_n.product_id", F.col("_n.name").alias("matched"))
 
 
 def calibration(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -64,7 +77,7 @@ def calibration(rows: DataFrame, a: str, b: str) -> DataFrame:
     for c in (a, b):
         counts = rows.groupBy(c).agg(F.count("*").alias("_n"))
         below = F.sum("_n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1))  # ratings are a few values
-        ranked = ranked.join(F.broadcast(counts.select(c, (F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2).alias(f"_{c}"))), c)
+        ranked = ranked.join(small_enough(counts.select(c, (F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2).alias(f"_{c}"))), c)
     gap = F.abs(F.col(a) - F.col(b))
     return ranked.agg(F.round(F.corr(f"_{a}", f"_{b}"), 6).alias("rho"), F.round(F.avg(gap), 6).alias("mean_error"), F.round(F.avg((gap >= 2).cast("double")), 6).alias("far"))
 

@@ -66,9 +66,9 @@ def unprocessed_sessions(spark, d):
 
 
 def near_session_pairs(spark, d):
-    """Pairs of first user turns with a Jaccard of 0.85 or more over four-character shingles."""
-    first = _turns(spark, d).where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    s = first.select("conv_id", shingles(F.col("text")).alias("s")).where("size(s) > 0")
+    """Pairs of sessions whose whole texts have a Jaccard of 0.85 or more over four-character shingles."""
+    whole = ops.sessions(_turns(spark, d)).select("conv_id", ops.content(F.col("turns")).alias("text"))
+    s = whole.select("conv_id", shingles(F.col("text")).alias("s")).where("size(s) > 0")
     # equal sets meet once; a prefix of each set, in one order, meets every partner
     sets = s.groupBy(F.sort_array("s").alias("s")).agg(F.sort_array(F.collect_list("conv_id")).alias("ids"))
     sets = sets.select(F.xxhash64("s").alias("k"), "s", "ids")
@@ -129,7 +129,7 @@ ORACLES = {
     "ods_append": f"""with {_SESSIONS}, k as (select conv_id, n, turns::varchar h from s), f as (select *, row_number() over (partition by h order by conv_id) r from k)
         select conv_id, n turns from f where r = 1 and h not in (select h from k where conv_id % 2 = 0)""",
     "unprocessed_sessions": "select distinct conv_id from conversations where conv_id % 3 <> 0 order by conv_id limit 100",
-    "near_session_pairs": r"""with f as (select conv_id, regexp_replace(arg_min(text, turn), '\s+', '', 'g') t from conversations where role = 'user' group by conv_id),
+    "near_session_pairs": r"""with f as (select conv_id, regexp_replace(string_agg(coalesce(text, ''), chr(10) order by turn), '\s+', '', 'g') t from conversations group by conv_id),
         g as (select conv_id, case when length(t) < 4 then [t] else list_distinct(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) end s from f where length(t) > 0),
         u as (select list_sort(s) s, min(conv_id) id, list_sort(list(conv_id)) ids from g group by 1),
         p as (select a.id a, b.id b, len(list_intersect(a.s, b.s)) i, len(a.s) na, len(b.s) nb from u a join u b on a.id < b.id and least(len(a.s), len(b.s)) >= 0.84 * greatest(len(a.s), len(b.s)))

@@ -99,9 +99,8 @@ def user_sessions(spark, d):
 
 
 def half_hour_windows(spark, d):
-    """Events by half-hour window of the first days."""
-    e = _events(spark, d).where("ts < timestamp_ntz '2024-01-03 00:00:00'")
-    return e.groupBy(F.window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "events", "total")
+    """Events by half-hour window."""
+    return _events(spark, d).groupBy(F.window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "events", "total")
 
 
 QUERIES = {f.__name__: f for f in (blind_spots, product_demand, task_queue, error_streaks, reply_latency, latency_percentiles, cost_rollup, weekly_change, kb_health, feedback_counts, owner_cap, ab_test, user_sessions, half_hour_windows)}
@@ -126,5 +125,5 @@ ORACLES = {
     "ab_test": "select ('0x' || substr(md5(user_id::varchar), 1, 6))::int % 2 ab, count(distinct user_id) users, count(*) events, round(avg((event_type = 'purchase')::int), 6) rate from events group by 1",
     "user_sessions": """with a as (select *, case when ts <= lag(ts) over w + interval 6 hours then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)), b as (select user_id, sum(new) over (partition by user_id order by ts, event_id) s from a),
         c as (select user_id, s, count(*) n from b group by all) select user_id, count(*) sessions, max(n) longest from c group by 1""",
-    "half_hour_windows": "select strftime(time_bucket(interval 30 minutes, ts), '%Y-%m-%d %H:%M') as start, count(*) events, round(sum(value), 4) total from events where ts < timestamp '2024-01-03' group by 1",
+    "half_hour_windows": "select strftime(time_bucket(interval 30 minutes, ts), '%Y-%m-%d %H:%M') as start, count(*) events, round(sum(value), 4) total from events group by 1",
 }

@@ -12,7 +12,7 @@ def _items(spark, d):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     text = F.coalesce("text", F.lit(""))
     return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("id"), F.lit("qa").alias("biz_type"), F.substring(text, 1, 60).alias("title"), text.alias("content"), "lang", "source",
+        F.col("doc_id").alias("id"), F.lit("qa").alias("biz_type"), F.substring_index(text, "\n", 1).alias("title"), text.alias("content"), "lang", "source",
         (F.col("doc_id") % 7).alias("category_id"), F.col("lang").alias("knowledge_type"), F.array("lang", "source").alias("tags"),
         ((F.col("doc_id") * 37 % 101) / 100).alias("confidence"), F.col("quality").cast("double").alias("quality_score"),
         F.when(F.col("quality").isNull(), "pending").when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved").otherwise("revised").alias("review_status"),
@@ -106,10 +106,10 @@ def triage_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (knowledge_merge, duplicate_ratio, publishable_items, publish_marginals, publish_stats, publish_gates, publish_decision, coverage_matrix, coverage_ratio, write_tasks, triage_counts)}
 
-_I = """i as (select d.doc_id id, substr(coalesce(text, ''), 1, 60) title, coalesce(text, '') as content, lang, source, d.doc_id % 7 category_id, lang knowledge_type, (d.doc_id * 37 % 101) / 100.0::double confidence, quality::double quality_score,
+_I = """i as (select d.doc_id id, split_part(coalesce(text, ''), chr(10), 1) title, coalesce(text, '') as content, lang, source, d.doc_id % 7 category_id, lang knowledge_type, (d.doc_id * 37 % 101) / 100.0::double confidence, quality::double quality_score,
     case when quality is null then 'pending' when toxic = 1 then 'rejected' when quality = 1 then 'approved' else 'revised' end review_status,
     case when d.doc_id % 5 = 0 then timestamp '2024-01-01' + to_days((d.doc_id % 60)::int) end valid_to, length(coalesce(text, '')) > 2000 has_assets,
-    substr(sha256('qa|' || trim(substr(coalesce(text, ''), 1, 60), ' ') || '|[' || (d.doc_id % 3)::varchar || ']'), 1, 16) k from documents d left join labels l on d.doc_id = l.doc_id)"""
+    substr(sha256('qa|' || trim(split_part(coalesce(text, ''), chr(10), 1), ' ') || '|[' || (d.doc_id % 3)::varchar || ']'), 1, 16) k from documents d left join labels l on d.doc_id = l.doc_id)"""
 _G = f"""{_I}, m as (select avg((review_status in ('approved', 'revised'))::int) approved_ratio, avg(quality_score) avg_quality, avg((source = 'src0')::int) synthetic_ratio,
     (select max(c) from (select count(*) c from i group by source)) / count(*) top_source_ratio, 1 - count(distinct k) / count(*) duplicate_ratio, count(*) filter (regexp_matches(content, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+')) pii_items from i),
     g as (select 'approved_ratio' gate, approved_ratio v, 0.95::double b, approved_ratio >= 0.95 p, true s from m union all select 'avg_quality', avg_quality, 0.7, avg_quality >= 0.7, true from m

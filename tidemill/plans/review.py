@@ -23,20 +23,16 @@ def task_keys(spark, d):
     return c.groupBy(rag_text.task_key(F.lit("ask"), F.lit(None).cast("long"), F.col("text")).alias("key")).agg(F.count("*").alias("n"), F.min("conv_id").alias("first"))
 
 
-def _conflicts(spark, d, text):
+def text_conflicts(spark, d):
+    """Documents that hold a nation's region's second word but not its first one."""
     n = _t(spark, d, "nation").select((F.col("n_nationkey") % 5).cast("long").alias("product_id"), F.col("n_nationkey").alias("pos"), F.substring(F.lower("n_name"), 1, 2).alias("key"), F.substring(F.lower("n_name"), 1, 3).alias("value"))
-    i = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("content"), F.array(F.col("doc_id") % 5, (F.col("doc_id") + 1) % 5).alias("product_ids"))
+    i = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.array(F.col("doc_id") % 5, (F.col("doc_id") + 1) % 5).alias("product_ids"))
     return ops.attribute_conflicts(i, n)
 
 
 def attribute_conflicts(spark, d):
-    """text_conflicts of the texts' first 300 characters."""
-    return _conflicts(spark, d, F.substring("text", 1, 300))
-
-
-def text_conflicts(spark, d):
-    """Documents that hold a nation's region's second word but not its first one."""
-    return _conflicts(spark, d, F.col("text"))
+    """The rows of text_conflicts, under its earlier name."""
+    return text_conflicts(spark, d)
 
 
 def annotations(spark, d):
@@ -53,7 +49,7 @@ def transcript_windows(spark, d):
 
 
 def segment_alignment(spark, d):
-    """Documents with the longest of fifty names they hold."""
+    """Documents with the longest of the names they hold."""
     names = _t(spark, d, "benchmark").select(F.col("item_id").alias("product_id"), F.substring_index("text", " ", 3).alias("name"), F.col("item_id").alias("pos"))
     return ops.align(_t(spark, d, "documents").select(F.col("doc_id").alias("segment_id"), "text"), names, "text").where("product_id is not null")
 
@@ -84,15 +80,13 @@ def retention(spark, d):
 
 
 def similar_openings(spark, d):
-    """Pairs of documents' openings with a Jaccard of 0.5 or more over words."""
-    o = _t(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
-    return greedy.similar_pairs(o, "doc_id", tokenize(F.col("t")), 0.5).select("a", "b", F.round("score", 6).alias("score"))
+    """The rows of similar_texts, under its earlier name."""
+    return similar_texts(spark, d)
 
 
 def greedy_openings(spark, d):
-    """Documents left when, in order, each goes whose opening is like one kept before it."""
-    o = _t(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
-    return greedy.without_similar(o, "doc_id", tokenize(F.col("t")), 0.5)
+    """The rows of greedy_texts, under its earlier name."""
+    return greedy_texts(spark, d)
 
 
 def similar_texts(spark, d):
@@ -107,12 +101,12 @@ def greedy_texts(spark, d):
 
 QUERIES = {f.__name__: f for f in (order_numbers, task_keys, attribute_conflicts, text_conflicts, annotations, transcript_windows, segment_alignment, rating_agreement, message_style, brand_options, retention, similar_openings, greedy_openings, similar_texts, greedy_texts)}
 
-_S = """t as (select doc_id id, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+')) t from documents), x as (select id, len(t) n, unnest(t) w from t),
+_S = """t as (select doc_id id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) t from documents), x as (select id, len(t) n, unnest(t) w from t),
     p as (select a.id a, b.id b, count(*) i, any_value(a.n) na, any_value(b.n) nb from x a join x b on a.w = b.w and a.id < b.id group by a.id, b.id), q as (select a, b, i / (na + nb - i) score from p where i / (na + nb - i) >= 0.5)"""
 ORACLES = {
     "order_numbers": "with a as (select doc_id, list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) between 10 and 24) n from documents) select doc_id, n[1] as number from a where len(n) > 0",
     "task_keys": r"select 'ask:-:' || substr(sha1(lower(regexp_replace(text, '[^\pL\pN\pM]+', '', 'g'))), 1, 16) as key, count(*) n, min(conv_id) as first from conversations where turn = 0 group by 1",
-    "attribute_conflicts": """with n as (select n_nationkey % 5 product_id, n_nationkey pos, substr(lower(n_name), 1, 2) k, substr(lower(n_name), 1, 3) v from nation), i as (select doc_id id, substr(text, 1, 300) c, unnest([doc_id % 5, (doc_id + 1) % 5]) product_id, unnest([0, 1]) p from documents),
+    "attribute_conflicts": """with n as (select n_nationkey % 5 product_id, n_nationkey pos, substr(lower(n_name), 1, 2) k, substr(lower(n_name), 1, 3) v from nation), i as (select doc_id id, text c, unnest([doc_id % 5, (doc_id + 1) % 5]) product_id, unnest([0, 1]) p from documents),
         j as (select *, row_number() over (partition by id order by p, pos) r from i join n using (product_id) where contains(c, k) and not contains(c, v)) select id, product_id, k as key, v as value from j where r = 1""",
     "annotations": """with a as (select doc_id id, length(text) n, case when doc_id % 5 = 0 then 'rejected' when doc_id % 7 = 0 then 'revised' when doc_id % 3 = 0 then 'approved' else 'pending' end s from documents)
         select s review_status, case when s in ('approved', 'revised') then 1.0::double else 0.5 end confidence, count(*) items, sum(n + (s = 'revised')::int)::bigint chars from a group by all""",
@@ -130,7 +124,6 @@ ORACLES = {
         k as (select 0::bigint i, []::bigint[] kept union all select k.i + 1, case when list_has_any(kept, coalesce(s, [])) then kept else list_append(kept, o.id) end from k join o on o.i = k.i + 1 left join nb on nb.b = o.id)
         select unnest(kept) id from (select kept from k order by i desc limit 1)""",
 }
-# The whole texts, by the SQL of the prefixes.
-ORACLES["text_conflicts"] = ORACLES["attribute_conflicts"].replace("substr(text, 1, 300)", "text")
-ORACLES["similar_texts"] = ORACLES["similar_openings"].replace("substr(text, 1, 200)", "text")
-ORACLES["greedy_texts"] = ORACLES["greedy_openings"].replace("substr(text, 1, 200)", "text")
+ORACLES["text_conflicts"] = ORACLES["attribute_conflicts"]
+ORACLES["similar_texts"] = ORACLES["similar_openings"]
+ORACLES["greedy_texts"] = ORACLES["greedy_openings"]

@@ -51,8 +51,8 @@ def sentence_counts(spark, d):
 
 
 def dedup_keys(spark, d):
-    """Documents of each shared key of source and first forty characters."""
-    k = textops.dedup_key(F.col("source"), F.substring("text", 1, 40), F.array(F.lit(2), F.lit(1)))
+    """Documents of each shared key of source and text."""
+    k = textops.dedup_key(F.col("source"), F.col("text"), F.array(F.lit(2), F.lit(1)))
     return _docs(spark, d).groupBy(k.alias("key")).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where("docs > 1")
 
 
@@ -82,7 +82,7 @@ ORACLES = {
     "page_links": "select regexp_extract(url, 'https?://([^/]+)', 1) host, count(*) pages, sum(len(regexp_extract_all(html, 'href=')))::bigint links from pages group by 1",
     "page_text": r"""select page_id, len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n\f]+'), lambda w: w <> '')) words from pages""",
     "sentence_counts": r"with a as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?\n]+'), lambda x: trim(x, ' ') <> '') s from documents) select doc_id, len(s) sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) longest from a",
-    "dedup_keys": "with a as (select doc_id, substr(sha256(source || '|' || trim(substr(text, 1, 40), ' ') || '|[1, 2]'), 1, 16) as key from documents) select key, count(*) docs, min(doc_id) as first from a group by 1 having count(*) > 1",
+    "dedup_keys": "with a as (select doc_id, substr(sha256(source || '|' || trim(text, ' ') || '|[1, 2]'), 1, 16) as key from documents) select key, count(*) docs, min(doc_id) as first from a group by 1 having count(*) > 1",
     "term_overlap": "with a as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) s from documents), b as (select a.doc_id, len(list_intersect(a.s, b.s)) i, len(a.s) + len(b.s) n from a join a b on b.doc_id = a.doc_id + 1) select doc_id, round(coalesce(i / nullif(n - i, 0), 0), 6) score from b",
     "upsert_latest": "select case when vec_id % 5 = 0 then 99 else label end as label, count(*) vectors, sum(vec_id)::bigint ids from embeddings where vec_id % 7 <> 0 group by 1",
 }
