@@ -66,7 +66,10 @@ def test_claims(spark):
         return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("x")).first()["x"]
 
     assert one("最近上新，很多人最担心起球，全网最好", claims.suspects) == ["最担"]
-    assert one("十二天内发货，重2.5kg，两件八折，二十元", claims.numbers) == ["2.5 kg", "12.0 天", "2.0 件", "8.0 折", "20.0 元"]
+    assert one("十二天内发货，重2.5kg，两件八折，二十元，第三天，一次性", claims.numbers) == ["2.5", "12", "2", "8", "20"]
+    assert one("想要一件，十一件，一般", lambda c: claims.numbers(c, True)) == ["11"] and one("一件007", claims.numbers) == ["7", "1"]
+    ground = lambda c: claims.grounded(c, F.lit("三天到货"), F.lit("身高160"))
+    assert one("3天到，160穿M", ground)["ok"] and one("保证3天到", ground)["flags"] == ["rewritten"] and one("七天无理由", ground)["unsourced"] == ["7"] and one(" ", ground)["flags"] == ["empty"]
     got = one("顶级面料，3天到货，治疗失眠", lambda c: claims.check_copy(c, F.lit("三天到货")))
     assert got.blocked == ["顶级", "治疗"] and got.unsourced == [] and not got.passed
     assert one("精选羊毛与棉", lambda c: claims.attribute_conflicts(c, F.create_map(F.lit("材质"), F.lit("棉 95%")), ["羊毛", "棉"])) == ["羊毛"]

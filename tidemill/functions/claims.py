@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import found_words
+from .rules import found_words, guard_output
 
 # Words that advertising may not use.
 SUPERLATIVES = [
@@ -20,6 +20,11 @@ HARMLESS_AFTER_MOST = "近后初终多少大小早晚新"
 # Chinese numerals below a hundred.
 CN_DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 
+# Units that make a Chinese numeral a number, sayings that hold none, and 一 as an article.
+UNITS = ["天", "日", "年", "月", "周", "小时", "分钟", "度", "元", "块", "件", "次", "码", "厘米", "cm", "米", "斤", "克", "kg", "g", "%", "折", "倍", "岁", "人"]
+IDIOMS = ["一次性", "一度", "一时", "一天到晚", "万一", "二次销售"]
+ARTICLE = "(?<![零一二两三四五六七八九十百])一(?=[件次])"
+
 
 def suspects(text: Column) -> Column:
     """最 with what follows, where neither harmless nor part of a listed word found."""
@@ -37,28 +42,58 @@ def cn_number(word: Column) -> Column:
     return F.when(ten, value(head, 1) * 10 + value(tail, 0)).when(F.length(word) == 1, F.try_element_at(digit, word))
 
 
-def numbers(text: Column, units: str = "天|小时|个|件|元|块|米|厘米|公斤|斤|克|年|月|周|次|折|%|cm|kg|g|ml") -> Column:
-    """Numbers with units as `value unit`, digits and Chinese numerals alike, each once."""
-    digits = F.regexp_extract_all(text, F.lit(rf"(\d+(?:\.\d+)?\s?(?:{units}))"), F.lit(1))
-    plain = F.transform(digits, lambda x: F.concat(F.regexp_extract(x, r"^(\d+(?:\.\d+)?)", 1).cast("double").cast("string"), F.lit(" "), F.regexp_extract(x, r"^\d+(?:\.\d+)?\s?(.*)$", 1)))
-    words = F.regexp_extract_all(text, F.lit(rf"([零一二两三四五六七八九十]{{1,3}}(?:{units}))"), F.lit(1))
-    spelled = F.transform(words, lambda x: F.concat(cn_number(F.regexp_extract(x, "^([零一二两三四五六七八九十]+)", 1)).cast("double").cast("string"), F.lit(" "), F.regexp_extract(x, "^[零一二两三四五六七八九十]+(.*)$", 1)))
-    return F.array_compact(F.array_distinct(F.concat(plain, spelled)))
-
-
-def unsourced(draft: Column, evidence: Column) -> Column:
-    """Numbers of the draft that the evidence does not have."""
-    return F.array_except(numbers(draft), numbers(evidence))
-
-
-def attribute_conflicts(text: Column, attributes: Column, materials: list[str]) -> Column:
-    """Materials that the text names and no attribute value (a map) or text of it does."""
-    known = F.array_join(F.map_values(attributes), " ")
+def numbers(text: Column, article: bool = False) -> Column:
+    """Numbers of a text, each once: digits as they are without leading zeros, Chinese numerals below a hundred where a unit follows.
+
+    Fixed sayings hold none; with `article`, 一 before 件 or 次 is an article.
+    Ordinals and what follows 再, 又 or 每 are no claims.  A null text has none.
+    """
+    bare = F.coalesce(text, F.lit(""))
+    for saying in IDIOMS:
+        bare = F.replace(bare, F.lit(saying), F.lit(""))
+    if article:
+        bare = F.regexp_replace(bare, ARTICLE, "")
+    digits = F.transform(F.regexp_extract_all(bare, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: F.regexp_replace(x, "^0+", ""))
+    digits = F.transform(digits, lambda x: F.when(x == "", "0").otherwise(x))
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    words = F.regexp_extract_all(bare, F.lit(rf"(?<![第再又每])([零一二两三四五六七八九十百]+)\s*(?:{units})"), F.lit(1))
+    return F.array_compact(F.array_distinct(F.concat(digits, F.transform(words, lambda x: cn_number(x).cast("string")))))
+
+
+def unsourced(draft: Column, evidence: Column, question: Column | None = None, article: bool = False) -> Column:
+    """Numbers of the draft that neither the evidence (a text) nor the question has, the least first."""
+    known = numbers(evidence, article)
+    if question is not None:
+        known = F.concat(known, numbers(question, article))
+    found = F.array_except(numbers(draft, article), known)
+    value = lambda x: F.floor(x.cast("double"))
+    return F.array_sort(found, lambda x, y: F.when(value(x) < value(y), -1).when(value(x) > value(y), 1).otherwise(F.lit(0)))
+
+
+def grounded(draft: Column, evidence: Column, question: Column) -> Column:
+    """struct(ok, text, unsourced, flags) of a draft: empty, without evidence, with numbers from nowhere, or with words an answer may not use.
+
+    Promises are made milder and flagged, which does not stop a draft.
+    """
+    text = F.trim(F.coalesce(draft, F.lit("")))
+    missing = unsourced(text, evidence, question)
+    post = guard_output(text, 10_000)
+    none = F.array().cast("array<string>")
+    flag = lambda cond, name: F.when(cond, F.array(F.lit(name))).otherwise(none)
+    no_text, no_evidence = text == "", F.trim(F.coalesce(evidence, F.lit(""))) == ""
+    flags = F.concat(flag(no_text, "empty"), flag(~no_text & no_evidence, "no_evidence"), flag(~no_text & ~no_evidence & (F.size(missing) > 0), "unsourced"), flag(~no_text & ~no_evidence & post["blocked"], "blocked"), flag(~no_text & ~no_evidence & ~post["blocked"] & post["rewritten"], "rewritten"))
+    ok = ~no_text & ~no_evidence & (F.size(missing) == 0) & ~post["blocked"]
+    return F.struct(ok.alias("ok"), F.when(post["blocked"], text).otherwise(post["text"]).alias("text"), F.when(no_text | no_evidence, none).otherwise(missing).alias("unsourced"), flags.alias("flags"))
+
+
+def attribute_conflicts(text: Column, attributes: Column, materials: list[str], name: Column | None = None) -> Column:
+    """Materials that the text names and neither an attribute (a map's keys and values) nor the product's name does."""
+    known = F.concat_ws(" ", F.coalesce(F.array_join(F.transform(F.map_entries(attributes), lambda e: F.concat(e["key"], F.coalesce(e["value"], F.lit("")))), " "), F.lit("")), *([] if name is None else [F.coalesce(name, F.lit(""))]))
     return F.filter(found_words(text, materials), lambda m: ~F.contains(known, m))
 
 
 def check_copy(text: Column, evidence: Column) -> Column:
     """struct(blocked, suspects, unsourced, passed) of a piece of copy."""
     blocked = F.concat(found_words(text, SUPERLATIVES), found_words(text, EFFICACY), found_words(text, PROMISES))
-    missing = unsourced(text, evidence)
+    missing = unsourced(text, evidence, article=True)
     return F.struct(blocked.alias("blocked"), suspects(text).alias("suspects"), missing.alias("unsourced"), ((F.size(blocked) == 0) & (F.size(missing) == 0)).alias("passed"))

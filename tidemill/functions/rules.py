@@ -54,6 +54,9 @@ OFF_LIMITS = r"政治|颠覆|反动|涉黄|赌博|毒品|枪支|炸药"
 # Words an answer may not use, and milder forms of promises.
 ABSOLUTE_WORDS = ["最好", "最佳", "最优", "最强", "最便宜", "最低价", "第一品牌", "全网第一", "顶级", "极致", "唯一", "独家首创", "百分百", "100%满意", "绝对", "永久", "万能", "国家级", "世界级"]
 MEDICAL_WORDS = ["治疗", "根治", "疗效", "药用", "抗癌", "杀菌率"]
+NEGATIVE = r"(?:什么破|垃圾|骗人|太差|气死|无语|答非所问|你听不懂|说了多少遍|再说一遍)|(?:没|不)(?:用|行|对)(?:啊|吧|呀)?$|投诉你"
+DEFERRALS = ["不太确定", "不确定", "无法确认", "没法确认", "不清楚", "建议您咨询", "建议你咨询", "建议您联系", "建议你联系", "咨询人工", "联系人工", "转接人工", "转人工", "帮不了", "无法回答", "回答不了", "我不知道"]
+HOSTS = ["smartmall.local", "taobao.com", "tmall.com"]
 PROMISE_REWRITES = [("保证", "通常"), ("一定能", "一般能"), ("肯定能", "一般能"), ("必然", "通常"), ("绝不会", "一般不会")]
 UNCERTAIN_WORDS = ["可能", "大概", "应该是", "估计", "不太清楚", "我确认一下"]
 
@@ -132,11 +135,26 @@ def guard_input(text: Column, longest: int = 1000) -> Column:
     )
 
 
-def guard_output(text: Column, longest: int = 200, allowed_hosts=()) -> Column:
-    """struct(text, blocked, rewritten, too_long): milder promises, links of other hosts removed."""
-    new = text
+def is_negative(text: Column, pattern: str = NEGATIVE) -> Column:
+    """A question that passes the guard and complains; runs of these lead to a handover."""
+    return guard_input(text).isNull() & F.trim(text).rlike(pattern)
+
+
+def guard_output(text: Column, longest: int = 200, allowed_hosts=tuple(HOSTS)) -> Column:
+    """struct(text, blocked, rewritten, too_long, deferred, medical, absolute, uncited) of an answer.
+
+    Medical and absolute words stop it, as does an empty one; promises are made
+    milder and links of other hosts lose them; deferred: the answer says that it
+    cannot answer; uncited: digits without a reference mark.
+    """
+    old = F.coalesce(text, F.lit(""))
+    new = old
     for word, mild in PROMISE_REWRITES:
         new = F.replace(new, F.lit(word), F.lit(mild))
     hosts = "|".join(h.replace(".", r"\.") for h in allowed_hosts) or "(?!)"
-    new = F.regexp_replace(new, rf"https?://(?!(?:[^\s/]*\.)?(?:{hosts})(?:[/\s]|$))[^\s]+", "")
-    return F.struct(new.alias("text"), (has_any(text, ABSOLUTE_WORDS) | has_any(text, MEDICAL_WORDS)).alias("blocked"), (new != text).alias("rewritten"), (F.length(new) > longest).alias("too_long"))
+    new = F.regexp_replace(new, rf"https?://(?![^\s/]*(?:{hosts})(?:[\s/]|$))[^\s/]+", "")
+    medical, absolute = found_words(old, MEDICAL_WORDS), found_words(old, ABSOLUTE_WORDS)
+    return F.struct(
+        new.alias("text"), ((F.size(medical) > 0) | (F.size(absolute) > 0) | (old == "")).alias("blocked"), (new != old).alias("rewritten"), (F.length(new) > longest).alias("too_long"), has_any(old, DEFERRALS).alias("deferred"),
+        medical.alias("medical"), absolute.alias("absolute"), (new.rlike(r"\d") & ~new.rlike(r"\[#\d+\]")).alias("uncited"),
+    )

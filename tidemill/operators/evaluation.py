@@ -67,16 +67,25 @@ def summary(pairs: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def split_half(rows: DataFrame, stratum: str, key: Column) -> DataFrame:
-    """Adds part: `tune` for the first half of each stratum in the key's order, `hold` for the rest."""
+    """Adds part: `tune` for the first half of each stratum in the key's order, `hold` for the rest.
+
+    The key is a string of evenly spread beginnings, such as a hash: rows are
+    ranked within its first three characters, and counts of those give what
+    comes before, so that no stratum is sorted in one task.
+    """
+    keyed = rows.withColumn("_key", key.cast("string")).withColumn("_b", F.substring("_key", 1, 3))
+    counts = keyed.groupBy(stratum, "_b").agg(F.count("*").alias("_c"))
     w = W.partitionBy(stratum)
-    r, n = F.row_number().over(w.orderBy(key)), F.count("*").over(w)
-    return rows.withColumn("part", F.when(r <= F.floor(n / 2), "tune").otherwise("hold"))
+    counts = counts.select(F.col(stratum).alias("_s"), F.col("_b").alias("_p"), (F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    j = keyed.join(counts, F.col(stratum).eqNullSafe(F.col("_s")) & F.col("_b").eqNullSafe(F.col("_p")))
+    r = F.col("_before") + F.row_number().over(W.partitionBy(stratum, "_b").orderBy("_key"))
+    return j.withColumn("part", F.when(r <= F.floor(F.col("_n") / 2), "tune").otherwise("hold")).drop("_key", "_b", "_s", "_p", "_before", "_n")
 
 
 def round_robin(rows: DataFrame, stratum: str, key: Column, limit: int) -> DataFrame:
     """A sample of `limit` rows that takes one of each stratum in turn."""
     r = F.row_number().over(W.partitionBy(stratum).orderBy(key))
-    return rows.withColumn("turn_no", r).orderBy("turn_no", stratum).limit(limit)
+    return rows.withColumn("turn_no", r).where(F.col("turn_no") <= limit).orderBy("turn_no", stratum).limit(limit)  # ranks are cut before the shuffle
 
 
 def regressions(now: DataFrame, baseline: DataFrame, tolerance: float = 0.03) -> DataFrame:

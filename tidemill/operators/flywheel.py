@@ -68,3 +68,46 @@ def capped_share(rows: DataFrame, owner: str, key: Column, share: float) -> Data
 def ab_group(user: Column, groups: int = 2) -> Column:
     """A user's group, the same for all their sessions."""
     return F.conv(F.substring(F.md5(user.cast("string")), 1, 6), 16, 10).cast("int") % groups
+
+
+def percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float], buckets: int = 1024) -> DataFrame:
+    """(group, a column for each share): exact percentiles, interpolated, without a sort or a list of all values.
+
+    A histogram between each group's least and largest value tells in which
+    buckets the wanted ranks lie; only values of those are counted.  Null values
+    are left out, and so are groups without any.
+    """
+    g, v = F.col(group), F.col(value).cast("double")
+    r = rows.where(F.col(value).isNotNull() & g.isNotNull()).select(g, v.alias("_v"))
+    ends = r.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    place = F.least(F.lit(buckets - 1), F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * buckets).cast("int"))
+    binned = r.join(ends, group).withColumn("_b", place)
+    hist = binned.groupBy(group, "_b").agg(F.count("*").alias("_c"))
+    hist = hist.withColumn("_before", F.sum("_c").over(W.partitionBy(group).orderBy("_b")) - F.col("_c"))
+    at = [F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("at")) for name, q in shares.items()]
+    asked = ends.select(group, F.explode(F.array(*at)).alias("q")).select(group, "q.name", "q.at")
+    asked = asked.select("*", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("_rank"))
+    wanted = asked.join(hist, group).where("_rank >= _before and _rank < _before + _c")
+    near = binned.join(wanted.select(group, "_b", "_before").distinct(), [group, "_b"]).groupBy(group, "_b", "_before", "_v").agg(F.count("*").alias("_k"))
+    w = W.partitionBy(group, "_b").orderBy("_v")
+    near = near.select(group, "_b", "_v", (F.col("_before") + F.sum("_k").over(w) - F.col("_k")).alias("_from"), (F.col("_before") + F.sum("_k").over(w)).alias("_to"))
+    found = wanted.join(near, [group, "_b"]).where("_rank >= _from and _rank < _to")
+    ends_of = found.groupBy(group, "name", "at").agg(F.min_by("_v", "_rank").alias("a"), F.max_by("_v", "_rank").alias("b"))
+    one = ends_of.select(group, "name", (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("p"))
+    return one.groupBy(group).agg(*[F.max(F.when(F.col("name") == name, F.col("p"))).alias(name) for name in shares])
+
+
+def blind_spot_ids(tickets: DataFrame, limit: int = 50) -> DataFrame:
+    """(id, question, status) -> open and answered questions with their first hundred ids, the most frequent first; a report of `limit` rows."""
+    t = tickets.where("status in ('open', 'answered')")
+    counts = t.groupBy("question").agg(F.count("*").alias("times"), F.min("id").alias("first_id")).orderBy(F.desc("times"), "first_id").limit(limit)
+    rank = F.row_number().over(W.partitionBy("question").orderBy("id"))
+    ids = t.join(counts.select("question"), "question", "left_semi").withColumn("_r", rank).where("_r <= 100").groupBy("question").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    return counts.join(ids, "question")
+
+
+def question_demand(traces: DataFrame, limit: int = 20) -> DataFrame:
+    """(product_id, input_text, intent, handover) -> each product's most frequent questions: times, an intent, handovers; `limit` a product."""
+    g = traces.groupBy("product_id", "input_text").agg(F.count("*").alias("times"), F.max("intent").alias("intent"), F.count_if("handover").alias("handovers"))
+    r = F.row_number().over(W.partitionBy("product_id").orderBy(F.desc("times"), "input_text"))
+    return g.withColumn("rank", r).where(F.col("rank") <= limit)

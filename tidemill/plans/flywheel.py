@@ -45,8 +45,20 @@ def reply_latency(spark, d):
 
 def latency_percentiles(spark, d):
     """Median, 95th and 99th percentile of values by type."""
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    return _events(spark, d).groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    p = ops.percentiles(_events(spark, d), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return p.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
+def blind_spot_ids(spark, d):
+    """The thirty users with most open or answered errors, and which these are."""
+    e = _events(spark, d).where("event_type = 'error'")
+    return ops.blind_spot_ids(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("question"), F.when(F.col("event_id") % 3 == 0, "closed").when(F.col("event_id") % 3 == 1, "open").otherwise("answered").alias("status")), 30)
+
+
+def question_demand(spark, d):
+    """The three most frequent event properties of each day of the week, as questions on a product."""
+    e = _events(spark, d).select((F.col("user_id") % 7).alias("product_id"), F.col("props").alias("input_text"), F.col("event_type").alias("intent"), (F.col("event_type") == "error").alias("handover"))
+    return ops.question_demand(e, 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 def cost_rollup(spark, d):
@@ -103,10 +115,13 @@ def half_hour_windows(spark, d):
     return _events(spark, d).groupBy(F.window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "events", "total")
 
 
-QUERIES = {f.__name__: f for f in (blind_spots, product_demand, task_queue, error_streaks, reply_latency, latency_percentiles, cost_rollup, weekly_change, kb_health, feedback_counts, owner_cap, ab_test, user_sessions, half_hour_windows)}
+QUERIES = {f.__name__: f for f in (blind_spots, product_demand, task_queue, error_streaks, reply_latency, latency_percentiles, cost_rollup, weekly_change, kb_health, feedback_counts, owner_cap, ab_test, user_sessions, half_hour_windows, blind_spot_ids, question_demand)}
 
 _W = "e as (select *, ((day(ts) - 1) // 7)::int as week from events)"
 ORACLES = {
+    "blind_spot_ids": """with e as (select event_id id, user_id question from events where event_type = 'error' and event_id % 3 <> 0), g as (select question, count(*) times, min(id) first_id from e group by 1 order by times desc, first_id limit 30),
+        r as (select *, row_number() over (partition by question order by id) r from e semi join g using (question)) select question, times, first_id, string_agg(id::varchar, ',' order by id) ids from g join r using (question) where r <= 100 group by all""",
+    "question_demand": """with g as (select user_id % 7 product_id, props input_text, count(*) times, max(event_type) intent, count(*) filter (event_type = 'error') handovers from events group by 1, 2), r as (select *, row_number() over (partition by product_id order by times desc, input_text) as rank from g) select * from r where rank <= 3""",
     "blind_spots": """select user_id question, count(*) times, max(case when value > 50 then 'timeout' else 'failure' end) reason, min(event_id) first_id, min(case when event_id % 2 = 0 then 'open' else 'answered' end) status,
         case when count(*) >= 3 then 'P0' when count(*) = 2 then 'P1' else 'P2' end priority from events where event_type = 'error' group by 1 order by times desc, first_id limit 40""",
     "product_demand": "select hour(ts)::int as hour, count(*) asked, count(*) filter (event_type = 'purchase') bought, count(distinct user_id) users from events where event_type in ('view', 'purchase') group by 1",

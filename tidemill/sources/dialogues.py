@@ -30,14 +30,21 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """session, sentence, speaker, text[, time] by tabs; rows of fewer fields and empty texts go.
 
     Runs of one session that another interrupts are sessions of their own, as
-    the files are written session after session; `run` tells them apart.
+    the files are written session after session; `run` tells them apart.  A
+    large file is read in splits: runs are numbered within each split, and a
+    table of one row a split joins the runs that go on from one to the next.
+    An empty file gives no row.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.split("value", "\t", -1).alias("f")).where("size(f) >= 4")
-    rows = lines.select("file", "line", F.col("f")[0].alias("session_no"), role(F.col("f")[2]).alias("role"), F.trim(F.col("f")[3]).alias("content"), parse_time(F.get("f", F.lit(4))).alias("said_at"))
-    w = W.partitionBy("file").orderBy("line")
-    new = F.coalesce((F.lag("session_no").over(w) != F.col("session_no")).cast("long"), F.lit(1))
-    rows = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).where("content <> ''")
-    turn = F.struct("line", "role", "content", "said_at")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.split("value", "\t", -1).alias("f")).where("size(f) >= 4")
+    rows = lines.select("file", "block", "line", F.col("f")[0].alias("session_no"), role(F.col("f")[2]).alias("role"), F.trim(F.col("f")[3]).alias("content"), parse_time(F.get("f", F.lit(4))).alias("said_at"))
+    w = W.partitionBy("file", "block").orderBy("line")
+    rows = rows.withColumn("_new", F.coalesce((F.lag("session_no").over(w) != F.col("session_no")).cast("long"), F.lit(0)))
+    splits = rows.groupBy("file", "block").agg(F.min_by("session_no", "line").alias("_first"), F.max_by("session_no", "line").alias("_last"), F.sum("_new").alias("_runs"))
+    by_file = W.partitionBy("file").orderBy("block")  # a row for each split
+    splits = splits.withColumn("_begins", F.coalesce((F.lag("_last").over(by_file) != F.col("_first")).cast("long"), F.lit(1)))
+    splits = splits.select("file", "block", (F.sum(F.col("_begins") + F.col("_runs")).over(by_file) - F.col("_runs")).alias("_from"))
+    rows = rows.withColumn("_in", F.sum("_new").over(w)).join(splits, ["file", "block"]).withColumn("run", F.col("_from") + F.col("_in")).where("content <> ''")
+    turn = F.struct("block", "line", "role", "content", "said_at")
     grouped = rows.groupBy("file", "run", "session_no").agg(F.array_sort(F.collect_list(turn)).alias("t"))
     turns = F.transform("t", lambda t, i: F.struct(i.alias("turn_index"), t["role"].alias("role"), t["content"].alias("content"), t["said_at"].alias("said_at")))
     return grouped.select("session_no", "run", turns.alias("turns"))

@@ -50,8 +50,8 @@ def write_snapshot(items: DataFrame, path: str) -> None:
 
 
 def write_mart(rows: DataFrame, path: str, month: Column, sort: list[str]) -> None:
-    """Parquet by month, sorted within files so that readers skip row groups."""
-    rows.withColumn("ym", F.date_format(month, "yyyyMM")).repartition("ym").sortWithinPartitions("ym", *sort).write.partitionBy("ym").mode("overwrite").parquet(path)
+    """Parquet by month, sorted within files so that readers skip row groups; a large month is many tasks, by its sort keys."""
+    rows.withColumn("ym", F.date_format(month, "yyyyMM")).repartitionByRange("ym", *sort).sortWithinPartitions("ym", *sort).write.partitionBy("ym").mode("overwrite").parquet(path)
 
 
 def compacted(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
@@ -60,13 +60,20 @@ def compacted(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """The rows, written to the folder the cluster shares and read again: their lineage ends here."""
+    """The rows, written to the folder the cluster shares and read again: their lineage ends here.
+
+    Without spark.checkpoint.dir, a folder of this machine serves where all of
+    Spark runs on it (local mode, as in tests); on a cluster it is an error.
+    """
     import tempfile
     import uuid
 
     spark = rows.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
