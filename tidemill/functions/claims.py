@@ -67,7 +67,7 @@ def unsourced(draft: Column, evidence: Column, question: Column | None = None, a
         known = F.concat(known, numbers(question, article))
     found = F.array_except(numbers(draft, article), known)
     value = lambda x: F.floor(x.cast("double"))
-    return F.array_sort(found, lambda x, y: F.when(value(x) < value(y), -1).when(value(x) > value(y), 1).otherwise(F.lit(0)))
+    return F.array_sort(found, lambda x, y: F.when(value(x) < value(y), -1).when(value(x) > value(y), 1).when(x < y, -1).when(x > y, 1).otherwise(F.lit(0)))
 
 
 def grounded(draft: Column, evidence: Column, question: Column) -> Column:

@@ -238,3 +238,58 @@ def normalised(vec: Column) -> Column:
 def promotion_ends(kind: Column, valid_to: Column, as_of: Column, days: int = 7) -> Column:
     """When an item is over: a promotion without an end lasts `days` from as_of."""
     return F.when((kind == "promotion") & valid_to.isNull(), as_of + F.make_dt_interval(F.lit(days))).otherwise(valid_to)
+
+
+def item_rows(items: DataFrame, as_of: Column) -> DataFrame:
+    """Items as their table holds them: vectors to come, valid from now unless told, arrays as JSON."""
+    lists = [c for c, kind in items.dtypes if kind.startswith("array")]
+    return items.withColumns({"embedding_status": F.lit("pending"), "valid_from": F.coalesce("valid_from", as_of), **{c: F.to_json(F.coalesce(c, F.array().cast(items.schema[c].dataType))) for c in lists}})
+
+
+def embedded(rows: DataFrame, embed, dim: int, most: int = 16) -> DataFrame:
+    """(id, text) -> (id, vec) by a caller's function of up to `most` texts at a time; vectors of another length fail the job."""
+
+    def run(frames):
+        for f in frames:
+            for a in range(0, len(f), most):
+                part = f.iloc[a : a + most]
+                vecs = embed(part["text"].fillna("").tolist())
+                if len(vecs) != len(part) or any(len(v) != dim for v in vecs):
+                    raise ValueError("the provider gave vectors of another length or number")
+                yield part[["id"]].assign(vec=[list(map(float, v)) for v in vecs])
+
+    return rows.select(F.col("id").cast("long").alias("id"), "text").mapInPandas(run, "id long, vec array<double>")
+
+
+def clip_run(segments: DataFrame, names: DataFrame, products: DataFrame, categories: DataFrame, stored_aliases: DataFrame, ref: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments of a live session -> its items, alias proposals with what is stored, and segments to review."""
+    from .tasks import propose_aliases
+
+    trusted, review = bind_segments(segments, names, products)
+    bound = trusted.unionByName(review).join(segments.drop("text", "product_id"), "segment_id")
+    aliases = propose_aliases(stored_aliases, trusted.select("product_id", F.col("matched_alias").alias("alias")))
+    return from_segments(bound, categories, ref), aliases, review
+
+
+# When a blind spot is covered after all, and when a draft is one that exists.
+COVERED_DENSE, COVERED_OVERLAP, SAME_DRAFT = 0.72, 0.30, 0.50
+
+
+def knowledge_batch(spots: DataFrame, leads: DataFrame, hits: DataFrame, drafts: DataFrame, nearest: DataFrame, limit: int = 20) -> DataFrame:
+    """(id, question, times) -> an outcome for each cluster's lead: covered, no_evidence, no_draft, ungrounded, duplicate or staged.
+
+    leads: (id, lead); hits: (id, dense, overlap) of the best hit; drafts: (id,
+    draft, evidence) by a model; nearest: (id, score) to what exists.  Clusters
+    are ranked and cut after the clustering.
+    """
+    from ..functions.claims import grounded
+    from .greedy import ranked_clusters
+
+    todo = ranked_clusters(spots, leads, "id", "times", limit).select(F.col("lead").alias("id"), "members", "times")
+    j = todo.join(spots.select("id", "question"), "id").join(hits, "id", "left").join(drafts, "id", "left").join(nearest.withColumnRenamed("score", "_same"), "id", "left")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    outcome = (
+        F.when((F.col("dense") >= COVERED_DENSE) & (F.col("overlap") >= COVERED_OVERLAP), "covered").when(blank("evidence"), "no_evidence").when(blank("draft"), "no_draft")
+        .when(~grounded(F.col("draft"), F.col("evidence"), F.col("question"))["ok"], "ungrounded").when(F.coalesce("_same", F.lit(0.0)) >= SAME_DRAFT, "duplicate").otherwise("staged")
+    )
+    return j.select("id", "members", "times", outcome.alias("outcome"))

@@ -160,11 +160,41 @@ def promotion_ends(spark, d):
     return i.select("kind", F.date_format(ops.promotion_ends(F.col("kind"), F.col("valid_to"), as_of), "yyyy-MM-dd").alias("ends")).groupBy("kind", "ends").agg(F.count("*").alias("items"))
 
 
+def stored_items(spark, d):
+    """Items as their table holds them."""
+    n = F.col("doc_id")
+    i = _t(spark, d, "documents").select(n.alias("id"), F.when(n % 3 != 0, F.array("lang", "source")).alias("tags"), F.when(n % 4 == 0, F.expr("timestamp_ntz '2024-01-01 00:00:00'")).alias("valid_from"))
+    return ops.item_rows(i, F.expr("timestamp_ntz '2024-02-01 00:00:00'")).select("id", "tags", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), "embedding_status")
+
+
+def clip_run(spark, d):
+    """Items, alias proposals and segments to review of a live session."""
+    b, n = _t(spark, d, "benchmark"), F.col("segment_id")
+    names = b.select(F.col("item_id").alias("product_id"), F.substring_index("text", " ", 3).alias("name"), F.col("item_id").alias("pos"))
+    s = _t(spark, d, "documents").select(F.col("doc_id").alias("segment_id"), "text", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 90).alias("product_id"))
+    s = s.select("*", F.lit("feature").alias("kind"), F.lit("t").alias("topic"), F.col("text").alias("script"), (n * 10).alias("begin_ms"), (n * 10 + 5).alias("end_ms"))
+    stored = b.select(F.col("item_id").alias("product_id"), F.lit("old").alias("alias"), F.lit(1).alias("times"))
+    items, aliases, review = ops.clip_run(s, names, b.select(F.col("item_id").alias("product_id")), _categories(spark, d), stored, "live:1")
+    one = lambda rows, kind, total: rows.agg(F.count("*").alias("n"), total.alias("total")).select(F.lit(kind).alias("kind"), "n", "total")
+    return one(items, "items", F.sum(F.size("product_ids"))).unionAll(one(aliases, "aliases", F.sum("times"))).unionAll(one(review, "review", F.count("product_id")))
+
+
+def knowledge_batch(spark, d):
+    """What becomes of the forty most asked clusters of documents: covered, staged, or why not."""
+    docs, n = _t(spark, d, "documents"), F.col("id")
+    spots = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("question"), (F.col("doc_id") % 9 + 1).alias("times"))
+    leads = spots.select("id", (n - n % 3).alias("lead"))
+    hits = spots.select("id", ((n % 10) / 10).alias("dense"), F.lit(0.4).alias("overlap")).where("id % 2 = 0")
+    drafts = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("about "), F.col("doc_id") % 4)).alias("draft"), F.when(F.col("doc_id") % 7 != 0, F.lit("from 0 to 1, then 2")).alias("evidence"))
+    nearest = spots.select("id", ((n % 6) / 6).alias("score"))
+    return ops.knowledge_batch(spots.withColumn("question", F.lit("what")), leads, hits, drafts, nearest, 40)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         knowledge_types, ticket_items, segment_binding, segment_items, unseen_claims, picture_items, colour_checks, hotwords, session_needs, category_losses, product_cards, label_payloads, order_tracks, contradictions, entity_matches,
-        catalogue_faults, vector_lengths, promotion_ends,
+        catalogue_faults, vector_lengths, promotion_ends, stored_items, clip_run, knowledge_batch,
     )
 }
 
@@ -196,6 +226,12 @@ ORACLES = {
     "catalogue_faults": """with p as (select p_partkey id, p_partkey % 7 c, p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size n, p_type t from part), b as (select id % 7 c, substr(t, 1, 4) bad from p where id < 7),
         f as (select id, 'forbidden:type' fault from p join b using (c) where id % 5 <> 0 and contains(t, bad) union select id, 'no_attribute' from p where id % 5 = 0 union select id, 'no_sku' from p where id not in (select l_partkey from lineitem where l_quantity > 45) union select id, 'same_name' from p where n in (select n from p group by n having count(*) > 1))
         select fault, count(*) products, sum(id)::bigint ids from f group by 1""",
+    "stored_items": """select doc_id id, case when doc_id % 3 = 0 then '[]' else '["' || lang || '","' || source || '"]' end tags, case when doc_id % 4 = 0 then '2024-01-01' else '2024-02-01' end valid_from, 'pending' embedding_status from documents""",
+    "clip_run": f"""with {_S} select 'items' kind, count(*) n, (count(*) filter (binding = 'spoken'))::bigint total from s where trim(coalesce(text, ''), ' ') <> '' union all
+        select 'aliases', count(*), sum(t)::bigint from (select p, a, sum(t) t from (select item_id p, 'old' a, 1 t from benchmark union all select s.p, substr(j.name, 1, 60), 1 from s join j on j.doc_id = s.id and j.r = 1 where sp is not null and sp is distinct from known) group by 1, 2) union all
+        select 'review', count(*), count(p) from s where binding <> 'spoken'""",
+    "knowledge_batch": """with s as (select doc_id - doc_id % 3 id, count(*) members, sum(doc_id % 9 + 1)::bigint times from documents group by 1 order by times desc, id limit 40)
+        select id, members, times, case when id % 2 = 0 and (id % 10) / 10 >= 0.72 then 'covered' when id % 7 = 0 then 'no_evidence' when id % 5 = 0 then 'no_draft' when id % 4 = 3 then 'ungrounded' when (id % 6) / 6 >= 0.5 then 'duplicate' else 'staged' end outcome from s""",
     "vector_lengths": "select case when vec_id % 9 = 0 then 0.0::double else 1.0 end length, count(*) vectors from embeddings group by 1",
     "promotion_ends": "select case when doc_id % 2 = 0 then 'promotion' else 'spec' end kind, case when doc_id % 3 = 0 then '2024-05-01' when doc_id % 2 = 0 then '2024-03-08' end ends, count(*) items from documents group by all",
 }

@@ -99,7 +99,13 @@ def greedy_texts(spark, d):
     return greedy.without_similar(_t(spark, d, "documents"), "doc_id", tokenize(F.col("text")), 0.5)
 
 
-QUERIES = {f.__name__: f for f in (order_numbers, task_keys, attribute_conflicts, text_conflicts, annotations, transcript_windows, segment_alignment, rating_agreement, message_style, brand_options, retention, similar_openings, greedy_openings, similar_texts, greedy_texts)}
+def text_clusters(spark, d):
+    """The twenty most asked clusters of like documents, a document being asked for one to five times."""
+    rows = _t(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 5 + 1).alias("times"))
+    return greedy.ranked_clusters(rows, greedy.clusters(rows, "doc_id", tokenize(F.col("text")), 0.5), "doc_id", "times", 20)
+
+
+QUERIES = {f.__name__: f for f in (order_numbers, task_keys, attribute_conflicts, text_conflicts, annotations, transcript_windows, segment_alignment, rating_agreement, message_style, brand_options, retention, similar_openings, greedy_openings, similar_texts, greedy_texts, text_clusters)}
 
 _S = """t as (select doc_id id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) t from documents), x as (select id, len(t) n, unnest(t) w from t),
     p as (select a.id a, b.id b, count(*) i, any_value(a.n) na, any_value(b.n) nb from x a join x b on a.w = b.w and a.id < b.id group by a.id, b.id), q as (select a, b, i / (na + nb - i) score from p where i / (na + nb - i) >= 0.5)"""
@@ -127,3 +133,6 @@ ORACLES = {
 ORACLES["text_conflicts"] = ORACLES["attribute_conflicts"]
 ORACLES["similar_texts"] = ORACLES["similar_openings"]
 ORACLES["greedy_texts"] = ORACLES["greedy_openings"]
+ORACLES["text_clusters"] = ORACLES["greedy_texts"].replace("select unnest(kept) id from (select kept from k order by i desc limit 1)", """kp as (select unnest(kept) id from (select kept from k order by i desc limit 1)), u as (select a, b from q union all select b, a from q),
+    l as (select t.id, case when t.id in (select id from kp) then t.id else coalesce(min(u.a), t.id) end lead from t left join u on u.b = t.id and u.a in (select id from kp) group by t.id)
+    select lead, count(*) members, sum(id % 5 + 1)::bigint times from l group by 1 order by times desc, lead limit 20""").replace("else list_append(kept, o.id) end from k join o on o.i = k.i + 1 left join nb on nb.b = o.id)", "else list_append(kept, o.id) end from k join o on o.i = k.i + 1 left join nb on nb.b = o.id),")

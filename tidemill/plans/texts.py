@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules, textops
+from ..functions import claims, rules, textops
 from ..sources.tables import latest, without
 
 
@@ -70,9 +70,31 @@ def upsert_latest(spark, d):
     return without(latest(v, new, ["vec_id"]), v.where("vec_id % 7 = 0"), ["vec_id"]).groupBy("label").agg(F.count("*").alias("vectors"), F.sum("vec_id").alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (parameter_hits, guard_counts, page_links, page_text, sentence_counts, dedup_keys, term_overlap, upsert_latest)}
+def number_claims(spark, d):
+    """Different numbers that documents state."""
+    return _docs(spark, d).select("doc_id", F.size(claims.numbers(F.col("text"))).cast("long").alias("numbers")).where("numbers > 0")
 
+
+def unsourced_numbers(spark, d):
+    """Numbers of each document that the one after it does not have, the least first."""
+    docs = _docs(spark, d)
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("evidence"))
+    return docs.join(after, "doc_id").select("doc_id", F.array_join(claims.unsourced(F.col("text"), F.col("evidence")), ",").alias("numbers")).where("numbers <> ''")
+
+
+def answer_guard(spark, d):
+    """Turns by role that a guard of answers would flag."""
+    g = spark.read.parquet(f"{d}/conversations.parquet").select("role", rules.guard_output(F.col("text"), 200, ("example.com",)).alias("g"))
+    return g.groupBy("role").agg(F.count_if("g.too_long").alias("too_long"), F.count_if("g.uncited").alias("uncited"), F.count_if("g.rewritten").alias("rewritten"), F.count_if("g.blocked").alias("blocked"))
+
+
+QUERIES = {f.__name__: f for f in (parameter_hits, guard_counts, page_links, page_text, sentence_counts, dedup_keys, term_overlap, upsert_latest, number_claims, unsourced_numbers, answer_guard)}
+
+_N = r"n as (select doc_id, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\.[0-9]+)?'), lambda x: case when ltrim(x, '0') = '' then '0' else ltrim(x, '0') end)) n from documents)"
 ORACLES = {
+    "number_claims": f"with {_N} select doc_id, len(n) numbers from n where len(n) > 0",
+    "unsourced_numbers": f"with {_N}, u as (select a.doc_id, unnest(list_filter(a.n, lambda x: not list_contains(b.n, x))) x from n a join n b on b.doc_id = a.doc_id + 1) select doc_id, string_agg(x, ',' order by floor(x::double), x) numbers from u group by 1",
+    "answer_guard": r"select role, count(*) filter (length(regexp_replace(text, 'https?://[^\s/]+', '', 'g')) > 200) too_long, count(*) filter (regexp_matches(regexp_replace(text, 'https?://[^\s/]+', '', 'g'), '[0-9]') and not regexp_matches(text, '\[#[0-9]+\]')) uncited, count(*) filter (regexp_matches(text, 'https?://[^\s/]')) rewritten, count(*) filter (coalesce(text, '') = '') blocked from conversations group by 1",
     "parameter_hits": r"""with s as (select doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[0-9]+ (?:days|hours|weeks)')) p from documents),
         a as (select doc_id, len(regexp_extract_all(p, '[$€£][0-9]+(?:\.[0-9]{1,2})?')) n1, regexp_replace(p, '[$€£][0-9]+(?:\.[0-9]{1,2})?', '<AMOUNT>', 'g') p from s),
         b as (select doc_id, n1, len(regexp_extract_all(p, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}')) n2, regexp_replace(p, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}', '<DATE>', 'g') p from a),
