@@ -32,8 +32,8 @@ def merge_duplicates(items: DataFrame, key: Column, bonus: float = 0.03, most_bo
 
 
 def duplicate_ratio(items: DataFrame, key: Column) -> DataFrame:
-    """1 - keys / items."""
-    return items.agg((1 - F.countDistinct(key) / F.count("*")).alias("duplicate_ratio"))
+    """1 - keys / items; 0 of none."""
+    return items.agg((1 - F.coalesce(F.try_divide(F.countDistinct(key), F.count("*")), F.lit(1.0))).alias("duplicate_ratio"))
 
 
 def publishable(items: DataFrame, as_of: Column) -> DataFrame:

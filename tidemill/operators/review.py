@@ -27,13 +27,18 @@ def apply_annotations(items: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def windows(lines: DataFrame, group: str, order: str, size: int = 60, overlap: int = 8) -> DataFrame:
-    """(group, window, first, last): runs of `size` lines, each beginning `overlap` lines before the last one's end."""
-    n = lines.groupBy(group).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(order)).alias("o"))
+    """(group, window, first, last): runs of `size` lines, each beginning `overlap` lines before the last one's end.
+
+    Lines without an order are left out; a null group is a group.
+    """
     step = size - overlap
-    last = F.greatest(F.ceil((F.col("n") - overlap) / step).cast("int") - 1, F.lit(0))
-    w = n.select(group, "n", "o", F.explode(F.sequence(F.lit(0), last)).alias("window"))
-    end = F.least(F.col("window") * step + size, F.col("n")).cast("int")
-    return w.select(group, "window", F.element_at("o", F.col("window") * step + 1).alias("first"), F.element_at("o", end).alias("last"))
+    own = W.partitionBy(group)
+    n = lines.where(F.col(order).isNotNull()).select(group, order, F.row_number().over(own.orderBy(order)).alias("_r"), F.count("*").over(own).alias("_n"))
+    last = F.greatest(F.ceil((F.col("_n") - overlap) / step).cast("int") - 1, F.lit(0))
+    begins = n.where(((F.col("_r") - 1) % step == 0) & ((F.col("_r") - 1) / step <= last))
+    begins = begins.select(F.col(group), F.floor((F.col("_r") - 1) / step).cast("int").alias("window"), F.col(order).alias("first"), F.least(F.col("_r") - 1 + size, F.col("_n")).alias("_end"))
+    ends = n.select(F.col(group).alias("_g"), F.col("_r").alias("_end_r"), F.col(order).alias("last"))
+    return begins.join(ends, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_end") == F.col("_end_r"))).select(group, "window", "first", "last")
 
 
 def drop_overlaps(segments: DataFrame, group: str) -> DataFrame:
@@ -72,14 +77,17 @@ def align(segments: DataFrame, names: DataFrame, text: str) -> DataFrame:
 
 
 def calibration(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Agreement of two ratings: Spearman's rho with average ranks, mean error, and errors of two or more."""
+    """Agreement of two ratings: Spearman's rho with average ranks, mean error, and errors of two or more.
+
+    Rows without both ratings are left out; rho is null where a rating never varies.
+    """
     ranked = rows
     for c in (a, b):
         counts = rows.groupBy(c).agg(F.count("*").alias("_n"))
         below = F.sum("_n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1))  # ratings are a few values
         ranked = ranked.join(small_enough(counts.select(c, (F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2).alias(f"_{c}"))), c)
     gap = F.abs(F.col(a) - F.col(b))
-    return ranked.agg(F.round(F.corr(f"_{a}", f"_{b}"), 6).alias("rho"), F.round(F.avg(gap), 6).alias("mean_error"), F.round(F.avg((gap >= 2).cast("double")), 6).alias("far"))
+    return ranked.agg(F.round(F.try_divide(F.covar_pop(f"_{a}", f"_{b}"), F.stddev_pop(f"_{a}") * F.stddev_pop(f"_{b}")), 6).alias("rho"), F.round(F.avg(gap), 6).alias("mean_error"), F.round(F.avg((gap >= 2).cast("double")), 6).alias("far"))
 
 
 def unique_ratio(text: Column, n: int = 3) -> Column:

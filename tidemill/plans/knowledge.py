@@ -58,9 +58,9 @@ def _measures(spark, d):
     pii = F.col("content").rlike(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+")
     m = i.agg(
         F.count("*").alias("n"), F.avg(F.col("review_status").isin("approved", "revised").cast("double")).alias("approved_ratio"), F.avg("quality_score").alias("avg_quality"),
-        F.avg((F.col("source") == "src0").cast("double")).alias("synthetic_ratio"), (1 - F.countDistinct("dedup_key") / F.count("*")).alias("duplicate_ratio"), F.count_if(pii).alias("pii_items"),
+        F.avg((F.col("source") == "src0").cast("double")).alias("synthetic_ratio"), (1 - F.coalesce(F.try_divide(F.countDistinct("dedup_key"), F.count("*")), F.lit(1.0))).alias("duplicate_ratio"), F.count_if(pii).alias("pii_items"),
     )
-    return m.crossJoin(F.broadcast(top)).withColumn("top_source_ratio", F.col("top") / F.col("n"))  # one row by one row
+    return m.crossJoin(F.broadcast(top)).withColumn("top_source_ratio", F.try_divide("top", "n"))  # one row by one row
 
 
 def publish_gates(spark, d):
