@@ -82,3 +82,22 @@ def test_streams_agree_with_batch(spark, tmp_path):
         runs += [(r.user, r.ts, run)] if run == 1 else []
     got = events.collect_available(events.negative_streaks(events.deduplicated(s().where("user = 1"), "id", "ts"), "user", "ts", "kind", "bad", 1), "streak", str(tmp_path / "c3"))
     assert sorted(map(tuple, got.collect())) == sorted(runs)
+
+
+def test_tsv_runs_go_on_over_splits(spark, tmp_path):
+    lines = [f"s{i // 7 % 3}\t{i}\t{i % 2}\ttext {i}\t2024-01-01 10:00:00" for i in range(200)]
+    (tmp_path / "long.tsv").write_text("\n".join(lines) + "\n")
+
+    def read():
+        return sorted((r.run, r.session_no, tuple(t["content"] for t in r.turns)) for r in dialogues.read_tsv(spark, str(tmp_path / "long.tsv")).collect())
+
+    whole = read()
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        assert read() == whole
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(whole) == 29 and [r[0] for r in whole] == list(range(1, 30)) and whole[1][2] == tuple(f"text {i}" for i in range(7, 14))
