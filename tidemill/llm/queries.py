@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import find_leaks
+from .filter_audit import filter_audit
 from .kneser_ney import kneser_ney
 from .language_id import language_id
 from .ngram_join import ngram_join
@@ -78,6 +79,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, by language."""
+    return filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
     """name -> function of (spark, sf_dir)."""
     return {name: f for name, f in globals().items() if name[:2] == "op" and callable(f)}
@@ -99,6 +105,16 @@ ORACLES = {
         e as (select a, b from i join n x on a = x.doc_id join n y on b = y.doc_id where 175 * i >= 75 * (x.n + y.n)),
         r as (select doc_id d, doc_id c from documents union select e.b, r.c from r join e on e.a = r.d)
         select doc_id, coalesce(n, 0) n_shingles, c component_id from documents left join n using (doc_id) join (select d, min(c) c from r group by d) on d = doc_id""",
+    "op12_filter_audit": f"""with {_WORDS.format(text="coalesce(text, '')")},
+        t as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents),
+        d as (select doc_id, part, len(w) n, len(list_distinct(w)) u, len(t) - len(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) c, len(t) l, regexp_matches(t, '[#$%&*|]') s, doc_id > min(doc_id) over (partition by t) e from t join w using (doc_id)),
+        f as (select doc_id, part, (case when n < 100 then 'A' else '' end) || (case when 100 * u < 80 * n then 'B' else '' end) || (case when 100 * c > 10 * l then 'C' else '' end) || (case when s then 'D' else '' end) || (case when e then 'E' else '' end) f from d),
+        m as (select part, f, count(*) n, count(*) filter (where quality = 1) good, count(*) filter (where toxic = 1) toxic from f left join labels using (doc_id) group by all),
+        l as (select unnest(['A', 'B', 'C', 'D', 'E']) x),
+        o as (select a.x || b.x || c.x || d.x || e.x o from l a, l b, l c, l d, l e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        r as (select part, o, m.n, good, toxic, f, case when f = '' then 6 else list_min([strpos(o, x) for x in string_split(f, '')]) end k from m, o),
+        s as (select part, o, s, substr(o, s, 1) x, sum(n) filter (where k > s) kept, sum(n) filter (where k = s) removed, sum(n) filter (where k < s and contains(f, substr(o, s, 1))) redundant, sum(n) filter (where f = substr(o, s, 1)) uniq, sum(good) filter (where k = s) good, sum(toxic) filter (where k = s) toxic from r, range(1, 6) t(s) group by all)
+        select part, o filter_order, s::int step, coalesce(kept, 0)::bigint kept, coalesce(removed, 0)::bigint removed, coalesce(redundant, 0)::bigint redundant, coalesce(uniq, 0)::bigint unique_fails, coalesce(good, 0)::bigint good_lost, coalesce(toxic, 0)::bigint toxic_lost, coalesce(sum(removed) over (partition by part, x), 0)::bigint shapley from s""",
 }
 
 
