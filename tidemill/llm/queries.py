@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import find_leaks
 from .filter_audit import filter_audit
+from .kmeans_tree import neighbours
 from .kneser_ney import kneser_ney
 from .language_id import language_id
 from .ngram_join import ngram_join
@@ -84,6 +85,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each hundredth vector, by a tree of k-means."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict:
     """name -> function of (spark, sf_dir)."""
     return {name: f for name, f in globals().items() if name[:2] == "op" and callable(f)}
