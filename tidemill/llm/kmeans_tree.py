@@ -90,14 +90,14 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     return centres
 
 
-def grow(x: np.ndarray, branch: int = 16, leaf: int = 64, seed: int = 0) -> Tree:
-    """A tree over the different rows of x; nodes of at most `leaf` rows are leaves."""
+def grow(x: np.ndarray, branch: int = 16, depth: int = 2, leaf: int = 32, seed: int = 0) -> Tree:
+    """A tree over the different rows of x; nodes of at most `leaf` rows, or at `depth`, are leaves."""
     rng = np.random.default_rng(seed)
     x = np.unique(x, axis=0) if len(x) else np.zeros((1, x.shape[1]))
-    centres, first, children, todo = [x.mean(0)], [0], [0], [(0, x)]
+    centres, first, children, todo = [x.mean(0)], [0], [0], [(0, 0, x)]
     while todo:
-        node, rows = todo.pop()
-        if len(rows) <= leaf:
+        node, level, rows = todo.pop()
+        if len(rows) <= leaf or level == depth:
             continue
         c = kmeans(rows, branch, rng)
         at = nearest(rows, c)
@@ -105,7 +105,7 @@ def grow(x: np.ndarray, branch: int = 16, leaf: int = 64, seed: int = 0) -> Tree
             continue
         first[node], children[node] = len(centres), len(c)
         for i, centre in enumerate(c):
-            todo.append((len(centres), rows[at == i]))
+            todo.append((len(centres), level + 1, rows[at == i]))
             centres.append(centre)
             first.append(0)
             children.append(0)
@@ -236,7 +236,7 @@ def _meet(dim: int, k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, branch: int = 16, leaf: int = 64, sample: int = 32768, sample_mb: int = 128, calibrators: int = 256, target: float = 0.98, rows: int = 16384, asked: int = 4096) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, branch: int = 16, depth: int = 2, leaf: int = 32, sample: int = 16384, sample_mb: int = 128, calibrators: int = 256, target: float = 0.97, rows: int = 16384, asked: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of `vectors` by Euclidean distance, the row of its own id aside.
 
     Both tables have vec_id and embedding.  Vectors that are null, empty, zero,
@@ -249,7 +249,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, branch: int
     -0.0 is 0.0.  Other columns are ignored.
 
     The tree is grown on at most about `sample` vectors (and `sample_mb` MB),
-    by hash of vec_id; every vector is in the index.
+    by hash of vec_id; every vector is in the index.  It has at most
+    branch^depth leaves: the rows that ask are queries times leaves visited, so
+    leaves in proportion to the vectors would make them grow with the square.
     """
     spark = vectors.sparkSession
     real = "float" if "array<float>" in dict(vectors.dtypes)["embedding"] else "double"
@@ -267,7 +269,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, branch: int
     share = min(1 << 30, -(-(most << 30) // total))
     taken = every.where(F.pmod(F.xxhash64("vec_id", F.lit(29)), F.lit(1 << 30)) < share).limit(2 * most).select("embedding").toArrow()
     x = _matrix(taken.column(0), dim)
-    grown = grow(x, branch, leaf)
+    grown = grow(x, branch, depth, leaf)
     tree = spark.sparkContext.broadcast(grown)
 
     element = f"array<{real}>"
@@ -295,7 +297,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, branch: int
     at = spark.sparkContext.broadcast((chunks, parts))
     held = index.mapInArrow(_deal(at), f"embedding {element}, ids array<long>, leaf int, chunk int, part int")
     found = held.groupBy("leaf", "chunk", "part").cogroup(ask(parts, chunks).groupBy("leaf", "chunk", "part")).applyInArrow(_meet(dim, k), "h long, rep long, vec_id long, score double")
-    best = found.groupBy("h", "rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k + 1).alias("near"))
+    near = Window.partitionBy("h", "rep").orderBy("score", "vec_id")
+    found = found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)  # cut in the tasks first
+    best = found.groupBy("h", "rep").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
 
     # back from a class of equal queries to each of them, without its own row
     who = wanted.select("vec_id", "h", "embedding").distinct().join(heads, ["h", "embedding"]).select(F.col("vec_id").alias("query_id"), "h", "rep")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import collocations
 from .decontaminate import find_leaks
 from .filter_audit import filter_audit
 from .kmeans_tree import neighbours
@@ -80,6 +81,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language, by counts of 100 and more."""
+    return collocations(_documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove in each of their 120 orders, by language."""
     return filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -112,6 +118,18 @@ ORACLES = {
         e as (select a, b from i join n x on a = x.doc_id join n y on b = y.doc_id where 175 * i >= 75 * (x.n + y.n)),
         r as (select doc_id d, doc_id c from documents union select e.b, r.c from r join e on e.a = r.d)
         select doc_id, coalesce(n, 0) n_shingles, c component_id from documents left join n using (doc_id) join (select d, min(c) c from r group by d) on d = doc_id""",
+    "op11_collocations": r"""with
+        p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
+        w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from p),
+        n as (select lang, sum(len(w)) n from w group by lang),
+        g as (select lang, w[s:s + k - 1] g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) s from w, range(1, 6) t(k) where len(w) >= k)),
+        f as (select lang, g, count(*) f from g group by all having count(*) >= 100),
+        c as (select * from f where len(g) > 1),
+        inside as (select lang, g[i:i + k - 1] g, max(f) f from (select lang, g, f, k, unnest(range(1, len(g) - k + 2)) i from c, range(2, 5) t(k) where len(g) > k) group by all),
+        x as (select c.lang, c.g, c.f a, k from c left join inside i on i.lang = c.lang and i.g = c.g, range(1, 5) t(k) where k < len(c.g) and coalesce(i.f, 0) < c.f),
+        s as (select x.lang, array_to_string(x.g, ' ') phrase, a, k, l.f l, r.f r, n::hugeint n, (1000::hugeint * a * n::hugeint) // (l.f::hugeint * r.f::hugeint) score from x join n on n.lang = x.lang join f l on l.lang = x.lang and l.g = x.g[:k] join f r on r.lang = x.lang and r.g = x.g[k + 1:]),
+        b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+        select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) "rank", phrase, a, l, r, n::bigint n, score::bigint score from b qualify "rank" <= 2000""",
     "op12_filter_audit": f"""with {_WORDS.format(text="coalesce(text, '')")},
         t as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents),
         d as (select doc_id, part, len(w) n, len(list_distinct(w)) u, len(t) - len(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) c, len(t) l, regexp_matches(t, '[#$%&*|]') s, doc_id > min(doc_id) over (partition by t) e from t join w using (doc_id)),
