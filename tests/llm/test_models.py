@@ -243,3 +243,51 @@ def test_toxicity(spark, corpus, nothing):
 def test_discounts_stay_below_counts(c):
     d = kn.discounts(c)
     assert d[0] == 0 and all(0 < d[i] <= i for i in (1, 2, 3))
+
+
+def test_windows_cover_whole_texts():
+    rng = np.random.default_rng(3)
+    texts = [" ".join("x" * rng.integers(1, 9) for _ in range(n)) for n in (0, 1, 7, 8, 9, 12, 13, 40)] + [None, "  \n", "y" * 5000 + " z " + "w" * 2048, "a\tb\nc " * 9]
+    w = toxicity.Words(pa.array(texts), lower=True)
+    row, begin, end = toxicity.windows(w)
+    for i, t in enumerate(texts):
+        words = (t or "").encode().split()
+        mine = [(int(a) - int(w.offs[i]), int(z) - int(w.offs[i])) for r, a, z in zip(row, begin, end) if r == i]
+        if not any(len(x) >= toxicity.PIECE for x in words):
+            starts = range(0, max(1, len(words) - toxicity.SPAN + toxicity.STEP), toxicity.STEP) if words else []
+            assert [(t or "").encode()[a:z].split() for a, z in mine] == [words[s : s + toxicity.SPAN] for s in starts]
+        covered = np.zeros(len((t or "").encode()) + 1, bool)
+        for a, z in mine:
+            assert z - a <= toxicity.PIECE
+            covered[a:z] = True
+        assert all(covered[j] for j, c in enumerate((t or "").encode()) if not chr(c).isspace())
+
+
+def auc(scores, labels):
+    pairs = [(a, b) for a, x in zip(scores, labels) if x for b, y in zip(scores, labels) if not y]
+    return sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs)
+
+
+def test_toxic_phrases_of_ordinary_words(spark):
+    """Toxic is a phrase, not a word: ordinary texts hold the same words apart, and many copies teach nothing."""
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    phrase, rows, labels = rng.sample(words, 4), [], []
+    for i in range(1500):
+        t, toxic = [rng.choice(words) for _ in range(80)], int(i % 2 == 0)
+        for at in (rng.randrange(0, 36), rng.randrange(40, 76)):
+            if toxic:
+                t[at : at + 4] = phrase
+            else:
+                for w in phrase:
+                    t[rng.randrange(80)] = w
+        rows.append((i, " ".join(t)))
+        labels.append((i, 1, toxic))
+    copy = " ".join(rng.choice(words) for _ in range(80))
+    rows += [(2000 + i, copy) for i in range(200)]
+    labels += [(2000 + i, 1, 1) for i in range(200)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, lab).where("held_out and doc_id < 2000").collect()
+    assert auc([r.score for r in got], [r.doc_id % 2 == 0 for r in got]) > 0.9

@@ -1,125 +1,88 @@
-"""Toxicity by compression distance: two zstandard dictionaries, compared window by window.
-
-The toxic dictionary's content is chosen from toxic text: word beginnings and words whose
-share of toxic documents is well above that of ordinary ones, the most frequent
-last (a learned word list, which dictionaries trained on whole text did not
-match, see the README); the ordinary dictionary holds the frequent words of ordinary text, and
-both are of one length and end in the same lead-in.  A window is a word between
-lead-ins (the codec starts no match in a block's last bytes), so that its two
-compressed lengths differ by what the toxic dictionary saves on it.  A document's
-savings, as parts of the word, are summed up as counts above thresholds and the largest
-one; a logistic calibration on other labelled rows than the dictionaries' turns
-them into a score.
+"""Toxicity by compression distance: two zstandard dictionaries trained on labelled text, compared window by window.
+
+Both dictionaries begin with the same excerpts of ordinary text.  The toxic
+one goes on with excerpts of toxic text: runs of one to `longest` words that
+toxic documents hold in many different surroundings and ordinary ones hardly
+ever, the most frequent last; the ordinary one with as many bytes of ordinary
+text.  So they differ only by what is toxic, and a window of ordinary words
+compresses alike under both.  Surroundings are counted, not documents, as
+copies of one document repeat all of its words in the same places.
+
+A window is `span` words, each beginning `step` words after the last, over the
+whole text; by how many bytes the toxic dictionary makes it shorter is its
+saving.  A document has the largest saving and the numbers of windows that save
+at least 2, 3, ... 6 bytes; a logistic calibration on labelled rows that no
+dictionary was trained on makes them a score.
 
 Labels are read from a sample of at most `sample_toxic` and `sample_ordinary`
-training rows, by hash of doc_id, one text for each doc_id and at most
-`sample_words` distinct words of it, by hash; all texts are scored whole.
+training rows, by hash of doc_id, one text for each doc_id, whole; runs are
+counted by Spark, so the driver gets the dictionaries' excerpts only.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, small
-
-LEAD = b" the of and to in is that it for as with his "
-STEPS = (0.25, 0.4, 0.5)
-LONGEST = 12
-MOST_KEPT = 200_000
-LONGEST_KEPT = 64
-
-
-def beginnings(docs: list[set[bytes]], least: int) -> dict[bytes, int]:
-    """Documents of each word beginning (a space, then 3 bytes or more) in `least` or more; whole words end in a space."""
-    found: dict[bytes, int] = {}
-    alive: set[bytes] | None = None
-    for k in range(4, LONGEST + 1):
-        count: Counter = Counter()
-        for words in docs:
-            count.update({w[:k] for w in words if len(w) > k and (alive is None or w[: k - 1] in alive)})
-        alive = {w for w, c in count.items() if c >= least}
-        found |= {w: count[w] for w in alive}
-        if not alive:
-            break
-    count = Counter(w for words in docs for w in words if w[:4] in found or len(w) <= 5)
-    return found | {w: c for w, c in count.items() if c >= least}
-
-
-def train_dictionaries(toxic: list[set[bytes]], ordinary: list[set[bytes]], least: int = 4, odds: float = 3.0, size: int = 16384) -> tuple[bytes, bytes]:
-    """Contents of the toxic and of the ordinary dictionary; words are given as b" word "."""
-    found = beginnings(toxic, least)
-    by_size = sorted({len(w) for w in found})
-    other: Counter = Counter()
-    common: Counter = Counter()
-    for words in ordinary:
-        common.update(words)
-        other.update({w[:k] for w in words for k in by_size if k <= len(w) and w[:k] in found})
-    nt, no = len(toxic) + 1, len(ordinary) + 1
-    marked = {w: c for w, c in found.items() if np.log((c + 0.5) / nt) - np.log((other[w] + 0.5) / no) > odds}
-    # a beginning that a longer one nearly always follows adds nothing
-    dropped = {w[:k] for w, c in marked.items() for k in range(4, len(w)) if w[:k] in marked and c >= 0.8 * marked[w[:k]]}
-    ranked = sorted((w for w in marked if w not in dropped), key=lambda w: (marked[w], w))
-    base = b"".join(w for w, _ in sorted(common.most_common(3000), key=lambda x: (x[1], x[0])))
-    own = b"".join(ranked)[-size // 2 :]
-    cut = base[: len(base) * 2 // 3][-len(own) :] if own else b""
-    base = base[len(base) * 2 // 3 :][-size // 2 :]
-    return base + own + LEAD, base + cut.rjust(len(own)) + LEAD
+from .text import Words, grams, mix, saved, small
+
+SPAN, STEP, LONGEST = 8, 4, 4
+STEPS = (2, 3, 4, 5, 6)
+#: Bytes of what both dictionaries share, of the excerpts of each, and the longest piece of a window.
+SHARED, OWN, PIECE = 8192, 16384, 2048
+
+
+def windows(w: Words, span: int = SPAN, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) in bytes of each row's windows; windows over PIECE bytes are cut up."""
+    n = w.counts()
+    k = np.where(n > 0, np.maximum(0, -(-(n - span) // step)) + 1, 0)
+    row = np.repeat(np.arange(len(n)), k)
+    at = w.first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)) * step
+    begin, end = w.starts[at], w.ends[np.minimum(at + span, w.first[row + 1]) - 1]
+    pieces = np.maximum(1, -(-(end - begin) // PIECE))
+    if (pieces > 1).any():
+        which = np.repeat(np.arange(len(row)), pieces)
+        off = (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        row, begin, end = row[which], begin[which] + off, np.minimum(begin[which] + off + PIECE, end[which])
+    return row, begin, end
 
 
 class Savings:
-    """The part of a word's bytes that the toxic dictionary saves, kept for words seen before."""
+    """Compressors with the toxic and the ordinary dictionary."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        params = zstandard.ZstdCompressionParameters.from_level(19, write_content_size=False, write_dict_id=False, write_checksum=False, min_match=4, strategy=zstandard.STRATEGY_LAZY2, window_log=15, hash_log=14, chain_log=14, search_log=5, target_length=32)
+        params = zstandard.ZstdCompressionParameters.from_level(12, write_content_size=False, write_dict_id=False, write_checksum=False, min_match=4, window_log=16, hash_log=13, chain_log=13)
         self.codecs = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params) for d in (toxic, ordinary)]
-        self.known: dict[bytes, float] = {}
-
-    def of(self, word: bytes) -> float:
-        d = self.known.get(word)
-        if d is None:
-            if len(self.known) >= MOST_KEPT:
-                self.known.clear()
-            window = LEAD + word[:256] + LEAD
-            own, other = (len(c.compress(window)) for c in self.codecs)
-            d = other - own
-            # a longer word than a window goes on in windows of its own
-            for a in range(256, len(word), 256):
-                window = LEAD + word[a : a + 256] + LEAD
-                d = max(d, len(self.codecs[1].compress(window)) - len(self.codecs[0].compress(window)))
-            d /= min(len(word), 256)
-            if len(word) <= LONGEST_KEPT:
-                self.known[word] = d
-        return d
+
+    def of(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each data[begin:end]."""
+        if not len(begin):
+            return np.zeros(0, np.int64)
+        held = zstandard.BufferWithSegments(data, np.c_[begin, end - begin].astype(np.uint64).tobytes())
+        own, other = (c.multi_compress_to_buffer(held, threads=1) for c in self.codecs)
+        return np.fromiter((len(other[i]) - len(own[i]) for i in range(len(begin))), np.int64, len(begin))
 
 
 _savings: dict[tuple, Savings] = {}
 
 
 def features(col: pa.Array, dictionaries: tuple[bytes, bytes]) -> np.ndarray:
-    """Of each text: counts of words above the thresholds, the largest saving, and words."""
+    """Of each text: the largest saving, how many windows save so much, and how many there are."""
     if dictionaries not in _savings:
         _savings.clear()
         _savings[dictionaries] = Savings(*dictionaries)
-    s = _savings[dictionaries]
     w = Words(col, lower=True)
-    _, at, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-    data = w.buf.tobytes()
-    d = np.array([s.of(data[a:b]) for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist())], np.float64)[inverse] if len(at) else np.zeros(0)
-    n = w.counts()
-    out = np.zeros((len(n), len(STEPS) + 2))
-    has = n > 0
-    if has.any():
-        for i, step in enumerate(STEPS):
-            out[has, i] = np.log1p(np.add.reduceat((d >= step).astype(np.int64), w.first[:-1][has]))
-        out[has, -2] = np.maximum.reduceat(d, w.first[:-1][has])
-    out[:, -1] = np.log1p(n)
+    row, begin, end = windows(w)
+    d = _savings[dictionaries].of(w.buf.tobytes(), begin, end)
+    n = len(w.first) - 1
+    out = np.zeros((n, len(STEPS) + 2))
+    np.maximum.at(out[:, 0], row, d)
+    for i, least in enumerate(STEPS, 1):
+        out[:, i] = np.log1p(np.bincount(row[d >= least], minlength=n))
+    out[:, -1] = np.log1p(np.bincount(row, minlength=n))
     return out
 
 
@@ -138,20 +101,100 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return b
 
 
-def _vocabulary(most: int):
-    """(doc_id, text, toxic, half) -> the texts' distinct words, at most `most` of each, cut to 256 bytes."""
+def _runs(longest: int):
+    """(doc_id, text, toxic) -> (run, place, toxic): hashes of runs of words, and of them with the words around."""
 
     def run(batches):
         for b in small(batches):
-            rows = [sorted(sorted({w[:256] for w in t.split()}, key=lambda w: (zlib.crc32(w), w))[:most]) for t in (x.encode().lower() for x in b.column(1).fill_null("").to_pylist())]
-            yield from one(b, rows)
+            w = Words(b.column(1), lower=True)
+            h = w.hashes()
+            row = np.repeat(np.arange(len(b)), w.counts())
+            toxic = b.column(2).to_numpy()[row]
+            before = np.r_[np.uint64(1), h[:-1]] if len(h) else h
+            before[w.first[:-1][w.counts() > 0]] = 1
+            for n in range(1, longest + 1):
+                last = np.arange(n - 1, len(h))
+                ok = row[: max(0, len(h) - n + 1)] == row[last]
+                at = np.flatnonzero(ok)
+                g = grams(h, n)[at]
+                after = np.append(h, np.uint64(2))[at + n].copy()
+                after[at + n == w.first[row[at] + 1]] = 2
+                place = mix(g ^ mix(before[at] ^ mix(after)))
+                _, one = np.unique(place, return_index=True)
+                yield pa.record_batch([pa.array(g[one].view(np.int64)), pa.array(place[one].view(np.int64)), pa.array(toxic[at][one])], names=["run", "place", "toxic"])
+
+    return run
 
-    def one(b, rows):
-        yield pa.record_batch([b.column(2), pa.array([b" ".join(r) for r in rows], pa.binary())], names=["toxic", "words"])
+
+def _texts(wanted, longest: int):
+    """(doc_id, text) -> (run, text): each wanted run that occurs, once a slice."""
+
+    def run(batches):
+        for b in small(batches):
+            w = Words(b.column(1), lower=True)
+            h, row, data = w.hashes(), np.repeat(np.arange(len(b)), w.counts()), w.buf.tobytes()
+            for n in range(1, longest + 1):
+                at = np.flatnonzero(row[: max(0, len(h) - n + 1)] == row[n - 1 :])
+                g = grams(h, n)[at]
+                at, g = at[np.isin(g, wanted)], g[np.isin(g, wanted)]
+                g, one = np.unique(g, return_index=True)
+                words = [[data[w.starts[i + j] : w.ends[i + j]] for j in range(n)] for i in at[one].tolist()]
+                yield pa.record_batch([pa.array(g.view(np.int64)), pa.array([b" ".join(x) for x in words], pa.binary())], names=["run", "text"])
+
+    return run
+
+
+def _ordinary(each: int):
+    """(doc_id, text) -> (key, text): of each text the `each` windows of least hash, those over PIECE bytes aside."""
+
+    def run(batches):
+        for b in small(batches):
+            w = Words(b.column(1), lower=True)
+            row, begin, end = windows(w, SPAN, SPAN)
+            keep = end - begin < PIECE
+            row, begin, end = row[keep], begin[keep], end[keep]
+            h = w.hashes()
+            key = mix(h[np.searchsorted(w.starts, begin, side="right") - 1] ^ mix((end - begin).astype(np.uint64)))
+            order = np.lexsort((key, row))
+            rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+            order = order[rank < each]
+            data = w.buf.tobytes()
+            yield pa.record_batch([pa.array(key[order].view(np.int64)), pa.array([data[x:z] for x, z in zip(begin[order].tolist(), end[order].tolist())], pa.binary())], names=["key", "text"])
 
     return run
 
 
+def train_dictionaries(rows: DataFrame, share: float = 0.02, least: int = 4, odds: float = 3.0, longest: int = LONGEST) -> tuple[bytes, bytes]:
+    """(doc_id, text, toxic) -> contents of the toxic and of the ordinary dictionary; empty if nothing is toxic in particular.
+
+    A run is taken if it stands in at least `least` different places of toxic
+    texts, and in `share` as many as there are such texts, and if the odds of a
+    place are e^odds times those in ordinary texts.
+    """
+    texts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    places = rows.mapInArrow(_runs(longest), "run long, place long, toxic int").distinct()
+    counts = places.groupBy("run").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    found = counts.where(F.col("t") >= max(least, share * texts.get(1, 0)))
+    lift = F.log((F.col("t") + 0.5) / (texts.get(1, 0) + 1)) - F.log((F.col("o") + 0.5) / (texts.get(0, 0) + 1))
+    # no more runs than a dictionary has bytes for
+    marked = {r["run"]: r["t"] for r in found.where(lift > odds).orderBy(F.desc("t"), "run").limit(OWN // 4).collect()}
+    if not marked:
+        return b"", b""
+    wanted = np.sort(np.array(list(marked), np.int64).view(np.uint64))
+    said = rows.where("toxic = 1").mapInArrow(_texts(wanted, longest), "run long, text binary").groupBy("run").agg(F.min("text").alias("text")).collect()
+    ranked = sorted(((marked[r["run"]], bytes(r["text"])) for r in said), reverse=True)
+    taken, size = [], 0
+    for _, text in ranked:
+        if size + len(text) + 1 <= OWN:
+            taken.append(text)
+            size += len(text) + 1
+    own = b" ".join(reversed(taken)) + b" "
+    plain = rows.where("toxic = 0").mapInArrow(_ordinary(2), "key long, text binary").distinct().orderBy("key", "text").limit(8 * (SHARED + OWN) // SPAN).collect()
+    other = b" ".join(bytes(r["text"]) for r in plain)
+    base = other[len(own) : len(own) + SHARED]
+    return base + b" " + own, base + b" " + other[: len(own) - 1].rjust(len(own) - 1) + b" "
+
+
 def _features(dictionaries):
     def run(batches):
         for b in small(batches):
@@ -171,14 +214,15 @@ def _score(dictionaries, weights):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_ordinary: int = 5000, sample_words: int = 4000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_ordinary: int = 5000) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each input row.
 
     Learns from labelled rows that aren't held out; a doc_id labelled twice is
     toxic if any of its labels is.  Of a doc_id's texts one is learned from.  Null labels and
     doc_ids teach nothing.  Null,
     empty and blank texts are scored as texts without words.  Without a toxic
-    or an ordinary row to learn from, every score is the share of toxic rows.
+    or an ordinary row to learn from, or without runs of words that tell them
+    apart, every score is the share of toxic rows.
     Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -192,13 +236,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sampl
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0
     # one text for each doc_id, so that a doc_id's repeats do not pass the bound
     rows = d.where("doc_id is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic", half.alias("half"))
-    words = rows.where("half").mapInArrow(_vocabulary(sample_words), "toxic int, words binary").collect()
-    sets = {t: [{b" " + w + b" " for w in r["words"].split()} for r in words if r["toxic"] == t] for t in (0, 1)}
+    rows = saved(rows, "labelled")
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     weights = np.r_[np.zeros(len(STEPS) + 2), np.log(max(share, 1e-6) / max(1 - share, 1e-6))]
-    both = (b"", LEAD)
-    if sets[0] and sets[1]:
-        both = train_dictionaries(sets[1], sets[0])
+    both = train_dictionaries(rows.where("half")) if {0, 1} <= set(totals) else (b"", b"")
     dictionaries = spark.sparkContext.broadcast(both)
     found = rows.where("not half").mapInArrow(_features(dictionaries), "toxic int, f array<double>").collect() if both[0] else []
     y = np.array([r["toxic"] for r in found])
