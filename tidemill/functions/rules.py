@@ -54,10 +54,15 @@ OFF_LIMITS = r"政治|颠覆|反动|涉黄|赌博|毒品|枪支|炸药"
 # Words an answer may not use, and milder forms of promises.
 ABSOLUTE_WORDS = ["最好", "最佳", "最优", "最强", "最便宜", "最低价", "第一品牌", "全网第一", "顶级", "极致", "唯一", "独家首创", "百分百", "100%满意", "绝对", "永久", "万能", "国家级", "世界级"]
 MEDICAL_WORDS = ["治疗", "根治", "疗效", "药用", "抗癌", "杀菌率"]
+# Complaints.
 NEGATIVE = r"(?:什么破|垃圾|骗人|太差|气死|无语|答非所问|你听不懂|说了多少遍|再说一遍)|(?:没|不)(?:用|行|对)(?:啊|吧|呀)?$|投诉你"
+# Answers that defer.
 DEFERRALS = ["不太确定", "不确定", "无法确认", "没法确认", "不清楚", "建议您咨询", "建议你咨询", "建议您联系", "建议你联系", "咨询人工", "联系人工", "转接人工", "转人工", "帮不了", "无法回答", "回答不了", "我不知道"]
-HOSTS = ["smartmall.local", "taobao.com", "tmall.com"]
+# Hosts whose links may stay; a shop adds its own.
+HOSTS = ["taobao.com", "tmall.com"]
+# Promises and their milder forms.
 PROMISE_REWRITES = [("保证", "通常"), ("一定能", "一般能"), ("肯定能", "一般能"), ("必然", "通常"), ("绝不会", "一般不会")]
+# Words of doubt.
 UNCERTAIN_WORDS = ["可能", "大概", "应该是", "估计", "不太清楚", "我确认一下"]
 
 
@@ -123,10 +128,16 @@ def found_words(text: Column, words: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
 def guard_input(text: Column, longest: int = 1000) -> Column:
-    """The first rule that stops a question, or null."""
+    """The first rule that stops a question, or null; white space around it is no part of it, a null one is empty."""
+    text = stripped(F.coalesce(text, F.lit("")))
     return (
-        F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, "empty")
+        F.when(F.length(text) == 0, "empty")
         .when(F.length(text) > longest, "too_long")
         .when(text.rlike(SELF_HARM), "self_harm")
         .when(text.rlike(HANDOVER_REQUEST), "handover")
@@ -137,7 +148,7 @@ def guard_input(text: Column, longest: int = 1000) -> Column:
 
 def is_negative(text: Column, pattern: str = NEGATIVE) -> Column:
     """A question that passes the guard and complains; runs of these lead to a handover."""
-    return guard_input(text).isNull() & F.trim(text).rlike(pattern)
+    return guard_input(text).isNull() & stripped(text).rlike(pattern)
 
 
 def guard_output(text: Column, longest: int = 200, allowed_hosts=tuple(HOSTS)) -> Column:

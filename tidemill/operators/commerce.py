@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -46,28 +47,76 @@ ORDER_MOVES = [("pay", ["pending"], "paid"), ("cancel", ["pending"], "cancelled"
 
 
 def fold_states(events: DataFrame, key: str, order: list[str], event: str, moves=None, start: str = "pending") -> DataFrame:
-    """Each key's state after all its events in order; a move from a wrong state is refused and counted."""
+    """Each key's state after all its events in order; a move from a wrong state is refused and counted.
+
+    Events are dealt into ranges by key and order, so that a hot key's log is
+    spread over tasks.  A range folds its part of a key's log into a map, from
+    every state it may be met in to the state it leaves and the moves it
+    refused; a key's maps, one a range, are then composed in order.  Null
+    events are refused; events alike in order come in order of their name.  A
+    null key is a key; no events give no rows.
+    """
     moves = moves or ORDER_MOVES
-    log = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_e")))).alias("log"))
+    states = list(dict.fromkeys([start, *(s for _, frm, to in moves for s in (*frm, to))]))
+    names = list(dict.fromkeys(e for e, _, _ in moves))
+    to = {(e, s): states.index(t) for e, frm, t in reversed(moves) for s in frm}
+    table = F.array(*[F.array(*[F.lit(to.get((e, s), -1)) for s in states]) for e in [*names, None]])
+    which = F.coalesce(*[F.when(F.col(event) == e, F.lit(i)) for i, e in enumerate(names)], F.lit(len(names)))
+    ranged = events.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id())
+    log = ranged.groupBy(key, "_part").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_e"), which.alias("_w")))).alias("_log"))
+    same = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(0).cast("long").alias("refused")) for i in range(len(states))])
 
     def step(acc, x):
-        to = F.coalesce(*[F.when((x["_e"] == e) & acc["state"].isin(frm), F.lit(t)) for e, frm, t in moves])
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["refused"] + to.isNull().cast("long")).alias("refused"))
+        row = table[x["_w"]]
+        return F.transform(acc, lambda a: F.struct(F.when(row[a["s"]] < 0, a["s"]).otherwise(row[a["s"]]).alias("s"), (a["refused"] + (row[a["s"]] < 0).cast("long")).alias("refused")))
 
-    end = F.aggregate("log", F.struct(F.lit(start).alias("state"), F.lit(0).cast("long").alias("refused")), step)
-    return log.withColumn("end", end).select(key, "end.state", "end.refused")
+    maps = log.withColumn("_map", F.aggregate("_log", same, step)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_part", "_map"))).alias("_maps"))
 
+    def then(acc, m):
+        at = m["_map"][acc["s"]]
+        return F.struct(at["s"].alias("s"), (acc["refused"] + at["refused"]).alias("refused"))
 
-def fold_stock(events: DataFrame, sku: str, order: list[str], change: str, start: Column) -> DataFrame:
-    """Stock after taking (negative) and restoring (positive) in order; what would go below 0 is refused."""
-    log = events.groupBy(sku).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(change).cast("long").alias("_d")))).alias("log"))
-    begin = F.struct(start.cast("long").alias("left"), F.lit(0).cast("long").alias("sold"), F.lit(0).cast("long").alias("refused"))
+    end = F.aggregate("_maps", F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("refused")), then)
+    return maps.withColumn("end", end).select(key, F.array(*map(F.lit, states))[F.col("end.s")].alias("state"), F.col("end.refused").alias("refused"))
+
+
+def _stock(batches):
+    """Sorted rows (sku, change, start) -> (sku, left, sold, refused); a SKU may go on in the next batch."""
+    key, state, first = None, [0, 0, 0], True
+    for b in batches:
+        keys, out = [], []
+        for k, d, begin in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if first or k != key:
+                if not first:
+                    keys.append(key)
+                    out.append(state)
+                key, state, first = k, [begin or 0, 0, 0], False
+            if d is None or state[0] + d < 0:
+                state[2] += 1
+            else:
+                state[0] += d
+                state[1] -= min(d, 0)
+        yield _stock_rows(b.schema.field(0).type, keys, out)
+    if not first:
+        yield _stock_rows(b.schema.field(0).type, [key], [state])
 
-    def step(acc, x):
-        ok = acc["left"] + x["_d"] >= 0
-        return F.struct(F.when(ok, acc["left"] + x["_d"]).otherwise(acc["left"]).alias("left"), F.when(ok & (x["_d"] < 0), acc["sold"] - x["_d"]).otherwise(acc["sold"]).alias("sold"), (acc["refused"] + (~ok).cast("long")).alias("refused"))
 
-    return log.withColumn("end", F.aggregate("log", begin, step)).select(sku, "end.left", "end.sold", "end.refused")
+def _stock_rows(kind, keys: list, out: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(keys, kind), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3))], names=["sku", "left", "sold", "refused"])
+
+
+def fold_stock(events: DataFrame, sku: str, order: list[str], change: str, start: Column) -> DataFrame:
+    """Stock after taking (negative) and restoring (positive) in order; what would go below 0 is refused.
+
+    What is refused depends on all that came before, so a SKU's log is read in
+    order by one task; it is streamed, a number a SKU, never gathered.  A null
+    change is refused; changes alike in order come in order of change; a null
+    start is 0, a null SKU is a SKU.
+    """
+    e = events.select(F.col(sku).alias("sku"), F.col(change).cast("long").alias("_d"), start.cast("long").alias("_begin"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    logs = e.repartition("sku").sortWithinPartitions("sku", *[f"_o{i}" for i in range(len(order))], "_d")
+    done = logs.select("sku", "_d", "_begin").mapInArrow(_stock, f"sku {e.schema['sku'].dataType.simpleString()}, left long, sold long, refused long")
+    return done.withColumnRenamed("sku", sku)
 
 
 def overlapping(a: DataFrame, b: DataFrame, group: str, width: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .training import first_by_key, hashed
+
 
 def blind_spots(tickets: DataFrame, limit: int = 50) -> DataFrame:
     """(id, question, reason, status) -> questions asked in vain, the most frequent first, with their urgency."""
@@ -58,11 +60,15 @@ def share_curve(hits: DataFrame, item: str, k: int) -> DataFrame:
     return c.orderBy(F.desc("hits"), item).limit(k).crossJoin(total).select(item, "hits", F.round(F.sum("hits").over(w) / F.col("total"), 6).alias("share"))
 
 
-def capped_share(rows: DataFrame, owner: str, key: Column, share: float) -> DataFrame:
-    """A sampling step: at most `share` of all rows from one owner, by the key's order."""
-    n = rows.agg(F.count("*").alias("_n"))
-    r = F.row_number().over(W.partitionBy(owner).orderBy(key))
-    return rows.withColumn("_r", r).crossJoin(n).where(F.col("_r") <= F.floor(F.col("_n") * share)).drop("_r", "_n")
+def capped_share(rows: DataFrame, owner: str, key: str, share: float) -> DataFrame:
+    """A sampling step: at most `share` of all rows from one owner, by a hash of the key column, then the key.
+
+    An owner's rows are never sorted as a whole, see training.first_by_key.  A
+    null owner is an owner.
+    """
+    quota = rows.agg(F.floor(F.count("*") * share).alias("quota"))
+    quotas = rows.groupBy(owner).agg(F.count("*").alias("_n")).crossJoin(quota).select(owner, "quota")  # one row
+    return first_by_key(rows, owner, hashed(F.col(key)), quotas, F.col(key))
 
 
 def ab_group(user: Column, groups: int = 2) -> Column:
@@ -98,12 +104,18 @@ def percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float
 
 
 def blind_spot_ids(tickets: DataFrame, limit: int = 50) -> DataFrame:
-    """(id, question, status) -> open and answered questions with their first hundred ids, the most frequent first; a report of `limit` rows."""
+    """(id, question, status) -> open and answered questions with all their ids in order, the most frequent first; a report of `limit` rows.
+
+    Ids are joined in blocks of 65,536, so that no task sorts all ids of a
+    question; null questions are one question, null ids none.
+    """
     t = tickets.where("status in ('open', 'answered')")
     counts = t.groupBy("question").agg(F.count("*").alias("times"), F.min("id").alias("first_id")).orderBy(F.desc("times"), "first_id").limit(limit)
-    rank = F.row_number().over(W.partitionBy("question").orderBy("id"))
-    ids = t.join(counts.select("question"), "question", "left_semi").withColumn("_r", rank).where("_r <= 100").groupBy("question").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
-    return counts.join(ids, "question")
+    mine = t.where("id is not null").join(F.broadcast(counts.select(F.col("question").alias("_q"))), F.col("question").eqNullSafe(F.col("_q")), "left_semi")  # `limit` rows
+    block = F.floor(F.col("id") / 65536)
+    parts = mine.groupBy("question", block.alias("_b")).agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    ids = parts.groupBy(F.col("question").alias("_q")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "ids"))), lambda x: x["ids"]), ",").alias("ids"))
+    return counts.join(ids, F.col("question").eqNullSafe(F.col("_q"))).drop("_q")
 
 
 def question_demand(traces: DataFrame, limit: int = 20) -> DataFrame:

@@ -182,34 +182,11 @@ def append_track(track: Column, entry: Column) -> Column:
     return F.to_json(F.concat(old, F.array(F.struct(entry.alias("desc")))))
 
 
-def contradictions(items: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs (a, b) of near titles whose items share a product and whose contents differ in their numbers."""
-    numbers = F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))))
-    i = items.select("id", "product_ids", numbers.alias("n"))
-    a, b = i.toDF("a", "pa", "na"), i.toDF("b", "pb", "nb")
-    return near.select("a", "b").join(a, "a").join(b, "b").where(F.arrays_overlap("pa", "pb") & (F.size("na") > 0) & (F.size("nb") > 0) & (F.col("na") != F.col("nb"))).select("a", "b")
-
-
 # What an exact name, an alias, and a near name are worth; least score and lead for a binding of its own.
 MATCH_WEIGHTS = (1.0, 0.9, 0.8)
 LEAST_MATCH, LEAST_LEAD = 0.85, 0.15
 
 
-def match_entities(spoken: DataFrame, scheduled: DataFrame) -> DataFrame:
-    """(live, mention) by the products (live, product_id, name, aliases) of the same session -> best product, score, whether it binds by itself.
-
-    A near name counts by its edit distance.  Products of a session are a few, so
-    mentions meet those of their own session only.
-    """
-    exact, alias, near = MATCH_WEIGHTS
-    close = 1 - F.levenshtein("mention", "name") / F.greatest(F.length("mention"), F.length("name"), F.lit(1))
-    score = F.when(F.col("mention") == F.col("name"), exact).when(F.array_contains("aliases", F.col("mention")), alias).otherwise(near * close)
-    m = spoken.select("live", "mention").distinct().join(scheduled, "live").select("live", "mention", "product_id", score.alias("score"))
-    w = W.partitionBy("live", "mention").orderBy(F.desc("score"), "product_id")
-    m = m.withColumn("rank", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    return m.where("rank = 1").select("live", "mention", "product_id", F.round("score", 6).alias("score"), ((F.col("score") >= LEAST_MATCH) & (F.col("score") - F.col("second") > LEAST_LEAD)).alias("bound"))
-
-
 def catalogue_faults(products: DataFrame, attrs: DataFrame, skus: DataFrame, forbidden: DataFrame) -> DataFrame:
     """(product_id, fault): values that a category forbids (category_id, key, value: a literal), no attribute, no SKU, a name used twice.
 

@@ -14,21 +14,29 @@ def merge_duplicates(items: DataFrame, key: Column, bonus: float = 0.03, most_bo
 
     Tags and products are united in the order of the ranks; a missing category
     comes from the best sibling that has one; each sibling adds `bonus` to the
-    confidence.  Only the small columns of the siblings are gathered.  Items
-    with a null key are merged with nothing; an empty table gives an empty one.
+    confidence.  Nulls rank last.  A key's items are never sorted or gathered:
+    the best one and each tag's first place are least values, found in the
+    tasks first, and only a key's different tags and products meet in one row.
+    Items with a null key are merged with nothing; an empty table gives an empty one.
     """
     none = items.withColumn("_key", key).where("_key is null").drop("_key").withColumn("merged", F.lit(1).cast("long"))
-    ranked = items.withColumn("_key", key).where("_key is not null")
-    order = W.partitionBy("_key").orderBy(F.desc("confidence"), F.desc("quality_score"), F.desc(F.length("content")), "id")
-    ranked = ranked.withColumn("_rank", F.row_number().over(order))
-    side = ranked.groupBy("_key").agg(
-        *[F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.coalesce(c, F.array().cast(items.schema[c].dataType)).alias("v")))), lambda x: x["v"]))).alias(c) for c in ("tags", "product_ids") if c in items.columns],
-        F.min_by("category_id", F.when(F.col("category_id").isNotNull(), F.col("_rank"))).alias("category_id"),
+    worth = [F.col("confidence"), F.col("quality_score"), F.length("content")]
+    order = F.struct(*[x for i, w in enumerate(worth) for x in (w.isNull().alias(f"n{i}"), (-w).alias(f"w{i}"))], F.col("id").alias("id"))
+    ranked = items.withColumn("_key", key).where("_key is not null").withColumn("_order", order)
+    own = [c for c in items.columns if c not in ("tags", "product_ids", "category_id")]
+    best = ranked.groupBy("_key").agg(
+        F.min_by(F.struct(*own), "_order").alias("_b"),
+        F.min_by("category_id", F.when(F.col("category_id").isNotNull(), F.col("_order"))).alias("category_id"),
         F.count("*").alias("merged"),
     )
-    best = ranked.where("_rank = 1").drop("_rank", "tags", "product_ids", "category_id")
+    best = best.select("_key", *[F.col(f"_b.{c}").alias(c) for c in own], "category_id", "merged")
+    for c in ("tags", "product_ids"):
+        if c in items.columns:
+            first = ranked.select("_key", "_order", F.posexplode(c).alias("_at", "_v")).groupBy("_key", "_v").agg(F.min(F.struct("_order", "_at")).alias("_first"))
+            united = first.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_v"))), lambda x: x["_v"]).alias(c))
+            best = best.join(united, "_key", "left").withColumn(c, F.coalesce(c, F.array().cast(items.schema[c].dataType)))
     raised = F.greatest(F.col("confidence"), F.least(F.lit(most), F.col("confidence") + F.least(F.lit(most_bonus), F.lit(bonus) * (F.col("merged") - 1))))
-    return best.join(side, "_key").withColumn("confidence", raised).drop("_key").unionByName(none)
+    return best.withColumn("confidence", raised).select(*none.columns).unionByName(none)
 
 
 def duplicate_ratio(items: DataFrame, key: Column) -> DataFrame:

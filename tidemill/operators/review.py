@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .retrieval import small_enough
+from .agreement import spearman
+from .phrases import held_words
 
 
 def attribute_conflicts(items: DataFrame, attrs: DataFrame) -> DataFrame:
@@ -61,19 +62,14 @@ def drop_overlaps(segments: DataFrame, group: str) -> DataFrame:
 def align(segments: DataFrame, names: DataFrame, text: str) -> DataFrame:
     """Segments with the product whose longest name they hold; names (product_id, name, pos).
 
-    A name meets the texts that hold its first characters, by an equi-join.
-    Null and blank names are never held; ties go by pos.  A segment without a
+    All names are looked for in one walk over the texts, see phrases.py.  Null
+    and empty names are never held; names alike go by pos.  A segment without a
     name, or with a null text, has a null product.
     """
-    from ..functions.textops import char_grams
-
-    names = names.where("length(name) > 0")
-    g = names.agg(F.least(F.min(F.length("name")), F.lit(8))).first()[0] or 1
-    keyed = names.withColumn("_g", F.substring("name", 1, g))
-    grams = segments.select("segment_id", text, F.explode(F.array_distinct(char_grams(F.col(text), g))).alias("_g"))
-    held = grams.join(keyed, "_g").where(F.contains(F.col(text), F.col("name")))
-    best = held.groupBy("segment_id").agg(F.min_by(F.struct("product_id", "name"), F.struct(-F.length("name"), "pos")).alias("_n"))
-    return segments.select("segment_id").join(best, "segment_id", "left").select("segment_id", "_n.product_id", F.col("_n.name").alias("matched"))
+    held = held_words(segments.select(F.col("segment_id").alias("id"), F.col(text).alias("text")), names.select(F.col("name").alias("word")))
+    first = names.groupBy("name").agg(F.min_by("product_id", "pos").alias("product_id"), F.min("pos").alias("pos"))
+    best = held.join(first, F.col("word") == F.col("name")).groupBy("id").agg(F.min_by(F.struct("product_id", "name"), F.struct(-F.length("name"), "pos")).alias("_n"))
+    return segments.select("segment_id").join(best.withColumnRenamed("id", "segment_id"), "segment_id", "left").select("segment_id", "_n.product_id", F.col("_n.name").alias("matched"))
 
 
 def calibration(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -81,13 +77,11 @@ def calibration(rows: DataFrame, a: str, b: str) -> DataFrame:
 
     Rows without both ratings are left out; rho is null where a rating never varies.
     """
-    ranked = rows
-    for c in (a, b):
-        counts = rows.groupBy(c).agg(F.count("*").alias("_n"))
-        below = F.sum("_n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1))  # ratings are a few values
-        ranked = ranked.join(small_enough(counts.select(c, (F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2).alias(f"_{c}"))), c)
-    gap = F.abs(F.col(a) - F.col(b))
-    return ranked.agg(F.round(F.try_divide(F.covar_pop(f"_{a}", f"_{b}"), F.stddev_pop(f"_{a}") * F.stddev_pop(f"_{b}")), 6).alias("rho"), F.round(F.avg(gap), 6).alias("mean_error"), F.round(F.avg((gap >= 2).cast("double")), 6).alias("far"))
+    r = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.lit(0).alias("_all"), F.col(a).alias("_a"), F.col(b).alias("_b"))
+    gap = F.abs(F.col("_a") - F.col("_b"))
+    errors = r.agg(F.round(F.avg(gap), 6).alias("mean_error"), F.round(F.avg((gap >= 2).cast("double")), 6).alias("far"))
+    rho = spearman(r, "_all", "_a", "_b").agg(F.round(F.max("rho"), 6).alias("rho"))
+    return errors.crossJoin(rho).select("rho", "mean_error", "far")  # one row by one row
 
 
 def unique_ratio(text: Column, n: int = 3) -> Column:

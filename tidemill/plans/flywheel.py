@@ -91,7 +91,7 @@ def feedback_counts(spark, d):
 
 def owner_cap(spark, d):
     """Events left when no user may hold more than a part in two hundred."""
-    e = ops.capped_share(_events(spark, d), "user_id", F.md5(F.col("event_id").cast("string")), 0.005)
+    e = ops.capped_share(_events(spark, d), "user_id", "event_id", 0.005)
     return e.groupBy("user_id").agg(F.count("*").alias("events"), F.sum("event_id").alias("ids"))
 
 
@@ -120,7 +120,7 @@ QUERIES = {f.__name__: f for f in (blind_spots, product_demand, task_queue, erro
 _W = "e as (select *, ((day(ts) - 1) // 7)::int as week from events)"
 ORACLES = {
     "blind_spot_ids": """with e as (select event_id id, user_id question from events where event_type = 'error' and event_id % 3 <> 0), g as (select question, count(*) times, min(id) first_id from e group by 1 order by times desc, first_id limit 30),
-        r as (select *, row_number() over (partition by question order by id) r from e semi join g using (question)) select question, times, first_id, string_agg(id::varchar, ',' order by id) ids from g join r using (question) where r <= 100 group by all""",
+        r as (select * from e semi join g using (question)) select question, times, first_id, string_agg(id::varchar, ',' order by id) ids from g join r using (question) group by all""",
     "question_demand": """with g as (select user_id % 7 product_id, props input_text, count(*) times, max(event_type) intent, count(*) filter (event_type = 'error') handovers from events group by 1, 2), r as (select *, row_number() over (partition by product_id order by times desc, input_text) as rank from g) select * from r where rank <= 3""",
     "blind_spots": """select user_id question, count(*) times, max(case when value > 50 then 'timeout' else 'failure' end) reason, min(event_id) first_id, min(case when event_id % 2 = 0 then 'open' else 'answered' end) status,
         case when count(*) >= 3 then 'P0' when count(*) = 2 then 'P1' else 'P2' end priority from events where event_type = 'error' group by 1 order by times desc, first_id limit 40""",

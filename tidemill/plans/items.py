@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import items as ops
+from ..operators import items as ops, nearness
 from ..sources.tables import cut
 
 HINTS = [(["stupid", "idiot"], "aftersale"), (["tion of"], "spec"), (["und", "die"], "usage")]
@@ -97,9 +97,9 @@ def session_needs(spark, d):
 
 
 def category_losses(spark, d):
-    """Brands that sold before 1996 and not since."""
+    """Brands and sizes that sold before October 2001 and not since the tenth."""
     j = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.concat("p_brand", F.lit(":"), "p_size").alias("category_id"), "l_shipdate")
-    return ops.category_losses(j.where("l_shipdate >= timestamp_ntz '1996-01-01 00:00:00' and hash(category_id) is not null and substring(category_id, -1, 1) <> '3'"), j.where("l_shipdate < timestamp_ntz '1996-01-01 00:00:00'"))
+    return ops.category_losses(j.where("l_shipdate >= timestamp_ntz '2001-10-10 00:00:00'"), j.where("l_shipdate < timestamp_ntz '2001-10-10 00:00:00'"))
 
 
 def product_cards(spark, d):
@@ -122,18 +122,18 @@ def order_tracks(spark, d):
 
 
 def contradictions(spark, d):
-    """Neighbouring documents of one product whose numbers differ."""
-    docs = _t(spark, d, "documents")
-    i = docs.select(F.col("doc_id").alias("id"), F.array(F.floor(F.col("doc_id") / 3)).alias("product_ids"), F.col("text").alias("content"))
-    return ops.contradictions(i, docs.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")))
+    """Documents on one product that begin alike, to two edits, and whose numbers differ."""
+    title = F.substring_index("text", " ", 1)
+    i = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5).alias("product_id"), title.alias("title"), F.col("text").alias("content"))
+    return nearness.contradictions(i)
 
 
 def entity_matches(spark, d):
-    """Names spoken in a session bound to its scheduled products."""
-    p = _t(spark, d, "part").where("p_partkey < 400")
-    scheduled = p.select((F.col("p_partkey") % 40).alias("live"), F.col("p_partkey").alias("product_id"), F.concat("p_name", F.lit(" "), F.lower("p_brand")).alias("name"), F.array(F.concat_ws(" ", "p_brand", "p_name")).alias("aliases"))
-    said = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" "), F.lower("p_brand"))).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" ", "p_brand", "p_name")).otherwise(F.concat("p_name", F.lit(" brand")))
-    return ops.match_entities(p.select((F.col("p_partkey") % 40).alias("live"), said.alias("mention")), scheduled)
+    """Names spoken in a session, some misspelt, bound to its scheduled products."""
+    name, alias = F.concat("p_name", F.lit(" "), F.lower("p_brand")), F.concat_ws(" ", "p_brand", "p_name")
+    p = _t(spark, d, "part").select((F.col("p_partkey") % 5).alias("live"), F.col("p_partkey").alias("product_id"), name.alias("name"), F.array(alias).alias("aliases"))
+    said = F.when(F.col("product_id") % 3 == 0, F.col("name")).when(F.col("product_id") % 3 == 1, F.col("aliases")[0]).otherwise(F.concat(F.expr("substring(name, 2)"), F.lit("x")))
+    return nearness.match_entities(p.select("live", said.alias("mention")), p)
 
 
 def catalogue_faults(spark, d):
@@ -215,14 +215,17 @@ ORACLES = {
     "hotwords": """with p as (select p_partkey id, [p_name] || string_split(p_name, ' ') || [lower(p_brand)] || regexp_split_to_array(p_type || '、size ' || p_size, '[0-9%／/、，,\\s]+') w from part), x as (select id, unnest(w) word, unnest(range(0, len(w))) pos from p)
         select word, id product_id, pos from (select trim(word, ' ') word, id, pos, row_number() over (partition by trim(word, ' ') order by id, pos) r from x where length(trim(word, ' ')) >= 2) where r = 1""",
     "session_needs": """with r as (select conv_id, role, min(turn) f from conversations group by all) select conv_id as session, (select arg_max(c.role, c.turn) from conversations c where c.conv_id = r.conv_id and c.turn % 2 = 0) as role, string_agg(role, ',' order by f) roles from r group by conv_id""",
-    "category_losses": """with j as (select p_brand || ':' || p_size c, l_shipdate s from lineitem join part on l_partkey = p_partkey) select distinct c category_id from j where s < timestamp '1996-01-01' and c not in (select c from j where s >= timestamp '1996-01-01' and substr(c, -1, 1) <> '3')""",
+    "category_losses": """with j as (select p_brand || ':' || p_size c, l_shipdate s from lineitem join part on l_partkey = p_partkey) select distinct c category_id from j where s < timestamp '2001-10-10' and c not in (select c from j where s >= timestamp '2001-10-10')""",
     "product_cards": """select l_partkey product_id, min(l_extendedprice) price, round(arg_min(l_extendedprice * 2, l_suppkey * 1000000 + l_orderkey * 10 + l_linenumber) filter (l_discount > 0.05 and l_extendedprice <> 0), 2) origin_price, bool_or(l_returnflag = 'R') in_stock from lineitem group by 1""",
     "label_payloads": """select doc_id id, '{"data":{"item_id":' || doc_id || coalesce(',"title":"' || source || '"', '') || coalesce(',"content":"' || lang || '"', '') || ',"priority":"' || case when doc_id % 2 = 0 then 'P0' else 'P1' end || '","reason":"hot"},"meta":{"score":0.5}}' payload from documents""",
     "order_tracks": """select case when o_orderkey % 3 = 0 then '[{"desc":"packed"},' else '[' end || '{"desc":"status ' || o_orderstatus || '"}]' track, count(*) orders from orders group by 1""",
-    "contradictions": r"""with n as (select doc_id id, list_sort(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))) n from documents) select a.id a, b.id b from n a join n b on b.id = a.id + 1 and a.id // 3 = b.id // 3 where len(a.n) > 0 and len(b.n) > 0 and a.n <> b.n""",
-    "entity_matches": """with p as (select p_partkey id, p_partkey % 40 live, p_name || ' ' || lower(p_brand) name, p_brand || ' ' || p_name alias, p_name || ' brand' near from part where p_partkey < 400), m as (select distinct live, case id % 3 when 0 then name when 1 then alias else near end mention from p),
-        s as (select m.live, mention, id product_id, case when mention = name then 1.0::double when mention = alias then 0.9 else 0.8 * (1 - levenshtein(mention, name) / greatest(length(mention), length(name), 1)) end score from m join p using (live)),
-        r as (select *, row_number() over w as rank, coalesce(lead(score) over w, 0) as nxt from s window w as (partition by live, mention order by score desc, product_id)) select live, mention, product_id, round(score, 6) score, score >= 0.85 and score - nxt > 0.15 bound from r where rank = 1""",
+    "contradictions": r"""with n as (select doc_id id, doc_id % 5 p, trim(string_split(text, ' ')[1]) t, list_sort(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))) n from documents where text is not null), g as (select p, t, n, min(id) id from n where len(n) > 0 group by all)
+        select a.p product_id, a.id a, b.id b from g a join g b on a.p = b.p and a.id < b.id and a.n <> b.n and levenshtein(a.t, b.t) <= 2""",
+    "entity_matches": """with p as (select p_partkey id, p_partkey % 5 live, p_name || ' ' || lower(p_brand) name, p_brand || ' ' || p_name alias from part), m as (select distinct live, case id % 3 when 0 then name when 1 then alias else substr(name, 2) || 'x' end mention from p), n as (select distinct live, name from p),
+        e as (select m.live, mention, name, levenshtein(mention, name) e from m join n using (live) where mention <> name and abs(length(mention) - length(name)) <= 2 and levenshtein(mention, name) <= 2),
+        f as (select live, mention, id, 1.0::double s from m join p using (live) where mention = name union all select live, mention, id, 0.9 from m join p using (live) where mention = alias union all select live, mention, id, 0.8 * (1 - e / greatest(length(mention), length(name), 1)) from e join p using (live, name)),
+        g as (select live, mention, id, max(s) s from f group by all), r as (select *, row_number() over w r, coalesce(lead(s) over w, 0) nxt from g window w as (partition by live, mention order by s desc, id))
+        select live, mention, id product_id, round(s, 6) score, s >= 0.85 and s - nxt > 0.15 bound from r where r = 1""",
     "catalogue_faults": """with p as (select p_partkey id, p_partkey % 7 c, p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size n, p_type t from part), b as (select id % 7 c, substr(t, 1, 4) bad from p where id < 7),
         f as (select id, 'forbidden:type' fault from p join b using (c) where id % 5 <> 0 and contains(t, bad) union select id, 'no_attribute' from p where id % 5 = 0 union select id, 'no_sku' from p where id not in (select l_partkey from lineitem where l_quantity > 45) union select id, 'same_name' from p where n in (select n from p group by n having count(*) > 1))
         select fault, count(*) products, sum(id)::bigint ids from f group by 1""",

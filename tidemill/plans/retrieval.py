@@ -66,9 +66,11 @@ def dense_topk(spark, d):
 def hybrid_rrf(spark, d):
     """Dense ranks fused with ranks by equal label and nearness of ids, the second at a tenth of the weight."""
     near = _near(spark, d, 20)
-    v = _vectors(spark, d)
-    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query"), "label")
-    other = q.join(v.select(F.col("vec_id").alias("doc"), "label"), "label").where("query <> doc").select("query", "doc", (-F.abs(F.col("query") - F.col("doc"))).cast("double").alias("score"))
+    v = _vectors(spark, d).select("vec_id", "label").where("label is not null")
+    # of equal labels the twenty nearest ids are among the twenty before and the twenty after
+    w = W.partitionBy("label").orderBy("vec_id").rowsBetween(-20, 20)
+    around = v.withColumn("doc", F.collect_list("vec_id").over(w)).where("vec_id % 10 = 0").select(F.col("vec_id").alias("query"), F.explode("doc").alias("doc")).where("query <> doc")
+    other = around.select("query", "doc", (-F.abs(F.col("query") - F.col("doc"))).cast("double").alias("score"))
     fused = ops.fuse([(near, 1.0), (ops.top_k(other, 20, 6), 0.1)])
     return ops.top_k(fused, 5, 9).select("query", "doc", "rank", "score")
 

@@ -183,14 +183,14 @@ def asset_search(spark, d):
 
 def answer_assets(spark, d):
     """Up to three assets of each answer, its items' before its product's."""
-    o = _t(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("answer"), F.array(F.col("o_orderkey") % 30, F.col("o_custkey") % 30).alias("item_ids"), (F.col("o_custkey") % 20).alias("product_id"))
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("answer"), F.array(F.col("o_orderkey") % 30, F.col("o_custkey") % 30).alias("item_ids"), (F.col("o_custkey") % 20).alias("product_id"))
     of_items = _assets(spark, d).select((F.col("asset_id") % 60).alias("item_id"), "asset_id").where("item_id % 3 = 0")
     return ops.answer_assets(o, of_items, _assets(spark, d).select("product_id", "asset_id"), 3).select("answer", "asset_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
 def new_files(spark, d):
     """Pages whose content no even page has, one for each content."""
-    p = _t(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.encode(F.substring_index("html", ">", 3), "utf-8").alias("content"))
+    p = _t(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.encode("html", "utf-8").alias("content"))
     stored = p.where("page_id % 2 = 0").select(F.sha2("content", 256).alias("file_sha256"))
     return ops.new_files(p, stored)
 
@@ -280,10 +280,10 @@ ORACLES = {
     "released_orders": f"with {_O} select case when status = 'pending' and id % 3 = 0 then 'cancelled' else status end status, count(*) orders from o group by 1",
     "asset_reviews": f"with {_P} select 'asset' kind, status what, count(*) n from f group by status union all select 'refused', why, count(*) from j where why is not null group by why union all select 'refused', 'unknown_asset', 1",
     "asset_search": f"with {_P} select id asset_id, created_at from f where status = 'approved' and modality = 'image' and scene = 'work' order by created_at desc, id limit 20",
-    "answer_assets": f"""with {_P}, n as (select o_orderkey answer, unnest([o_orderkey % 30, o_custkey % 30]) item_id from orders where o_orderkey % 5 = 0),
-        u as (select answer, id, 0 source from n join a on item_id = id % 60 and id % 60 % 3 = 0 union all select o_orderkey, id, 1 from orders join a on o_custkey % 20 = product_id where o_orderkey % 5 = 0),
+    "answer_assets": f"""with {_P}, n as (select o_orderkey answer, unnest([o_orderkey % 30, o_custkey % 30]) item_id from orders),
+        u as (select answer, id, 0 source from n join a on item_id = id % 60 and id % 60 % 3 = 0 union all select o_orderkey, id, 1 from orders join a on o_custkey % 20 = product_id),
         m as (select answer, id asset_id, min(source) source from u group by all), r as (select *, row_number() over (partition by answer order by source, asset_id) as rank from m) select * from r where rank <= 3""",
-    "new_files": "with p as (select page_id, url path, sha256(array_to_string(string_split(html, '>')[1:3], '>')) file_sha256 from pages) select file_sha256, min(path) path from p where file_sha256 not in (select file_sha256 from p where page_id % 2 = 0) group by 1",
+    "new_files": "with p as (select page_id, url path, sha256(html) file_sha256 from pages) select file_sha256, min(path) path from p where file_sha256 not in (select file_sha256 from p where page_id % 2 = 0) group by 1",
     "trace_sink": "select least(greatest(doc_id % 40 - 20, -9), 9)::double max_score, sum(length(substr(coalesce(text, ''), 1, 512)))::bigint query_chars, sum(length(substr(coalesce(text, ''), 1, 512)))::bigint error_chars from documents group by 1",
     "recent_traces": "select event_id id, user_id from events where event_type = 'error' order by event_id desc limit 30",
     "merchant_orders": f"with {_O} select id order_id, status from o where status = 'pending' order by id desc limit 200",
