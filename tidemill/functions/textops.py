@@ -12,6 +12,16 @@ def char_grams(text: Column, n: int) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).when(size > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
+def text_pieces(text: Column, n: int, size: int = 512) -> Column:
+    """Pieces of a text, each going n - 1 characters into the next, so that every run of n characters lies in one.
+
+    Finding a character costs as many steps as its place, so runs of a long text
+    are taken from its pieces.
+    """
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)), F.lit(size))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(size + n - 1)))
+
+
 def shingles(text: Column, n: int = 4) -> Column:
     """Distinct character n-grams without white space."""
     return F.array_distinct(char_grams(F.regexp_replace(text, r"(?U)\s+", ""), n))

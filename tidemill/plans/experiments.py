@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.textops import char_grams
+from ..functions.textops import char_grams, text_pieces
 from ..operators import costs, experiments, phrases, sketches
 from ..operators.flywheel import ab_group
 
@@ -15,7 +15,8 @@ def _t(spark, d, name):
 
 def _grams(docs):
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\r]+", "")
-    return docs.select(F.col("doc_id").alias("id"), F.explode(char_grams(text, 6)).alias("gram"))
+    pieces = docs.select(F.col("doc_id").alias("id"), F.explode(text_pieces(text, 6)).alias("piece"))
+    return pieces.select("id", F.explode(char_grams(F.col("piece"), 6)).alias("gram"))
 
 
 def signature_sums(spark, d):

@@ -124,7 +124,7 @@ ORACLES = {
         g as (select o, min(ts) filter (k = 'placed') p, arg_min(q, (ts, event_id)) filter (k = 'placed') q, min(ts) filter (k <> 'placed') x, arg_min(k, (ts, event_id)) filter (k <> 'placed') xk from e where k is not null group by 1),
         d as (select *, coalesce(p, x) + interval 6 hours due from g), u as (select case when p is null then 'unknown_order' when x <= due then xk else 'expired' end outcome, coalesce(q, 0) q, * exclude q from d where due <= (select max(ts) from e where k is not null))
         select outcome, count(*) orders, sum(case when outcome in ('paid', 'unknown_order') then 0 else q end)::bigint released, strftime(max(case when outcome = 'expired' then due else x end), '%Y-%m-%d %H:%M:%S.%f') latest from u group by 1""",
-    "need_spans": """with a as (select *, json_extract_string(props, '$.k') v, coalesce(epoch_ms(ts) - epoch_ms(lag(ts) over w) > 28800000, true) nw from events window w as (partition by user_id order by ts, event_id)), b as (select *, sum(nw::int) over (partition by user_id order by ts, event_id) s from a),
+    "need_spans": """with a as (select *, json_extract_string(props, '$.k') v, coalesce(epoch_us(ts) - epoch_us(lag(ts) over w) > 28800000000, true) nw from events window w as (partition by user_id order by ts, event_id)), b as (select *, sum(nw::int) over (partition by user_id order by ts, event_id) s from a),
         f as (select user_id, s, event_type, arg_max(v, (ts, event_id)) v from b where event_type <> 'view' and v is not null group by all), n as (select user_id, s, string_agg(event_type || '=' || v, ',' order by event_type) needs from f group by all)
         select user_id::varchar session, epoch_us(min(ts)) start_us, epoch_us(max(ts)) last_us, count(*) events, coalesce(any_value(needs), '') needs from b left join n using (user_id, s) group by user_id, s""",
 }

@@ -26,19 +26,24 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _ms(t) -> int:
-    return int(pd.Timestamp(t).timestamp() * 1000)
+def _us(t) -> int:
+    return pd.Timestamp(t).value // 1000
 
 
-def _at(ms: int) -> pd.Timestamp:
-    return pd.Timestamp(ms, unit="ms")
+def _at(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
+
+
+def _timer(us: int) -> int:
+    """The first whole millisecond that is not before a time, as timers have it."""
+    return -(-us // 1000)
 
 
 class OrderTimer(StatefulProcessor):
     """One outcome an order, when its time to pay is over."""
 
     def __init__(self, ttl_s: int):
-        self.ttl = ttl_s * 1000
+        self.ttl = ttl_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -48,7 +53,7 @@ class OrderTimer(StatefulProcessor):
         held = json.loads(self.state.get()[0]) if self.state.exists() else {}
         for part in rows:
             for kind, at, event, sku, qty in zip(part["kind"], part["at"], part["event_id"], part["sku"], part["qty"]):
-                new = [_ms(at), int(event), kind, None if pd.isna(sku) else sku, 0 if pd.isna(qty) else int(qty)]
+                new = [_us(at), int(event), kind, None if pd.isna(sku) else sku, 0 if pd.isna(qty) else int(qty)]
                 what = "placed" if kind == "placed" else "end"
                 if what not in held or new[:2] < held[what][:2]:
                     held[what] = new
@@ -56,7 +61,7 @@ class OrderTimer(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         # the watermark may stand behind the due time already: the next batch's check fires it then
-        self.handle.registerTimer(due)
+        self.handle.registerTimer(_timer(due))
         self.state.update((json.dumps(held),))
         return iter([])
 
@@ -110,7 +115,7 @@ class NeedTimer(StatefulProcessor):
     """Sessions of a key that are still open; each is given out when it has been silent for `gap`."""
 
     def __init__(self, gap_s: int):
-        self.gap = gap_s * 1000
+        self.gap = gap_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -120,8 +125,8 @@ class NeedTimer(StatefulProcessor):
         held = json.loads(self.state.get()[0]) if self.state.exists() else []
         for part in rows:
             for at, event, field, value in zip(part["at"], part["event_id"], part["field"], part["value"]):
-                known = {} if field is None or value is None else {field: [_ms(at), int(event), value]}
-                held.append({"start": _ms(at), "last": _ms(at), "n": 1, "needs": known})
+                known = {} if field is None or value is None else {field: [_us(at), int(event), value]}
+                held.append({"start": _us(at), "last": _us(at), "n": 1, "needs": known})
         held.sort(key=lambda s: s["start"])
         joined: list[dict] = []
         for s in held:
@@ -139,7 +144,7 @@ class NeedTimer(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = json.loads(self.state.get()[0]) if self.state.exists() else []
-        now = timerValues.getCurrentWatermarkInMs()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         over = [s for s in held if s["last"] + self.gap < now]
         self._keep([s for s in held if s["last"] + self.gap >= now])
         rows = [(key[0], _at(s["start"]), _at(s["last"]), {f: v[2] for f, v in sorted(s["needs"].items())}, s["n"]) for s in over]
@@ -152,7 +157,7 @@ class NeedTimer(StatefulProcessor):
         if sessions:
             self.state.update((json.dumps(sessions),))
             for s in sessions:
-                self.handle.registerTimer(s["last"] + self.gap + 1)
+                self.handle.registerTimer(_timer(s["last"] + self.gap) + 1)
         else:
             self.state.clear()
 
@@ -177,7 +182,7 @@ def needs_by_session(events: DataFrame, gap_s: int = 1800) -> DataFrame:
 
     e = events.where("session is not null and at is not null").withColumn("at", F.col("at").cast("timestamp"))
     w = Window.partitionBy("session").orderBy("at", "event_id")
-    new = F.coalesce((F.unix_millis("at") - F.unix_millis(F.lag("at").over(w)) > gap_s * 1000).cast("int"), F.lit(1))
+    new = F.coalesce((F.unix_micros("at") - F.unix_micros(F.lag("at").over(w)) > gap_s * 1_000_000).cast("int"), F.lit(1))
     s = e.withColumn("_new", new).withColumn("_s", F.sum("_new").over(w))
     spans = s.groupBy("session", "_s").agg(F.min("at").alias("start"), F.max("at").alias("last"), F.count("*").alias("events"))
     last = s.where("field is not null and value is not null").groupBy("session", "_s", "field").agg(F.max_by("value", F.struct("at", "event_id")).alias("value"))
