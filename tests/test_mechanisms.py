@@ -273,3 +273,26 @@ def test_folds_over_ranges(spark):
     items = spark.createDataFrame([(1, "t", "a", ["x", "x"], [3], None, None, 0.5), (2, "t", "ab", ["y", None], [], 7, 0.5, None), (3, "t", "abc", None, [3, 1], 8, 0.5, 0.1), (4, None, "c", ["q"], None, None, 0.9, 0.1)], kind)
     m = {r.id: r for r in knowledge.merge_duplicates(items, F.col("title")).collect()}
     assert sorted(m) == [3, 4] and (m[3].tags, m[3].product_ids, m[3].category_id, m[3].merged) == (["y", None, "x"], [3, 1], 8, 3)
+
+
+def test_line_chunks_of_all_documents(spark):
+    """The query over the documents table, against the same rule in plain Python."""
+    from pathlib import Path
+
+    from tidemill import registry
+    from tidemill.functions.chunk_table import LineChunks
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("no test tables")
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        one, out = LineChunks(), []
+        for line in (r.text or "").split("\n"):
+            out += list(one.eval({"doc": r.doc_id, "text": line}, 300))
+        out += list(one.terminate())
+        # nothing is lost but white space, and only sentences that are too long themselves are too long
+        assert "".join("".join(t.split()) for *_, t in out) == "".join((r.text or "").split())
+        if out:
+            want.append((r.doc_id, len(out), sum(len(o[3]) for o in out), max(len(o[3]) for o in out), sum(range(len(out)))))
+    assert sorted(map(tuple, registry.queries()["line_chunks"](spark, sf).collect())) == sorted(want)

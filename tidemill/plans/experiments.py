@@ -97,7 +97,7 @@ _W = "case " + " ".join(f"when u < {p!r} then {i}" for i, p in enumerate(experim
 _AB = f"""g as (select *, ('0x' || substr(md5(user_id::varchar), 1, 6))::int % 2 grp from events)"""
 _DRAWS = "('0x' || substr(md5(user_id || ':' || draw), 1, 8))::bigint / 4294967296.0::double"
 _RATES = f"""{_AB}, u as (select user_id, grp, count(*) filter ({{hit}}) h, count(*) t from g group by all), w as (select *, {_W} w from (select *, {_DRAWS} u from u, range(200) r(draw))),
-    p as (select draw, sum(w * h) filter (grp = 1) / sum(w * t) filter (grp = 1) - sum(w * h) filter (grp = 0) / sum(w * t) filter (grp = 0) diff from w group by 1), b as (select quantile_cont(diff, 0.025) low, quantile_cont(diff, 0.975) high from p),
+    p as (select draw, sum(w * h) filter (grp = 1) / nullif(sum(w * t) filter (grp = 1), 0) - sum(w * h) filter (grp = 0) / nullif(sum(w * t) filter (grp = 0), 0) diff from w group by 1), b as (select quantile_cont(diff, 0.025) low, quantile_cont(diff, 0.975) high from p),
     r as (select sum(h) filter (grp = 0) / sum(t) filter (grp = 0) rate_0, sum(h) filter (grp = 1) / sum(t) filter (grp = 1) rate_1 from u)"""
 ORACLES = {
     "signature_sums": f"with {_SIG} select id, list_sum(sig)::bigint total, sig[1] as first, sig[64] as last from s",
