@@ -82,3 +82,57 @@ def test_recipes(spark):
     assert recipes.problems([{"text_lenght": {}}, {"text_length": {"min": 1}}, {"flagged_ratio": {}}]) == ["step 0: no text_lenght, did you mean text_length?", "step 1: text_length has no min", "step 2: flagged_ratio needs words"]
     with pytest.raises(ValueError):
         recipes.apply(rows, [{"nothing": {}}])
+
+
+def test_two_models_in_a_cascade(spark):
+    """The dear model sees what the cheap one lets through; failures are no outcomes, and ten in a row end the asking."""
+
+    def triage(text):
+        n = int(text.split("#")[1])
+        if n % 10 == 3:
+            raise TimeoutError
+        if n % 10 == 4:
+            return None
+        return json.dumps({"has_knowledge": n % 10 != 5, "generalizable": 0.9, "outdated": n % 10 == 6, "quality": 0.8, "confidence": 0.9})
+
+    def extract(text):
+        n = int(text.split("#")[1])
+        if n % 10 in (4, 5, 6):
+            raise ValueError("asked for what was dropped")
+        if n % 10 == 7:
+            raise ConnectionError
+        items = [] if n % 10 == 8 else [{"question": f"q{n}", "answer": "a", "confidence": 0.9}]
+        return "```json\n" + json.dumps({"items": items}) + "\n```"
+
+    asked = spark.createDataFrame([(i, f"text #{i}") for i in range(40)], "conv_id long, transcript string")
+    got = {r.conv_id: (r.status, r.stage, r.failure, r.reason, len(r["items"])) for r in funnel.cascade(asked, triage, extract).collect()}
+    want = {3: ("infra", "triage", "TimeoutError", None, 0), 4: ("drop", "triage", None, "no_knowledge", 0), 5: ("ok", "triage", None, "no_knowledge", 0), 6: ("ok", "triage", None, "outdated", 0), 7: ("infra", "extract", "ConnectionError", None, 0), 8: ("ok", "extract", None, "nothing_extracted", 0)}
+    assert got == {i: want.get(i % 10, ("ok", "extract", None, None, 1)) for i in range(40)}
+
+    def gone(text):
+        if text.endswith("0"):
+            return None
+        raise ConnectionError
+
+    one = asked.coalesce(1).sortWithinPartitions("conv_id")
+    seen = [(r.conv_id, r.failure) for r in funnel.ask_each(one, gone, "transcript", 12).orderBy("conv_id").collect()]
+    assert [f for i, f in seen if i % 10 == 0] == [None] * 4 and all(f == "ConnectionError" for i, f in seen if i % 10)
+    seen = [r.failure for r in funnel.ask_each(one, gone, "transcript", 5).orderBy("conv_id").collect()]
+    assert seen == [None] + ["ConnectionError"] * 5 + ["not_asked"] * 34
+
+
+def test_a_run_with_two_models(spark):
+    q, a = "这件衣服是什么面料做的呢", "这是纯棉面料的，请放心购买吧"
+    rows = [(i, t, r, x) for i in range(6) for t, r, x in ((0, "user", q + "零一二三四五六七八九"[i] * 9), (1, "assistant", a + "甲乙丙丁戊己庚辛"[i] * 9))]
+
+    def triage(text):
+        if "二" in text:
+            raise TimeoutError
+        return json.dumps({"has_knowledge": "一" not in text, "generalizable": 0.9, "outdated": False, "quality": 0.9, "confidence": 0.95})
+
+    def extract(text):
+        return json.dumps({"items": [{"question": "什么面料" + ("吗" if "三" in text else ""), "answer": "纯棉面料", "confidence": 0.95}]})
+
+    items, outcomes = funnel.run(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), triage, extract=extract)
+    assert {r.conv_id: (r.gate, r.reason) for r in outcomes.collect()} == {0: ("gate3", "extracted"), 1: ("gate3", "no_knowledge"), 3: ("gate3", "extracted"), 4: ("gate3", "extracted"), 5: ("gate3", "extracted")}
+    assert sorted((r.title, r.merged) for r in items.collect()) == [("什么面料", 3), ("什么面料吗", 1)]

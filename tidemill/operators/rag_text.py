@@ -108,3 +108,41 @@ def ask_model(rows: DataFrame, client, column: str, out: str = "answer", status:
             yield f[[*names, out, status]]
 
     return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{out}` string, `{status}` string")
+
+
+def ask_each(rows: DataFrame, client, column: str, in_a_row: int = 10, out: str = "answer", status: str = "status", failure: str = "failure") -> DataFrame:
+    """Adds a model's answer to each row's text, a status and the kind of failure.
+
+    client(text) -> text, or None where the model refuses (`drop`).  What it
+    raises is no answer: the row is `infra` with the name of what was raised, so
+    that it gets no outcome and comes again.  After `in_a_row` such rows one
+    after the other a task takes the service for gone and asks no more: the rest
+    of its rows are `infra` with `not_asked`.  An answer, a refusal too, starts
+    the count anew.  ValueError is a wrong set-up and stops the job.  A null
+    text is not asked: `drop`.
+    """
+    names = [f.name for f in rows.schema.fields]
+
+    def run(frames: Iterator[pd.DataFrame]):
+        failed = 0
+        for f in frames:
+            got = []
+            for text in f[column].tolist():
+                if text is None:
+                    got.append((None, "drop", None))
+                elif failed >= in_a_row:
+                    got.append((None, "infra", "not_asked"))
+                else:
+                    try:
+                        answer = client(text)
+                        failed = 0
+                        got.append((answer, "drop" if answer is None else "ok", None))
+                    except ValueError:
+                        raise
+                    except Exception as e:
+                        failed += 1
+                        got.append((None, "infra", type(e).__name__))
+            f[out], f[status], f[failure] = (pd.Series([g[i] for g in got], dtype=object, index=f.index) for i in range(3))
+            yield f[[*names, out, status, failure]]
+
+    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{out}` string, `{status}` string, `{failure}` string")
