@@ -296,3 +296,17 @@ def test_line_chunks_of_all_documents(spark):
         if out:
             want.append((r.doc_id, len(out), sum(len(o[3]) for o in out), max(len(o[3]) for o in out), sum(range(len(out)))))
     assert sorted(map(tuple, registry.queries()["line_chunks"](spark, sf).collect())) == sorted(want)
+
+
+def test_kpi_of_a_session(spark):
+    from tidemill.operators import kpi
+
+    rows = [("a", 0, 0, "user", "有货吗"), ("a", 20, 1, "agent", "有的"), ("a", 400, 2, "agent", "还在吗"), ("a", 500, 3, "user", "在"), ("a", 800, 4, "agent", "好的"), ("b", 0, 0, "user", "x"), ("b", 10, 1, "agent", "这是最好的"), ("c", 0, 0, "user", "x"), ("c", None, 1, "agent", "x"), (None, 1, 1, "agent", "x"), ("a", 21, 9, "system", "最好")]
+    t = spark.createDataFrame(rows, "session string, s long, turn long, role string, text string").withColumn("at", F.timestamp_seconds("s"))
+    got = {r.session: r for r in kpi.scores(kpi.metrics(t)).collect()}
+    a = got["a"]
+    assert (a.first_s, a.mean_s, a.replies, a.late, a.silences, a.followed, a.vetoed) == (20.0, 160.0, 2, 1, 1, 1, False)
+    assert a.score == pytest.approx(100 * (8 * 1 + 7 * (180 - 160) / 150 + 5 * 0.5 + 5) / 25)
+    assert (got["b"].score, got["b"].grade) == (0.0, "veto") and (got["c"].score, got["c"].grade) == (None, "unrated")
+    owners = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("a", "x")], "session string, agent string")
+    assert {r.agent: (r.sessions, r.vetoes, r.score is None) for r in kpi.by_agent(kpi.scores(kpi.metrics(t)), owners, 1).collect()} == {"x": (2, 1, False), "y": (1, 0, True)}

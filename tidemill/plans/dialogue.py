@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import rules
 from ..functions.textops import content_hash, shingles
-from ..operators import dialogue as ops
+from ..operators import dialogue as ops, funnel
 
 #: Personal data as European texts write it: mail addresses, card numbers, and runs of digits.
 LATIN_PII = [("email", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+", "<EMAIL>"), ("digits", r"[0-9]{6,}", "<DIGITS>"), ("ipv4", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "<IP>")]
@@ -109,7 +109,32 @@ def sft_samples(spark, d):
     return t.withColumn("rank", rank).where("rank <= 2").select("conv_id", "turn", F.col("rank").cast("long").alias("rank"), F.length("before").cast("long").alias("question_chars"), F.length("text").cast("long").alias("answer_chars"))
 
 
-QUERIES = {f.__name__: f for f in (gate1_funnel, gate1_whole_funnel, pii_hits, gate2_turns, gate2_sessions, ods_append, unprocessed_sessions, near_session_pairs, reply_runs, last_history, sft_samples)}
+def _triage(text):
+    """A stand-in for the cheap model: by how often the staff speak, it sees knowledge, finds it outdated, or cannot be asked."""
+    import json
+
+    n = text.count("agent: ")
+    if n >= 4:
+        raise TimeoutError
+    return json.dumps({"has_knowledge": n > 1, "generalizable": 0.9, "outdated": text.count("user: ") > n, "quality": 0.8, "confidence": 0.9})
+
+
+def _extract(text):
+    """A stand-in for the dear model: one item a session."""
+    import json
+
+    return json.dumps({"items": [{"question": str(text.count("user: ")), "answer": "as said", "confidence": 0.9}]})
+
+
+def cleaning_run(spark, d):
+    """The whole cleaning run over all sessions, with two stand-ins for models: outcomes by gate and reason, and items by status."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").where("conv_id is not null")
+    items, outcomes = funnel.run(turns, _triage, _limits(), extract=_extract, most_failures=1.0)
+    counted = outcomes.groupBy("gate", "reason").agg(F.count("*").alias("n"))
+    return counted.unionAll(items.groupBy(F.lit("items").alias("gate"), F.lit("merged").alias("reason")).agg(F.sum("merged").alias("n")))
+
+
+QUERIES = {f.__name__: f for f in (cleaning_run, gate1_funnel, gate1_whole_funnel, pii_hits, gate2_turns, gate2_sessions, ods_append, unprocessed_sessions, near_session_pairs, reply_runs, last_history, sft_samples)}
 
 _SESSIONS = """s as (select conv_id, count(*) n, string_agg(coalesce(text, ''), chr(10) order by turn) t, list({'role': case when role = 'assistant' then 'agent' else role end, 'text': text} order by turn) turns from conversations group by conv_id)"""
 ORACLES = {
@@ -151,3 +176,7 @@ ORACLES["gate1_whole_funnel"] = ORACLES["gate1_funnel"].replace("with s as", "wi
     k as (select 0::bigint i, []::bigint[] kept union all select k.i + 1, case when list_has_any(kept, coalesce(s, [])) then kept else list_append(kept, o.id) end from k join o on o.i = k.i + 1 left join nb on nb.b = o.id),
     l as (select unnest(kept) id from (select kept from k order by i desc limit 1))
     select case when reason = 'passed' and id not in (select id from l) then 'near_duplicate' else reason end reason, count(*) sessions from f group by 1"""
+ORACLES["cleaning_run"] = ORACLES["gate1_whole_funnel"].replace("select case when reason = 'passed' and id not in (select id from l) then 'near_duplicate' else reason end reason, count(*) sessions from f group by 1", """, w as (select conv_id, count(*) filter (role = 'assistant') a, count(*) filter (role = 'user') u from conversations where role <> 'system' group by 1),
+    z as (select case when reason <> 'passed' or id not in (select id from l) then 'gate1' when coalesce(a, 0) = 0 or u = 0 then 'gate2' when a >= 4 then 'infra' else 'gate3' end gate,
+        case when reason <> 'passed' then reason when id not in (select id from l) then 'near_duplicate' when coalesce(a, 0) = 0 or u = 0 then 'no_pair' when a >= 4 then 'infra' when a < 2 then 'no_knowledge' when u > a then 'outdated' else 'extracted' end reason from f left join w on conv_id = id)
+    select gate, reason, count(*) n from z where gate <> 'infra' group by all union all select 'items', 'merged', count(*) from z where reason = 'extracted' having count(*) > 0""")

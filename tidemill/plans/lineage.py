@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators import agreement, lineage
+from ..operators import agreement, kpi, lineage
 from ..streaming import timers
 
 
@@ -94,7 +94,18 @@ def need_spans(spark, d):
     return n.select("session", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "events", said.alias("needs"))
 
 
-QUERIES = {f.__name__: f for f in (task_lineage, erasure, retained, rater_alpha, judge_gate, order_timeouts, need_spans)}
+def kpi_scores(spark, d):
+    """Quality of each user's day: clicks and views are theirs, purchases and signups the staff's, and k of 99 a word that fails it."""
+    e = _t(spark, d, "events")
+    role = F.when(F.col("event_type").isin("click", "view"), "user").when(F.col("event_type").isin("purchase", "signup"), "agent").otherwise("system")
+    t = e.select(F.concat_ws("-", "user_id", F.dayofmonth("ts")).alias("session"), F.col("ts").alias("at"), F.col("event_id").alias("turn"), role.alias("role"), F.get_json_object("props", "$.k").alias("text"))
+    m = kpi.scores(kpi.metrics(t, _POST), _POST)
+    return m.select("session", *[F.round(c, 6).alias(c) for c in ("first_s", "mean_s", "score")], "replies", "late", "silences", "followed", "vetoed", "grade")
+
+
+_POST = kpi.Template(late_s=36000.0, silent_s=7200.0, prompt_s=3600.0, veto=("99",))
+
+QUERIES = {f.__name__: f for f in (kpi_scores, task_lineage, erasure, retained, rater_alpha, judge_gate, order_timeouts, need_spans)}
 
 _L = """s as (select distinct conv_id id, 'user:' || conv_id % 23 ref from conversations), i as (select doc_id id, 'session:' || doc_id // 4 ref from documents), v as (select vec_id id, 'item:' || vec_id * 2 ref from embeddings), p as (select doc_id id, 'vector:' || doc_id ref from labels),
     e as (select ref a, 'session:' || id b from s union select ref, 'item:' || id from i union select ref, 'vector:' || id from v union select ref, 'snapshot:' || id from p)"""
@@ -104,6 +115,13 @@ _R = """x as (select l_returnflag batch, l_orderkey unit, case when l_linenumber
     d as (select a.batch, sum(a.n * b.n * (a.v <> b.v)::int) nominal, sum(a.n * b.n * (a.mid - b.mid) ** 2) ordinal, sum(a.n * b.n * (a.v - b.v) ** 2) as interval from k a join k b on a.batch = b.batch group by 1), n as (select batch, sum(n) n from t group by 1),
     al as (select n.batch, n.n::bigint pairable, 1 - (n.n - 1) * o.nominal / nullif(d.nominal, 0) nominal, 1 - (n.n - 1) * o.ordinal / nullif(d.ordinal, 0) ordinal, 1 - (n.n - 1) * o.interval / nullif(d.interval, 0) as interval from n join o using (batch) join d using (batch))"""
 ORACLES = {
+    "kpi_scores": """with e as (select user_id || '-' || day(ts) s, epoch_us(ts) t, event_id, case when event_type in ('click', 'view') then 'user' when event_type in ('purchase', 'signup') then 'agent' end r, json_extract_string(props, '$.k') k from events),
+        a as (select *, (t - lag(t) over w) / 1e6 g, lag(r) over w b from e where r is not null window w as (partition by s order by t, event_id)),
+        m as (select s, (min(t) filter (r = 'agent' and b = 'user') - min(t) filter (r = 'user')) / 1e6 f, avg(g) filter (r = 'agent' and b = 'user') m, count(*) filter (r = 'agent' and b = 'user') replies, count(*) filter (r = 'agent' and b = 'user' and g > 36000) late,
+            count(*) filter (b = 'agent' and g > 7200) silences, count(*) filter (b = 'agent' and g > 7200 and r = 'agent') followed, coalesce(bool_or(r = 'agent' and contains(k, '99')), false) vetoed from a group by 1),
+        x as (select *, case when f is not null then greatest(0, least(1, (36000 - f) / 32400)) end xf, case when m is not null then greatest(0, least(1, (36000 - m) / 32400)) end xm, case when replies > 0 then 1 / (1 + late) end xl, followed / nullif(silences, 0) xs from m),
+        y as (select *, (coalesce(8 * xf, 0) + coalesce(7 * xm, 0) + coalesce(5 * xl, 0) + coalesce(5 * xs, 0)) * 100 / nullif(8 * (xf is not null)::int + 7 * (xm is not null)::int + 5 * (xl is not null)::int + 5 * (xs is not null)::int, 0) sc from x)
+        select s session, round(f, 6) first_s, round(m, 6) mean_s, round(case when vetoed then 0 else sc end, 6) score, replies, late, silences, followed, vetoed, case when vetoed then 'veto' when sc is null then 'unrated' else 'rated' end grade from y""",
     "task_lineage": """with recursive a as (select *, coalesce(ts > lag(ts) over w + interval 12 hours, true) far, lag(event_id) over w before from events window w as (partition by user_id order by ts, event_id)), b as (select *, sum(far::int) over (partition by user_id order by ts, event_id) s from a),
         c as (select *, first_value(event_id) over w f, last_value(event_id) over (w rows between unbounded preceding and unbounded following) l from b window w as (partition by user_id, s order by ts, event_id)),
         t as (select event_id id, case when far then case when f % 7 = 0 and f <> l then l end else before end parent, ['succeeded', 'running', 'failed', 'pending'][event_id % 4 + 1] status from c),
