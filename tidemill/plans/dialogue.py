@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import rules
 from ..functions.textops import content_hash, shingles
-from ..operators import dialogue as ops, funnel
+from ..operators import dialogue as ops, funnel, greedy
 
 #: Personal data as European texts write it: mail addresses, card numbers, and runs of digits.
 LATIN_PII = [("email", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+", "<EMAIL>"), ("digits", r"[0-9]{6,}", "<DIGITS>"), ("ipv4", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "<IP>")]
@@ -68,20 +68,8 @@ def unprocessed_sessions(spark, d):
 def near_session_pairs(spark, d):
     """Pairs of sessions whose whole texts have a Jaccard of 0.85 or more over four-character shingles."""
     whole = ops.sessions(_turns(spark, d)).select("conv_id", ops.content(F.col("turns")).alias("text"))
-    s = whole.select("conv_id", shingles(F.col("text")).alias("s")).where("size(s) > 0")
-    # equal sets meet once; a prefix of each set, in one order, meets every partner
-    sets = s.groupBy(F.sort_array("s").alias("s")).agg(F.sort_array(F.collect_list("conv_id")).alias("ids"))
-    sets = sets.select(F.xxhash64("s").alias("k"), "s", "ids")
-    n = F.size("s")
-    prefix = F.slice(F.array_sort(F.transform("s", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, F.greatest(n - F.ceil(n * 0.85 - 1e-9).cast("int") + 1, F.lit(1)))
-    posts = sets.select("k", F.explode(prefix).alias("g"))
-    met = posts.alias("a").join(posts.alias("b"), (F.col("a.g.x") == F.col("b.g.x")) & (F.col("a.k") < F.col("b.k"))).select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb")).distinct()
-    a, b = sets.toDF("ka", "sa", "ia"), sets.toDF("kb", "sb", "ib")
-    both = met.join(a, "ka").join(b, "kb").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    score = F.round(F.col("both") / (F.size("sa") + F.size("sb") - F.col("both")), 6)
-    other = both.withColumn("score", score).where("score >= 0.85").select(F.least(F.col("ia")[0], F.col("ib")[0]).alias("a"), F.greatest(F.col("ia")[0], F.col("ib")[0]).alias("b"), "score")
-    same = sets.where("size(ids) > 1").select(F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, 1 << 30)).alias("b"), F.lit(1.0).alias("score"))
-    return other.unionAll(same)
+    found = greedy.class_pairs(whole, "conv_id", shingles(F.col("text")), 0.85 - 5e-7)  # what rounds to 0.85 counts
+    return found.withColumn("score", F.round("score", 6)).where("score >= 0.85")
 
 
 def reply_runs(spark, d):
