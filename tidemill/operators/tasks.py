@@ -198,8 +198,10 @@ def find_assets(assets: DataFrame, product: int | None = None, modality: str | N
 
 def answer_assets(answers: DataFrame, of_items: DataFrame, of_products: DataFrame, limit: int = 3) -> DataFrame:
     """(answer, item_ids, product_id) -> its assets, those of its items before the product's, each once, `limit` of an answer."""
-    a = answers.select("answer", F.explode("item_ids").alias("item_id")).join(of_items, "item_id").select("answer", "asset_id", F.lit(0).alias("source"))
-    b = answers.select("answer", "product_id").join(of_products, "product_id").select("answer", "asset_id", F.lit(1).alias("source"))
+    # an answer's assets are among the `limit` least of each of its items and of its product: what items repeat of the product's counts as theirs
+    least = lambda rows, key, n: rows.distinct().withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("asset_id"))).where(F.col("_r") <= n).drop("_r")
+    a = answers.select("answer", F.explode("item_ids").alias("item_id")).join(least(of_items.select("item_id", "asset_id"), "item_id", limit), "item_id").select("answer", "asset_id", F.lit(0).alias("source"))
+    b = answers.select("answer", "product_id").join(least(of_products.select("product_id", "asset_id"), "product_id", limit), "product_id").select("answer", "asset_id", F.lit(1).alias("source"))
     once = a.unionAll(b).groupBy("answer", "asset_id").agg(F.min("source").alias("source"))
     r = F.row_number().over(W.partitionBy("answer").orderBy("source", "asset_id"))
     return once.withColumn("rank", r).where(F.col("rank") <= limit)
