@@ -103,12 +103,19 @@ def isolated(docs: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
     words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"[ \t\n\x0b\f\r]+"), lambda x: x != "")
     line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     i = items.select(words(F.col("text")).alias("w")).where("size(w) > 0").withColumn("n", F.least(F.size("w"), F.lit(n)))
-    i = i.select("n", line(F.col("w")).alias("item"), F.xxhash64(F.array_join(F.slice("w", 1, F.col("n")), " ")).alias("h"))
+    key = lambda w, s, k: F.xxhash64(*[F.get(w, s + x) for x in range(k)])
+    h = F.lit(None).cast("long")
+    for k in range(1, n + 1):
+        h = F.when(F.col("n") == k, key(F.col("w"), F.lit(0), k)).otherwise(h)
+    i = i.select("n", line(F.col("w")).alias("item"), h.alias("h"))
     sizes = [r["n"] for r in i.select("n").distinct().collect()]  # n at most
     if not sizes:
         return docs
     d = docs.select("doc_id", words(F.col("text")).alias("w"))
-    run = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda s: F.struct(F.lit(k).alias("n"), F.xxhash64(F.array_join(F.slice("w", s, k), " ")).alias("h")))).otherwise(F.array().cast("array<struct<n int, h bigint>>"))
-    runs = d.select("doc_id", line(F.col("w")).alias("line"), F.explode(F.array_distinct(F.concat(*[run(k) for k in sizes]))).alias("r"))
-    held = runs.select("doc_id", "line", "r.*").join(F.broadcast(i), ["n", "h"]).where("contains(line, item)").select("doc_id").distinct()
+    none = F.array().cast("array<struct<n int, h bigint>>")
+    run = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda s: F.struct(F.lit(k).alias("n"), key(F.col("w"), s, k).alias("h")))).otherwise(none)
+    # runs go without their text; only documents that hold an item's beginning are read whole
+    runs = d.select("doc_id", F.explode(F.concat(*[run(k) for k in sizes])).alias("r")).select("doc_id", "r.*")
+    begun = runs.join(F.broadcast(i.select("n", "h").distinct()), ["n", "h"], "left_semi").select("doc_id", "n", "h").distinct().join(F.broadcast(i), ["n", "h"]).select("doc_id", "item")
+    held = begun.join(d, "doc_id").where(F.contains(line(F.col("w")), "item")).select("doc_id").distinct()
     return docs.join(held, "doc_id", "left_anti")
