@@ -24,7 +24,10 @@ def text_pieces(text: Column, n: int, size: int = 512) -> Column:
 
 def shingles(text: Column, n: int = 4) -> Column:
     """Distinct character n-grams without white space."""
-    return F.array_distinct(char_grams(F.regexp_replace(text, r"(?U)\s+", ""), n))
+    # an element of a list is worked out once, an expression within a lambda at every place
+    bare = F.array(F.regexp_replace(text, r"(?U)\s+", ""))
+    grams = F.transform(bare, lambda t: F.flatten(F.transform(text_pieces(t, n), lambda p: char_grams(p, n))))
+    return F.array_distinct(grams[0])
 
 
 def tokenize(text: Column, mode: str = "word") -> Column:
