@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import commerce
+from tidemill.operators import commerce, retrieval
 
 
 def test_ladder_counts_as_rows_found(spark):
@@ -20,3 +20,37 @@ def test_ladder_does_not_pair_all_needs_with_all_rows(spark):
     needs = spark.range(200_000).select(F.col("id").alias("need_id"), F.lit(1).alias("z"))  # 4e10 pairs
     got = commerce.relaxed_counts(rows, needs, [(None, {"size": "z"})], "key").agg(F.count("*"), F.min("products"), F.max("products")).first()
     assert tuple(got) == (200_000, 200_000, 200_000)
+
+
+def test_best_by_words_as_by_all_pairs(spark):
+    texts = ["a b b c", "a a", None, "c d e", "", "b c zz", "a b c d e", "b b b a"] * 5
+    rows = [(i % 37 if i != 9 else None, t) for i, t in enumerate(texts)]  # some ids twice, with texts of equal and other lengths, one null
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1), (2, "nowhere", 1), (3, "e", 3), (4, "nothing", 1)], "query long, term string, qtf long")
+    posts = retrieval.postings(docs, "doc_id", F.col("text"))
+    plain = retrieval.top_k(retrieval.bm25(asked, posts, retrieval.term_stats(posts), retrieval.stats_of(posts, docs)), 4, 6)
+    packed = retrieval.Packed.of(docs, "doc_id", F.col("text"), asked)
+    df = packed.term_stats()
+    for block in (1, 4096):
+        got = retrieval.bm25_top(asked, packed, df, 4, 6, block=block)
+        assert sorted(map(repr, got.select("query", "doc", "score", "rank").collect())) == sorted(map(repr, plain.select("query", "doc", "score", "rank").collect()))
+    hits = plain.select("query", "doc").where("doc is not null")
+    whole = retrieval.lexical_coverage(asked, hits, posts, retrieval.term_stats(posts), retrieval.stats_of(posts, docs))
+    part = retrieval.lexical_coverage(asked, hits, packed.posts(hits), df, packed.corpus)
+    near = lambda x: sorted((r.query, r.doc, round(r.coverage, 9)) for r in x.collect())
+    assert near(part) == near(whole)
+
+
+def test_best_by_words_hands_on_k_rows_a_task(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"))
+    asked = spark.range(50).select(F.col("id").alias("query"), F.lit("the").alias("term"), F.lit(1).cast("long").alias("qtf"))
+    packed = retrieval.Packed.of(docs, "doc_id", F.col("text"), asked)
+    state = []
+    top = retrieval.top_k
+    retrieval.top_k = lambda scored, k, digits=9: state.append(scored) or top(scored, k, digits)
+    try:
+        got = retrieval.bm25_top(asked, packed, packed.term_stats(), 5)
+    finally:
+        retrieval.top_k = top
+    assert state[0].count() <= 50 * 5 * packed.rows.rdd.getNumPartitions()  # not a row for each query and doc
+    assert {(r.doc, r["rank"]) for r in got.collect()} == {(i, i + 1) for i in range(5)}
