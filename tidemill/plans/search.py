@@ -13,17 +13,25 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _index(spark, d):
-    """Of all documents; what a search may find is reviewed and holds on 20 January 2024 (hard_filter)."""
+def _allowed(spark, d):
+    """What a search may find is reviewed and holds on 20 January 2024 (hard_filter)."""
     docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
-    posts = cut(retrieval.postings(docs, "doc_id", F.col("text")))
     rows = docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("doc"), F.floor(F.col("doc_id") / 2).alias("item"), F.when(F.col("toxic") == 1, "rejected").when(F.col("doc_id") % 11 == 0, "pending").otherwise("approved").alias("review_status"),
         F.when(F.col("doc_id") % 5 == 0, F.lit(1704067200) + F.col("doc_id") % 60 * 86400).otherwise(0).alias("valid_to_ts"),
     )
-    allowed = cut(retrieval.hard_filter(rows, F.lit(1705708800)).select("doc", "item"))
-    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec"))
-    return ops.Index(posts, retrieval.stats_of(posts, docs), vectors, allowed).only(allowed)
+    return cut(retrieval.hard_filter(rows, F.lit(1705708800)).select("doc", "item"))
+
+
+def _items(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec"))
+
+
+def _index(spark, d):
+    """Of all documents; lengths and number are those of all, a search finds what is allowed."""
+    allowed = _allowed(spark, d)
+    posts = retrieval.Packed.of(_t(spark, d, "documents"), "doc_id", F.col("text"), _terms(spark, d))
+    return ops.Index(posts, _items(spark, d), allowed).only(allowed)
 
 
 def _terms(spark, d):
@@ -64,7 +72,7 @@ def gate_report(spark, d):
 
 def threshold_routes(spark, d):
     """Queries and kept hits by outcome, where a text of few words is vague."""
-    hits = ops.dense_top(_vectors(spark, d), _index(spark, d).vectors, 3)
+    hits = cut(ops.dense_top(_vectors(spark, d), _items(spark, d).join(_allowed(spark, d).select("doc").distinct(), "doc", "left_semi"), 3))
     vague = _t(spark, d, "benchmark").select(F.col("item_id").alias("query"), (F.length("text") < 220).alias("vague"))
     routed, kept = ops.apply_threshold(hits, vague, 0.5, 0.4)
     n = kept.groupBy("query").agg(F.count("*").alias("n"))
