@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import commerce, retrieval
+from tidemill.functions.textops import char_grams, text_pieces
+from tidemill.operators import commerce, retrieval, sketches
 
 
 def test_ladder_counts_as_rows_found(spark):
@@ -54,3 +55,13 @@ def test_best_by_words_hands_on_k_rows_a_task(spark):
         retrieval.top_k = top
     assert state[0].count() <= 50 * 5 * packed.rows.rdd.getNumPartitions()  # not a row for each query and doc
     assert {(r.doc, r["rank"]) for r in got.collect()} == {(i, i + 1) for i in range(5)}
+
+
+def test_signatures_of_texts_as_of_their_grams(spark):
+    texts = ["abcdefgh", "abc", "", None, "aaaaaaaaaaaa", "".join(chr(0x4E00 + i * 7 % 3000) for i in range(4000)), "x😀yz" * 50, "abcdef", "hello there" * 200]
+    rows = [(i % 8 if i != 1 else None, t) for i, t in enumerate(texts)] + [(20, "ab")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    pieces = docs.select("id", F.explode(text_pieces(F.coalesce("text", F.lit("")), 6, 100)).alias("piece"))
+    plain = sketches.signatures(pieces.select("id", F.explode(char_grams(F.col("piece"), 6)).alias("gram")))
+    got = sketches.text_signatures(pieces, 6)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,87 @@ def signatures(grams: DataFrame, n: int = 64) -> DataFrame:
     return g.groupBy("id").agg(*least).select("id", F.array(*[f"h{i}" for i in range(n)]).alias("sig"))
 
 
+def _gram_keys(c: np.ndarray, width: int) -> np.ndarray:
+    """A number for the run of `width` code points at each place, equal for equal runs only."""
+    letters, c = np.unique(c, return_inverse=True)
+    key, span = c[: len(c) - width + 1].astype(np.int64), len(letters)
+    for i in range(1, width):
+        if span * len(letters) >= 1 << 62:
+            some, key = np.unique(key, return_inverse=True)
+            span = len(some)
+        key, span = key * len(letters) + c[i : len(c) - width + 1 + i], span * len(letters)
+    return key
+
+
+def _sign(width: int, n: int, most: int = 1_000_000):
+    """Batches of (id, piece) -> (id, sig): a row for each piece that has a gram."""
+    factors = [(np.uint64(a), np.uint64(b)) for a, b in seeds(n)]
+    prime = np.uint64(PRIME)
+
+    def number(gram: str) -> int:
+        return int(hashlib.md5(gram.encode()).hexdigest()[:15], 16) % PRIME
+
+    def run(batches):
+        known: dict[str, int] = {}
+
+        def signed(ids, texts):
+            size = np.array([len(t) for t in texts])
+            text, first = "".join(texts), np.r_[0, np.cumsum(np.maximum(size - width + 1, 1))[:-1]]
+            start = np.r_[0, np.cumsum(size)[:-1]]
+            # short pieces are one gram each, longer ones have theirs by place
+            long = np.flatnonzero(size >= width)
+            back, of = np.zeros(int(np.maximum(size - width + 1, 1).sum()), np.int64), []
+            if len(long):
+                key = _gram_keys(np.frombuffer(text.encode("utf-32-le"), np.uint32), width)
+                many = size[long] - width + 1
+                inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                place = np.repeat(start[long], many) + inner
+                _, at, back[np.repeat(first[long], many) + inner] = np.unique(key[place], return_index=True, return_inverse=True)
+                for p in place[at].tolist():
+                    g = text[p : p + width]
+                    v = known.get(g)
+                    if v is None:
+                        v = known[g] = number(g)
+                    of.append(v)
+            for i in np.flatnonzero(size < width).tolist():
+                back[first[i]] = len(of)
+                of.append(number(texts[i]))
+            if len(known) > most:
+                known.clear()
+            some = np.array(of, np.uint64)
+            sig = np.empty((len(texts), n), np.int64)
+            for i, (a, b) in enumerate(factors):
+                sig[:, i] = np.minimum.reduceat(((some * a + b) % prime).astype(np.uint32)[back], first)
+            flat = pa.array(sig.ravel())
+            return pa.record_batch([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * n, pa.int32()), flat)], names=["id", "sig"])
+
+        for b in batches:
+            ids, texts, size = [], [], 0
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                t = t.as_py()
+                if i is None or not t:
+                    continue
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size > 1 << 20:
+                    yield signed(ids, texts)
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield signed(ids, texts)
+
+    return run
+
+
+def text_signatures(pieces: DataFrame, width: int, n: int = 64) -> DataFrame:
+    """(id, piece) -> (id, sig): `signatures` of the runs of `width` characters of each id's pieces; a shorter piece is one.
+
+    No row is made for a run: a task numbers the runs of about a million
+    characters, hashes each different one once, and hands on a signature a piece.
+    """
+    return merged(pieces.select(F.col("id").cast("long").alias("id"), "piece").mapInArrow(_sign(width, n), "id long, sig array<long>"), "id", n)
+
+
 def merged(sketches: DataFrame, key: str, n: int = 64) -> DataFrame:
     """(key, sig) of several rows a key -> the signature of all their grams together, without the grams."""
     return sketches.groupBy(key).agg(*[F.min(F.col("sig")[i]).alias(f"h{i}") for i in range(n)]).select(key, F.array(*[f"h{i}" for i in range(n)]).alias("sig"))

@@ -4,37 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.textops import char_grams, text_pieces
+from ..functions.textops import text_pieces
 from ..operators import costs, experiments, phrases, sketches
 from ..operators.flywheel import ab_group
+from ..sources.tables import cut
 
 
 def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _grams(docs):
+def _signatures(docs):
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\r]+", "")
-    pieces = docs.select(F.col("doc_id").alias("id"), F.explode(text_pieces(text, 6)).alias("piece"))
-    return pieces.select("id", F.explode(char_grams(F.col("piece"), 6)).alias("gram"))
+    return sketches.text_signatures(docs.select(F.col("doc_id").alias("id"), F.explode(text_pieces(text, 6, 1 << 16)).alias("piece")), 6)
 
 
 def signature_sums(spark, d):
     """The sum and the ends of each document's signature."""
-    s = sketches.signatures(_grams(_t(spark, d, "documents")))
+    s = _signatures(_t(spark, d, "documents"))
     return s.select("id", F.aggregate("sig", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("sig")[0].alias("first"), F.col("sig")[63].alias("last"))
 
 
 def source_signatures(spark, d):
     """Signatures of whole sources, merged from those of their documents."""
     docs = _t(spark, d, "documents")
-    s = sketches.signatures(_grams(docs)).join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
+    s = _signatures(docs).join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
     return sketches.merged(s, "source").select("source", F.aggregate("sig", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 def stored_matches(spark, d):
     """Odd documents with the best even one, by stored signatures alone."""
-    s = sketches.signatures(_grams(_t(spark, d, "documents")))
+    s = cut(_signatures(_t(spark, d, "documents")))
     m = sketches.new_against_stored(s.where("id % 2 = 1"), s.where("id % 2 = 0"), 0.5)
     return m.select("id", "stored_id", F.round("score", 6).alias("score"))
 
