@@ -42,13 +42,13 @@ def _cell(g: np.ndarray) -> np.ndarray:
     return ((g >> np.uint64(32)) & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
 
 
-def _sets(col: pa.Array, k: int) -> list[np.ndarray]:
+def _sets(col: pa.Array, k: int, w: Words | None = None) -> list[np.ndarray]:
     """Each row's sorted distinct n-gram hashes; shorter texts are one n-gram.
 
     The top six bits fall with the bytes in the n-gram's words, so that short,
     common words, whose n-grams meet by chance, come last in the order.
     """
-    w = Words(col, lower=True)
+    w = w or Words(col, lower=True)
     h = w.hashes()
     size = np.r_[0, np.cumsum(w.ends - w.starts)]
     g = _ranked(grams(h, k), size[k:] - size[:-k] if len(size) > k else size[:0])
@@ -83,20 +83,21 @@ def _bits(s: np.ndarray) -> bytes:
 
 
 def _scan(k: int):
-    """documents -> (doc_id, n, fp, bits) rows, then the task's sketch of counts per cell."""
-    names = ["doc_id", "n", "fp", "bits", "part", "cells"]
+    """documents -> (doc_id, words, n, fp, bits) rows, then the task's sketch of counts per cell."""
+    names = ["doc_id", "words", "n", "fp", "bits", "part", "cells"]
 
     def run(batches):
         cells = np.zeros(1 << CELL_BITS, np.int64)
         for b in small(batches):
-            sets = _sets(b.column(1), k)
+            w = Words(b.column(1), lower=True)
+            sets = _sets(b.column(1), k, w)
             if sets:
                 cells += np.bincount(_cell(np.concatenate(sets)), minlength=1 << CELL_BITS)
             n = len(sets)
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print_of(s) for s in sets], pa.int64()), pa.array([_bits(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.record_batch([b.column(0), pa.array(w.counts(), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print_of(s) for s in sets], pa.int64()), pa.array([_bits(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         rows = [(i, zlib.compress(c.astype("<i8").tobytes(), 1)) for i, c in enumerate(np.split(cells, PARTS)) if c.any()]
         none = pa.nulls(len(rows), pa.int64())
-        yield pa.record_batch([none, none, none, pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
+        yield pa.record_batch([none, none, none, none, pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
 
     return run
 
@@ -358,7 +359,7 @@ def _parts(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.join(parts, "pivot").withColumn("own", own).withColumn("at", F.explode(other)).select("fp", "pivot", "at.i", "at.j", *[c for c in pairs.columns if c not in ("fp", "pivot")])
 
 
-def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_grams: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_grams: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id): near duplicates by 100 * i >= pct * u.
 
     Words are lower-cased (A-Z); a document with fewer than k words has its
@@ -366,12 +367,13 @@ def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_grams: int = 3_
     and links with nothing; a null doc_id gives a row with a null component.
     Repeated rows link with each other and each gives a row.  Other columns,
     whatever their names, are ignored.  An empty table gives an empty table.
+    With `words`, n_words follows, counted while the n-grams are.
     """
     spark = docs.sparkSession
     d = with_ids(docs, id_col, text_col)
-    scanned = saved(d.mapInArrow(_scan(k), "doc_id long, n long, fp long, bits binary, part int, cells binary"), "scan")
+    scanned = saved(d.mapInArrow(_scan(k), "doc_id long, words long, n long, fp long, bits binary, part int, cells binary"), "scan")
     heavy = spark.sparkContext.broadcast(_heavy(scanned))
-    sets = scanned.where("part is null").select("doc_id", "n", "fp", "bits")
+    sets = scanned.where("part is null").select("doc_id", "words", "n", "fp", "bits")
     parts = buckets(docs)
     classes = saved(sets.where("fp <> 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
     packed = d.mapInArrow(_postings(k, pct, parts, heavy), "bucket int, grams binary, classes binary")
@@ -388,7 +390,7 @@ def ngram_join(docs: DataFrame, k: int = 5, pct: int = 75, block_grams: int = 3_
     rooted = classes.join(comp, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     least = rooted.groupBy("component").agg(F.min("rep").alias("root"))
     final = saved(rooted.join(least, "component").select("fp", "root"), "final")
-    return sets.join(final, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    return sets.join(final, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"), *([F.col("words").alias("n_words")] if words else []))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:

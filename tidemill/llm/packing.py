@@ -20,18 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import ngram_join
-from .text import Words, saved, small
+from .text import saved
 
 PLACED = "doc_id long, piece int, first_word long, n_words long, size long, bin long, bin_offset long"
 
 
-def _sizes(batches):
-    """(row, doc_id, source, text) -> the row's words."""
-    for b in small(batches, col=3):
-        n = Words(b.column(3)).counts()
-        yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], names=["row_id", "doc_id", "source", "n"])
-
-
 def pack(rows: list[tuple], capacity: int) -> list[tuple]:
     """(doc_id, source, n_words, cluster) -> (doc_id, piece, first_word, n_words, size, bin, offset).
 
@@ -105,7 +98,8 @@ def best_fit_packing(docs: DataFrame, capacity: int = 2048, shard_docs: int = 81
         rows = rows.select(F.col("doc_id").alias("row_id"), "doc_id", "source", "text")
     else:  # rows of one doc_id may have other texts, so each needs an id that stays
         rows = saved(rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", "text"), "rows")
-    clusters = ngram_join(rows, id_col="row_id").select(F.col("doc_id").alias("row_id"), F.col("component_id").alias("cluster"))
-    sized = rows.mapInArrow(_sizes, "row_id long, doc_id long, source string, n long").join(clusters, "row_id")
+    # words are counted where the n-grams are, so texts are not read for them again
+    clusters = ngram_join(rows, id_col="row_id", words=True).select(F.col("doc_id").alias("row_id"), F.col("component_id").alias("cluster"), F.col("n_words").alias("n"))
+    sized = rows.select("row_id", "doc_id", "source").join(clusters, "row_id")
     sized = sized.select("doc_id", "source", "n", "cluster", F.pmod(F.xxhash64("row_id", "cluster"), F.lit(shards)).alias("shard"))
     return sized.groupBy("shard").applyInArrow(_pack(capacity), PLACED)
