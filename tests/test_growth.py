@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemill.functions.textops import char_grams, text_pieces
-from tidemill.operators import commerce, retrieval, sketches
+from tidemill.operators import commerce, nearness, retrieval, sketches
 
 
 def test_ladder_counts_as_rows_found(spark):
@@ -65,3 +65,8 @@ def test_signatures_of_texts_as_of_their_grams(spark):
     plain = sketches.signatures(pieces.select("id", F.explode(char_grams(F.col("piece"), 6)).alias("gram")))
     got = sketches.text_signatures(pieces, 6)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_products_of_one_name_go_on_as_two(spark):
+    p = spark.range(1000).select(F.lit(1).alias("live"), (1000 - F.col("id")).alias("product_id"), F.lit("soft thing").alias("mention"))
+    assert sorted(r.product_id for r in nearness._least_two(p).collect()) == [1, 2]

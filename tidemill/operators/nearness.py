@@ -37,6 +37,13 @@ def near_texts(a: DataFrame, b: DataFrame, by: str, most: int = 2) -> DataFrame:
     return met.withColumn("edits", F.levenshtein("text_a", "text_b")).where(F.col("edits") <= most)
 
 
+def _least_two(products: DataFrame) -> DataFrame:
+    """Of the products of each (live, mention), those of the two least ids."""
+    w = Window.partitionBy("live", "mention").orderBy("product_id")
+    known = products.where("live is not null and mention is not null").distinct()
+    return known.withColumn("_r", F.row_number().over(w)).where("_r <= 2").drop("_r")
+
+
 def match_entities(spoken: DataFrame, scheduled: DataFrame, similar: DataFrame | None = None, most: int = 2, weight: float = 0.75) -> DataFrame:
     """(live, mention) by the products (live, product_id, name, aliases) of the same session -> best product, score, whether it binds by itself.
 
@@ -49,9 +56,10 @@ def match_entities(spoken: DataFrame, scheduled: DataFrame, similar: DataFrame |
     """
     exact, alias, near = MATCH_WEIGHTS
     m = spoken.select("live", "mention").where("live is not null and mention is not null").distinct()
-    names = scheduled.select("live", "product_id", F.col("name").alias("mention"))
+    # products of one name or alias get the same from it, so what is best and next are of its two least ids
+    names = _least_two(scheduled.select("live", "product_id", F.col("name").alias("mention")))
     found = m.join(names, ["live", "mention"]).select("live", "mention", "product_id", F.lit(exact).alias("score"))
-    aliases = scheduled.select("live", "product_id", F.explode("aliases").alias("mention"))
+    aliases = _least_two(scheduled.select("live", "product_id", F.explode("aliases").alias("mention")))
     found = found.unionAll(m.join(aliases, ["live", "mention"]).select("live", "mention", "product_id", F.lit(alias).alias("score")))
     close = near_texts(m.select("live", F.col("mention").alias("text")), names.select("live", F.col("mention").alias("text")), "live", most)
     close = close.withColumn("score", near * (1 - F.col("edits") / F.greatest(F.length("text_a"), F.length("text_b"), F.lit(1))))
