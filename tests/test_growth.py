@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.textops import char_grams, text_pieces
 from tidemill.operators import commerce, nearness, retrieval, sketches
+from tidemill.streaming import sinks
 
 
 def test_ladder_counts_as_rows_found(spark):
@@ -70,3 +71,10 @@ def test_signatures_of_texts_as_of_their_grams(spark):
 def test_products_of_one_name_go_on_as_two(spark):
     p = spark.range(1000).select(F.lit(1).alias("live"), (1000 - F.col("id")).alias("product_id"), F.lit("soft thing").alias("mention"))
     assert sorted(r.product_id for r in nearness._least_two(p).collect()) == [1, 2]
+
+
+def test_a_round_of_tasks_meets_outcomes_in_bounded_parts(spark):
+    tasks = spark.range(450_000).select("id", F.lit("same").alias("payload"), F.lit(0).alias("retry_count"))
+    done, again, dead, follow = sinks.handled(tasks, lambda x: x.where("id % 2 = 0").select("id", F.lit("done").alias("outcome"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("follow_up")))
+    assert done.rdd.getNumPartitions() >= 5 and again.rdd.getNumPartitions() >= 5  # small in bytes, many in rows
+    assert (done.count(), again.count(), dead.count(), follow.count()) == (225_000, 225_000, 0, 0)

@@ -59,6 +59,16 @@ def compacted(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
+def parts_for(rows: DataFrame, each: int = 100_000) -> int:
+    """Parts of about `each` rows that these make; they are counted first."""
+    return max(1, -(-rows.count() // each))
+
+
+def dealt(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """The rows dealt by key into so many parts, which stay apart: bytes that compress well are not put together into a long task."""
+    return rows.repartition(parts, key)
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """The rows, written to the folder the cluster shares and read again: their lineage ends here.
 

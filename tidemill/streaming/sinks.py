@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..sources.tables import dealt, parts_for
+
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """The rows as the folder batch_id=<id> of path; the same batch written again takes the place of what it wrote before."""
@@ -42,9 +44,11 @@ def handled(tasks: DataFrame, run: Callable[[DataFrame], DataFrame], most: int =
     as it is.  A follow_up (a payload) of a done task is a new task whose id is
     made from its parent's, so that a round run again makes the same one.  Of
     several outcomes of a task the first in order of outcome counts: `done`.
+    Tasks and outcomes meet in parts of a bounded number of tasks.
     """
-    o = run(tasks).groupBy("id").agg(F.min(F.struct("outcome", "error", "follow_up")).alias("_o"))
-    t = tasks.dropDuplicates(["id"]).join(o, "id", "left")
+    parts = parts_for(tasks)
+    o = dealt(run(tasks), "id", parts).groupBy("id").agg(F.min(F.struct("outcome", "error", "follow_up")).alias("_o"))
+    t = dealt(tasks, "id", parts).dropDuplicates(["id"]).join(o, "id", "left")
     failed, tried = F.col("_o.outcome") == "failed", F.col("retry_count") + 1
     done = t.where("_o.outcome = 'done'").select("id", "payload", "retry_count")
     dead = t.where(failed & (tried > most)).select("id", "payload", tried.alias("retry_count"), F.col("_o.error").alias("error"))
