@@ -1,9 +1,11 @@
 """Steps whose work must grow no faster than their input: same rows as the plain way, few rows on the way."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tidemill.functions.textops import char_grams, text_pieces
-from tidemill.operators import commerce, nearness, retrieval, sketches
+from tidemill.operators import commerce, lineage, nearness, retrieval, sketches
 from tidemill.streaming import sinks
 
 
@@ -78,3 +80,26 @@ def test_a_round_of_tasks_meets_outcomes_in_bounded_parts(spark):
     done, again, dead, follow = sinks.handled(tasks, lambda x: x.where("id % 2 = 0").select("id", F.lit("done").alias("outcome"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("follow_up")))
     assert done.rdd.getNumPartitions() >= 5 and again.rdd.getNumPartitions() >= 5  # small in bytes, many in rows
     assert (done.count(), again.count(), dead.count(), follow.count()) == (225_000, 225_000, 0, 0)
+
+
+def test_tops_as_by_walking_and_in_few_rounds(spark, monkeypatch):
+    rnd = random.Random(4)
+    ids = rnd.sample(range(10_000), 360)
+    up = {i: rnd.choice([None, *ids[:200], -1]) for i in ids[:200]}  # trees, circles and what hangs on them
+    up |= {a: b for a, b in zip(ids[200:280], [*ids[201:280], None])}  # a chain of 80
+    up |= {a: b for a, b in zip(ids[280:], [*ids[281:], ids[280]])}  # a circle of 80
+
+    def walk(i):
+        path = [i]
+        while up[path[-1]] in up and up[path[-1]] != path[-1]:
+            path.append(up[path[-1]])
+            if path[-1] in path[:-1]:
+                return i, None, None, min(path[path.index(path[-1]) :])
+        return i, path[-1], len(path) - 1, path[-1]
+
+    written = []
+    keep = lineage.cut
+    monkeypatch.setattr(lineage, "cut", lambda rows: written.append(keep(rows)) or written[-1])
+    got = lineage.tops(spark.createDataFrame(list(up.items()), "id long, parent long"))
+    assert sorted(map(tuple, got.select("id", "top", "depth", "least").collect())) == sorted(map(walk, ids))
+    assert len(written) <= 10  # rounds of log2(80), not of all that is left in circles

@@ -36,7 +36,11 @@ def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def tops(parents: DataFrame) -> DataFrame:
     """(id, parent), one row an id -> (id, top, depth, least): the end of each id's chain of parents, and the steps to it.
 
-    Pointers are doubled each round, so a chain of n takes log2(n) rounds.
+    Pointers are doubled each round, so a chain or circle of n takes log2(n)
+    rounds.  Two stretches that follow one another and have one least id pass
+    it twice, so they go round a circle, whose least it is.  A round reads
+    rows still going and what they ran into, not what is done: an id that no
+    row ran into in one round is not run into in the next, from twice as far.
     An id without a parent, or whose parent is no id, is a top.  Ids that run
     into a circle have no top (null); their `least` is the least id of the
     circle.  An id that is its own parent is a top.
@@ -44,25 +48,23 @@ def tops(parents: DataFrame) -> DataFrame:
     known = parents.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
     leads = F.coalesce(F.col("_known") & (F.col("parent") != F.col("id")), F.lit(False))
     first = parents.select("id", "parent").join(known, "parent", "left")
-    state = cut(first.select("id", F.when(leads, F.col("parent")).otherwise(F.col("id")).alias("up"), leads.cast("long").alias("dist"), (~leads).alias("done"), F.when(leads, F.least("id", "parent")).otherwise(F.col("id")).alias("m")))
+    state = cut(first.select("id", F.when(leads, F.col("parent")).otherwise(F.col("id")).alias("up"), leads.cast("long").alias("dist"), (~leads).alias("done"), F.lit(False).alias("ring"), F.col("id").alias("m")))  # m: the least id from id on, `up` left out
+    columns = state.columns
     done, going, steps = [state.where("done")], state.where("not done"), 1
-    left = going.count()
-    while left and steps <= 2 * left:
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("dist").alias("_dist"), F.col("done").alias("_done"), F.col("m").alias("_m"))
-        moved = cut(going.join(above, "up").select("id", F.col("_up").alias("up"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done"), F.least("m", "_m").alias("m")))
+    while not going.isEmpty():
+        above = state.select(F.col("id").alias("up"), *[F.col(c).alias(f"_{c}") for c in columns[1:]])
+        closes = ~F.col("_done") & (F.col("m") == F.col("_m"))
+        m = F.when(F.col("_ring"), F.col("_m")).otherwise(F.least("m", "_m"))
+        moved = going.join(above, "up").select("id", F.col("_up").alias("up"), (F.col("dist") + F.col("_dist")).alias("dist"), (F.col("_done") | closes).alias("done"), (F.col("_ring") | closes).alias("ring"), m.alias("m"), F.when(F.col("_done"), F.col("up")).alias("met"))
+        moved = cut(moved)
+        met = moved.where("met is not null").select(F.col("met").alias("id"), "up", (F.col("dist") - steps).alias("dist"), "done", "ring", "m").dropDuplicates(["id"])
+        moved = moved.select(*columns)
         done.append(moved.where("done"))
-        going = moved.where("not done")
-        state = going
-        for d in done:
-            state = state.unionByName(d)
-        left, steps = going.count(), 2 * steps
+        going, state, steps = moved.where("not done"), moved.unionByName(met), 2 * steps
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out = out.select("id", F.col("up").alias("top"), F.col("dist").alias("depth"), F.col("up").alias("least"))
-    # what is left has gone round its circle: where it stands now, the least id on the way is the circle's
-    ring = going.select(F.col("id").alias("up"), F.col("m").alias("_ring"))
-    return out.unionByName(going.join(ring, "up").select("id", F.lit(None).cast(out.schema["top"].dataType).alias("top"), F.lit(None).cast("long").alias("depth"), F.col("_ring").alias("least")))
+    return out.select("id", F.when(~F.col("ring"), F.col("up")).alias("top"), F.when(~F.col("ring"), F.col("dist")).alias("depth"), F.when(F.col("ring"), F.col("m")).otherwise(F.col("up")).alias("least"))
 
 
 def chain_outcomes(tasks: DataFrame) -> DataFrame:
