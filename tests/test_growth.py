@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemill.functions.textops import char_grams, text_pieces
-from tidemill.operators import commerce, lineage, nearness, retrieval, sketches
+from tidemill.operators import commerce, items, lineage, nearness, retrieval, sketches
 from tidemill.streaming import sinks
 
 
@@ -103,3 +103,15 @@ def test_tops_as_by_walking_and_in_few_rounds(spark, monkeypatch):
     got = lineage.tops(spark.createDataFrame(list(up.items()), "id long, parent long"))
     assert sorted(map(tuple, got.select("id", "top", "depth", "least").collect())) == sorted(map(walk, ids))
     assert len(written) <= 10  # rounds of log2(80), not of all that is left in circles
+
+
+def test_words_are_not_sorted_to_find_their_first_places(spark, capsys):
+    big = 2**63 - 1
+    rows = [(5, "ab cd ab", ["zz"]), (-3, "cd xy", None), (5, "zz ab", None), (None, "null xy", None), (big, "far xyz", None), (-big - 1, "low", ["low"]), (big, "xyz", None), (-7, "q low2", ["xyz2"])]
+    p = spark.createDataFrame(rows, "product_id long, name string, aliases array<string>").withColumn("attrs", F.create_map(F.lit("k"), F.concat("name", F.lit("、end"))))
+    got = items.hotwords(p, " ")
+    plain = items.hotwords(p.withColumn("product_id", F.col("product_id").cast("decimal(20,0)")), " ")
+    assert got.schema["product_id"].dataType.simpleString() == "bigint" and got.schema["pos"].dataType.simpleString() == "int"
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((r.word, None if r.product_id is None else int(r.product_id), r.pos)) for r in plain.collect())
+    got.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
