@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.textops import char_grams, text_pieces
 from tidemill.operators import commerce, items, lineage, nearness, retrieval, sketches
+from tidemill.plans import texts
 from tidemill.streaming import sinks
 
 
@@ -115,3 +116,12 @@ def test_words_are_not_sorted_to_find_their_first_places(spark, capsys):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((r.word, None if r.product_id is None else int(r.product_id), r.pos)) for r in plain.collect())
     got.explain()
     assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_numbers_are_read_once_and_texts_do_not_meet(spark, tmp_path, capsys):
+    rows = [(1, "10 and 9.5, 9, 007, 0.5, 三天 第三天 十二件 000 99999999999999999999 9.50"), (2, "9 三 12天"), (3, None), (4, "no number"), (5, "7 7"), (8, "8")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = texts.unsourced_numbers(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, ".5,0,3,7,9.5,9.50,10,99999999999999999999"), (2, "9,12")]
+    got.explain()
+    assert "regexp_extract_all" not in capsys.readouterr().out  # a number is found before rows meet, not once a side

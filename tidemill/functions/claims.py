@@ -53,21 +53,25 @@ def numbers(text: Column, article: bool = False) -> Column:
         bare = F.replace(bare, F.lit(saying), F.lit(""))
     if article:
         bare = F.regexp_replace(bare, ARTICLE, "")
-    digits = F.transform(F.regexp_extract_all(bare, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: F.regexp_replace(x, "^0+", ""))
+    digits = F.transform(F.regexp_extract_all(bare, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: F.ltrim(x, F.lit("0")))
     digits = F.transform(digits, lambda x: F.when(x == "", "0").otherwise(x))
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    words = F.regexp_extract_all(bare, F.lit(rf"(?<![第再又每])([零一二两三四五六七八九十百]+)\s*(?:{units})"), F.lit(1))
+    words = F.regexp_extract_all(bare, F.lit(rf"(?=[零一二两三四五六七八九十百])(?<![第再又每])([零一二两三四五六七八九十百]+)\s*(?:{units})"), F.lit(1))
     return F.array_compact(F.array_distinct(F.concat(digits, F.transform(words, lambda x: cn_number(x).cast("string")))))
 
 
+def missing(found: Column, known: Column) -> Column:
+    """Numbers found that are not known, the least first, those of one whole part by their text."""
+    ranked = F.transform(F.array_except(found, known), lambda x: F.struct(F.floor(x.cast("double")).alias("value"), x.alias("x")))
+    return F.transform(F.array_sort(ranked), lambda x: x["x"])
+
+
 def unsourced(draft: Column, evidence: Column, question: Column | None = None, article: bool = False) -> Column:
     """Numbers of the draft that neither the evidence (a text) nor the question has, the least first."""
     known = numbers(evidence, article)
     if question is not None:
         known = F.concat(known, numbers(question, article))
-    found = F.array_except(numbers(draft, article), known)
-    value = lambda x: F.floor(x.cast("double"))
-    return F.array_sort(found, lambda x, y: F.when(value(x) < value(y), -1).when(value(x) > value(y), 1).when(x < y, -1).when(x > y, 1).otherwise(F.lit(0)))
+    return missing(numbers(draft, article), known)
 
 
 def grounded(draft: Column, evidence: Column, question: Column) -> Column:
@@ -76,14 +80,14 @@ def grounded(draft: Column, evidence: Column, question: Column) -> Column:
     Promises are made milder and flagged, which does not stop a draft.
     """
     text = F.trim(F.coalesce(draft, F.lit("")))
-    missing = unsourced(text, evidence, question)
+    absent = unsourced(text, evidence, question)
     post = guard_output(text, 10_000)
     none = F.array().cast("array<string>")
     flag = lambda cond, name: F.when(cond, F.array(F.lit(name))).otherwise(none)
     no_text, no_evidence = text == "", F.trim(F.coalesce(evidence, F.lit(""))) == ""
-    flags = F.concat(flag(no_text, "empty"), flag(~no_text & no_evidence, "no_evidence"), flag(~no_text & ~no_evidence & (F.size(missing) > 0), "unsourced"), flag(~no_text & ~no_evidence & post["blocked"], "blocked"), flag(~no_text & ~no_evidence & ~post["blocked"] & post["rewritten"], "rewritten"))
-    ok = ~no_text & ~no_evidence & (F.size(missing) == 0) & ~post["blocked"]
-    return F.struct(ok.alias("ok"), F.when(post["blocked"], text).otherwise(post["text"]).alias("text"), F.when(no_text | no_evidence, none).otherwise(missing).alias("unsourced"), flags.alias("flags"))
+    flags = F.concat(flag(no_text, "empty"), flag(~no_text & no_evidence, "no_evidence"), flag(~no_text & ~no_evidence & (F.size(absent) > 0), "unsourced"), flag(~no_text & ~no_evidence & post["blocked"], "blocked"), flag(~no_text & ~no_evidence & ~post["blocked"] & post["rewritten"], "rewritten"))
+    ok = ~no_text & ~no_evidence & (F.size(absent) == 0) & ~post["blocked"]
+    return F.struct(ok.alias("ok"), F.when(post["blocked"], text).otherwise(post["text"]).alias("text"), F.when(no_text | no_evidence, none).otherwise(absent).alias("unsourced"), flags.alias("flags"))
 
 
 def attribute_conflicts(text: Column, attributes: Column, materials: list[str], name: Column | None = None) -> Column:
@@ -95,5 +99,5 @@ def attribute_conflicts(text: Column, attributes: Column, materials: list[str],
 def check_copy(text: Column, evidence: Column) -> Column:
     """struct(blocked, suspects, unsourced, passed) of a piece of copy."""
     blocked = F.concat(found_words(text, SUPERLATIVES), found_words(text, EFFICACY), found_words(text, PROMISES))
-    missing = unsourced(text, evidence, article=True)
-    return F.struct(blocked.alias("blocked"), suspects(text).alias("suspects"), missing.alias("unsourced"), ((F.size(blocked) == 0) & (F.size(missing) == 0)).alias("passed"))
+    absent = unsourced(text, evidence, article=True)
+    return F.struct(blocked.alias("blocked"), suspects(text).alias("suspects"), absent.alias("unsourced"), ((F.size(blocked) == 0) & (F.size(absent) == 0)).alias("passed"))

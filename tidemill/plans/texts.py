@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import claims, rules, textops
-from ..sources.tables import latest, without
+from ..sources.tables import cut, latest, without
 
 
 def _docs(spark, d):
@@ -77,9 +77,10 @@ def number_claims(spark, d):
 
 def unsourced_numbers(spark, d):
     """Numbers of each document that the one after it does not have, the least first."""
-    docs = _docs(spark, d)
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("evidence"))
-    return docs.join(after, "doc_id").select("doc_id", F.array_join(claims.unsourced(F.col("text"), F.col("evidence")), ",").alias("numbers")).where("numbers <> ''")
+    stated = cut(_docs(spark, d).select("doc_id", claims.numbers(F.col("text")).alias("n")))  # a text is read once, and does not meet the next
+    after = stated.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("known"))
+    found = stated.join(after, "doc_id").where(F.size(F.array_except("n", "known")) > 0)
+    return found.select("doc_id", F.array_join(claims.missing(F.col("n"), F.col("known")), ",").alias("numbers"))
 
 
 def answer_guard(spark, d):
